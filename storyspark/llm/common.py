@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Rows in an Arrow batch; with texts of some kB, a batch is a few MB in the worker.
-BATCH_ROWS = 1000
+#: Rows and bytes in an Arrow batch, so that a worker holds a few MB of texts, however long they are.
+BATCH_ROWS, BATCH_BYTES = 4000, 16 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,6 +44,7 @@ def map_text(df: DataFrame, text_col: str, keep: list[str], fields: T.StructType
     ``fields``. Only ``keep`` and the text travel, so other columns, also of clashing names, don't matter.
     """
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     taken = df.select(*[F.col(c) for c in keep], F.col(text_col).cast("string").alias("__text"))
     schema = T.StructType([f for f in taken.schema.fields if f.name != "__text"] + fields.fields)
     names = schema.fieldNames()
