@@ -142,6 +142,21 @@ def simhash_components(docs: DataFrame) -> DataFrame:
     return rows.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
+def keep_one_per_component(docs: DataFrame, columns: list[str]) -> DataFrame:
+    """``columns`` of one row of each component: that of the least id, and of its repeats the least text.
+
+    Rows with a null id all stay: no decision can name them. Texts are shuffled once, to their ids.
+    """
+    found = simhash_components(docs)
+    keepers = materialize(found.filter("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("copies")), "keepers")
+    rows = docs.select(*columns).filter("doc_id is not null").join(keepers, "doc_id").select(*columns, "copies")
+    once = rows.filter("copies = 1").select(*columns)
+    repeated = rows.filter("copies > 1").groupBy("doc_id").agg(F.min(F.struct(*[c for c in columns if c != "doc_id"])).alias("least"))
+    first = repeated.select("doc_id", "least.*").select(*columns)
+    out = once.unionByName(docs.select(*columns).filter("doc_id is null"))
+    return out.unionByName(first) if keepers.filter("copies > 1").head(1) else out
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash_components(table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

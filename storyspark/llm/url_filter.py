@@ -73,8 +73,7 @@ def grow_templates(pages: DataFrame, depth: int = DEPTH) -> DataFrame:
     shapes = pages.groupBy("host", "shape").agg(F.count("*").alias("n"), F.count("good").alias("known"), F.coalesce(F.sum("good"), F.lit(0)).alias("good"))
     now = materialize(shapes.withColumn("template", F.lit("")), "shapes")
     for level in range(1, depth + 1):
-        here = now.withColumn("seg", F.when(F.size("shape") >= level, F.element_at("shape", F.least(F.lit(level), F.size("shape")))))
-        # element_at of an empty array is null in lenient mode only, so size is tested first
+        here = now.withColumn("seg", F.get("shape", F.lit(level - 1)))
         sums = here.filter("seg is not null").groupBy("host", "template", "seg").agg(F.sum("n").alias("n"), F.sum("known").alias("known"), F.sum("good").alias("good"))
         node = sums.groupBy("host", "template").agg(F.count("*").alias("children"), F.sum("n").alias("all_n"), F.sum("known").alias("all_known"), F.sum("good").alias("all_good"))
         both = sums.join(node, ["host", "template"])
@@ -82,9 +81,9 @@ def grow_templates(pages: DataFrame, depth: int = DEPTH) -> DataFrame:
         error = F.sqrt(share * (1 - share) / F.col("known"))
         varies = (F.col("children") >= MANY) & (F.col("children") > SINGLE_SHARE * F.col("all_n"))
         alike = (F.col("known") == 0) | (F.abs(F.col("good") / F.col("known") - share) <= Z * error)
-        chosen = both.select("host", "template", "seg", F.when(varies | F.col("seg").contains("{") | alike, "*").otherwise(F.col("seg")).alias("branch"))
-        on = [here.host.eqNullSafe(chosen.host), here.template.eqNullSafe(chosen.template), here.seg == chosen.seg]
-        step = here.join(chosen, on, "left").select(here.host, here["shape"], here.n, here.known, here.good, F.concat(here.template, F.when(chosen.branch.isNull(), "").otherwise(F.concat(F.lit("/"), chosen.branch))).alias("template"))
+        branch = F.when(varies | F.col("seg").contains("{") | alike, "*").otherwise(F.col("seg"))
+        chosen = both.select("host", "template", "seg", F.concat("template", F.lit("/"), branch).alias("grown"))
+        step = here.join(chosen, ["host", "template", "seg"], "left").select("host", "shape", "n", "known", "good", F.coalesce("grown", "template").alias("template"))
         now = materialize(step, "shapes")
     return now
 
