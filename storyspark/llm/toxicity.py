@@ -28,7 +28,7 @@ from storyspark.plans.cutting import materialize
 #: term, as a number and as a share, and its least odds.
 MAX_EXAMPLES, MAX_TERMS, LEAST_DOCS, LEAST_SHARE, LEAST_ODDS = 16_000, 2_000, 4, 0.01, 8.0
 #: Lengths of word beginnings; neighbours that vote; weight of the prior; examples in a block.
-BEGINNINGS, NEIGHBOURS, PRIOR, BLOCK = (4, 5, 6), 9, 0.25, 64
+BEGINNINGS, NEIGHBOURS, PRIOR, BLOCK = tuple(range(4, 11)), 9, 0.25, 64
 
 WORDS = re.compile(r"\w+").findall
 TERMS = T.StructType([T.StructField("term", T.ArrayType(T.IntegerType())), T.StructField("tf", T.ArrayType(T.IntegerType()))])
@@ -38,12 +38,8 @@ def terms_of(word: str) -> list[str]:
     return [word, *(word[:n] + "*" for n in BEGINNINGS if len(word) > n)]
 
 
-def choose_terms(sample: DataFrame) -> list[str]:
-    """At most MAX_TERMS terms that separate the classes of (y, text), the most telling first.
-
-    A term goes by the significance of its odds; counts are grouped in Spark and come to the driver
-    only for terms that qualify, and at most MAX_TERMS of them.
-    """
+def _exploded(sample: DataFrame) -> DataFrame:
+    """(y, term) once for each example and term in it."""
 
     def start():
         def work(texts: list[str]) -> list[pa.Array]:
@@ -51,17 +47,26 @@ def choose_terms(sample: DataFrame) -> list[str]:
 
         return work
 
+    return map_text(sample, "text", ["y"], T.StructType([T.StructField("terms", T.ArrayType(T.StringType()))]), start).select("y", F.explode("terms").alias("term"))
+
+
+def choose_terms(sample: DataFrame) -> list[str]:
+    """At most MAX_TERMS terms that separate the classes of (y, text), the most telling first.
+
+    Terms of enough toxic examples are counted first, those alone then among the others; a term goes
+    by the significance of its odds. Counts are grouped in Spark, and MAX_TERMS rows come to the driver.
+    """
     # copies of a text count once: their rare words tell nothing
-    listed = map_text(sample.dropDuplicates(["y", "text"]), "text", ["y"], T.StructType([T.StructField("terms", T.ArrayType(T.StringType()))]), start)
-    listed = materialize(listed, "example_terms")
-    totals = {r.y: r.n for r in listed.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    sample = materialize(sample.select("y", "text").dropDuplicates(), "examples")
+    totals = {r.y: r.n for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if len(totals) < 2:
         return []
-    counts = listed.select("y", F.explode("terms").alias("term")).groupBy("term").agg(F.sum("y").alias("bad"), F.sum(1 - F.col("y")).alias("good"))
-    odds = ((F.col("bad") + 0.5) / (totals[1] + 1)) / ((F.col("good") + 0.5) / (totals[0] + 1))
-    told = F.col("bad") * F.log(odds)
-    best = counts.filter((F.col("bad") >= max(LEAST_DOCS, LEAST_SHARE * totals[1])) & (odds >= LEAST_ODDS)).select("term", told.alias("told")).orderBy(F.desc("told"), "term").limit(MAX_TERMS)
-    return [r.term for r in best.collect()]
+    bad = _exploded(sample.filter("y = 1")).groupBy("term").agg(F.count("*").alias("bad"))
+    bad = materialize(bad.filter(F.col("bad") >= max(LEAST_DOCS, LEAST_SHARE * totals[1])), "candidates")
+    good = _exploded(sample.filter("y = 0")).join(bad.select("term"), "term", "left_semi").groupBy("term").agg(F.count("*").alias("good"))
+    odds = ((F.col("bad") + 0.5) / (totals[1] + 1)) / ((F.coalesce("good", F.lit(0)) + 0.5) / (totals[0] + 1))
+    told = bad.join(good, "term", "left").filter(odds >= LEAST_ODDS).select("term", (F.col("bad") * F.log(odds)).alias("told"))
+    return [r.term for r in told.orderBy(F.desc("told"), "term").limit(MAX_TERMS).collect()]
 
 
 def with_terms(docs: DataFrame, vocabulary: list[str], keep: list[str]) -> DataFrame:
