@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ["story_queries", "log_queries"]
+MODULES = ["story_queries", "log_queries", "eval_queries"]
 
 
 def registered() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]:
