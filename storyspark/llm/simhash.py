@@ -128,33 +128,37 @@ def _at_home(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def simhash_components(docs: DataFrame) -> DataFrame:
-    """doc_id, fp, component_id of every row; component_id is the least doc_id reachable by links.
+    """doc_id, text_key, fp, component_id of every row; component_id is the least doc_id reachable by links.
 
     Null text counts as empty; texts without words have fingerprint zero and link like others.
     Repeated rows stay, in one component. Rows with a null id link too but lend no id: a component
-    of such rows alone has a null component_id.
+    of such rows alone has a null component_id. text_key is the text's xxhash64.
     """
-    rows = materialize(with_fingerprint(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ["doc_id"]), "fingerprints")
+    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("text_key", F.xxhash64("text"))
+    rows = materialize(with_fingerprint(named, ["doc_id", "text_key"]), "fingerprints")
     classes = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
     roots = connected_components(linked(classes.select("fp")), "a", "b")
     whole = materialize(classes.join(roots, classes.fp == roots.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("root")), "roots")
-    named = whole.select("fp", "root").join(whole.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
-    return rows.join(named, "fp").select("doc_id", "fp", "component_id")
+    known = whole.select("fp", "root").join(whole.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
+    return rows.join(known, "fp").select("doc_id", "text_key", "fp", "component_id")
 
 
 def keep_one_per_component(docs: DataFrame, columns: list[str]) -> DataFrame:
-    """``columns`` of one row of each component: that of the least id, and of its repeats the least text.
+    """``columns`` of one row of each component: that of the least id.
 
-    Rows with a null id all stay: no decision can name them. Texts are shuffled once, to their ids.
+    Of several rows with that id in the component, the one of least text key stays, and of its
+    exact repeats the least in the other columns. Rows with a null id all stay: no decision can name
+    them. Texts are shuffled once, to their ids.
     """
-    found = simhash_components(docs)
-    keepers = materialize(found.filter("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("copies")), "keepers")
-    rows = docs.select(*columns).filter("doc_id is not null").join(keepers, "doc_id").select(*columns, "copies")
-    once = rows.filter("copies = 1").select(*columns)
+    found = simhash_components(docs).filter("doc_id = component_id").groupBy("doc_id", "text_key").agg(F.count("*").alias("copies"))
+    keepers = materialize(found.groupBy("doc_id").agg(F.min(F.struct("text_key", "copies")).alias("k")).select("doc_id", "k.*"), "keepers")
+    rows = docs.select(*columns).filter("doc_id is not null").withColumn("text_key", F.xxhash64(F.coalesce("text", F.lit(""))))
+    rows = rows.join(keepers, ["doc_id", "text_key"])
+    once = rows.filter("copies = 1").select(*columns).unionByName(docs.select(*columns).filter("doc_id is null"))
+    if not keepers.filter("copies > 1").head(1):
+        return once
     repeated = rows.filter("copies > 1").groupBy("doc_id").agg(F.min(F.struct(*[c for c in columns if c != "doc_id"])).alias("least"))
-    first = repeated.select("doc_id", "least.*").select(*columns)
-    out = once.unionByName(docs.select(*columns).filter("doc_id is null"))
-    return out.unionByName(first) if keepers.filter("copies > 1").head(1) else out
+    return once.unionByName(repeated.select("doc_id", "least.*").select(*columns))
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

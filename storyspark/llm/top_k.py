@@ -35,7 +35,8 @@ def products(q: np.ndarray, p: np.ndarray) -> np.ndarray:
         return np.zeros((len(q), len(p)), np.int64)
     if float(np.abs(q).max(initial=0)) * float(np.abs(p).max(initial=0)) * q.shape[1] < 2**53:
         return (q.astype(float) @ p.astype(float).T).astype(np.int64)
-    whole = q.astype(object) @ p.astype(object).T
+    exact = [np.array([[int(x) for x in row] for row in m], object) for m in (q, p)]
+    whole = exact[0] @ exact[1].T
     return np.array([[min(max(int(x), -(2**63)), 2**63 - 1) for x in row] for row in whole], np.int64).reshape(whole.shape)
 
 
