@@ -77,10 +77,10 @@ def grow_templates(pages: DataFrame, depth: int = DEPTH) -> DataFrame:
         sums = here.filter("seg is not null").groupBy("host", "template", "seg").agg(F.sum("n").alias("n"), F.sum("known").alias("known"), F.sum("good").alias("good"))
         node = sums.groupBy("host", "template").agg(F.count("*").alias("children"), F.sum("n").alias("all_n"), F.sum("known").alias("all_known"), F.sum("good").alias("all_good"))
         both = sums.join(node, ["host", "template"])
-        share = F.col("all_good") / F.col("all_known")
-        error = F.sqrt(share * (1 - share) / F.col("known"))
+        share = F.try_divide("all_good", "all_known")
+        error = F.sqrt(F.try_divide(share * (1 - share), "known"))
         varies = (F.col("children") >= MANY) & (F.col("children") > SINGLE_SHARE * F.col("all_n"))
-        alike = (F.col("known") == 0) | (F.abs(F.col("good") / F.col("known") - share) <= Z * error)
+        alike = (F.col("known") == 0) | (F.abs(F.try_divide("good", "known") - share) <= Z * error)
         branch = F.when(varies | F.col("seg").contains("{") | alike, "*").otherwise(F.col("seg"))
         chosen = both.select("host", "template", "seg", F.concat("template", F.lit("/"), branch).alias("grown"))
         step = here.join(chosen, ["host", "template", "seg"], "left").select("host", "shape", "n", "known", "good", F.coalesce("grown", "template").alias("template"))
@@ -91,7 +91,7 @@ def grow_templates(pages: DataFrame, depth: int = DEPTH) -> DataFrame:
 def reject_templates(grown: DataFrame) -> DataFrame:
     """host, template, n, known, purity (smoothed share of good pages) and rejected, for each template."""
     by = grown.groupBy("host", "template").agg(F.sum("n").alias("n"), F.sum("known").alias("known"), F.sum("good").alias("good"))
-    total = grown.agg((F.sum("good") / F.sum("known")).alias("base"))
+    total = grown.agg(F.try_divide(F.sum("good"), F.sum("known")).alias("base"))
     purity = (F.col("good") + PRIOR * F.coalesce("base", F.lit(1.0))) / (F.col("known") + PRIOR)
     out = by.crossJoin(F.broadcast(total)).withColumn("purity", purity)  # one row of totals
     return out.select("host", "template", "n", "known", "purity", ((F.col("known") >= LEAST_LABELLED) & (F.col("purity") < LEAST_GOOD)).alias("rejected"))
