@@ -156,7 +156,7 @@ def eval_metrics(scored: DataFrame, by: list[str]) -> DataFrame:
     """Counts, rates and means over scored candidates; one row of zeros for an empty table without ``by``."""
 
     def mean(c: Column) -> Column:
-        return round_k(F.coalesce(F.sum(c.cast("decimal(20,6)")).cast("double") / F.count("*"), F.lit(0.0)), 6)
+        return round_k(F.coalesce(F.try_divide(F.sum(c.cast("decimal(20,6)")).cast("double"), F.count("*")), F.lit(0.0)), 6)
 
     return scored.groupBy(*by).agg(
         F.count("*").alias("candidates"), mean(F.col("flagged").cast("int")).alias("hallucination_rate"), mean(F.col("attribution")).alias("attribution_mean"), mean(F.col("overall")).alias("score_mean"),
