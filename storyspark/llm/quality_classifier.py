@@ -59,7 +59,7 @@ class Discriminant:
         return 1 / (1 + np.exp(np.clip(logs[0] - logs[1], -500, 500)))
 
 
-def fit_from_sums(n: np.ndarray, s: np.ndarray, ss: np.ndarray, to_diagonal: float = 0.2, to_pooled: float = 0.1, floor: float = 1e-3) -> Discriminant | None:
+def fit_from_sums(n: np.ndarray, s: np.ndarray, ss: np.ndarray, to_diagonal: float = 0.2, to_pooled: float = 0.3, floor: float = 0.01) -> Discriminant | None:
     """From counts, sums and sums of products by class; None where a class has no rows."""
     if (n < 1).any():
         return None

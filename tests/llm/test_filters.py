@@ -100,8 +100,8 @@ def test_discriminant_equals_the_densities():
     pooled = (50 * covs[0] + 80 * covs[1]) / 130
     logs = []
     for k in (0, 1):
-        c = 0.9 * covs[k] + 0.1 * pooled
-        c = 0.8 * c + 0.2 * np.diag(np.diag(c)) + 1e-3 * np.eye(10)
+        c = 0.7 * covs[k] + 0.3 * pooled
+        c = 0.8 * c + 0.2 * np.diag(np.diag(c)) + 0.01 * np.eye(10)
         d = x - x[y == k].mean(0)
         logs.append(np.log(n[k] / 130) - 0.5 * np.linalg.slogdet(c)[1] - 0.5 * np.einsum("ij,jk,ik->i", d, np.linalg.inv(c), d))
     assert np.allclose(model.scores(x), 1 / (1 + np.exp(logs[0] - logs[1])))
