@@ -111,3 +111,32 @@ def filter_answer_urls(answers: DataFrame, allowed: DataFrame) -> DataFrame:
     out = F.when(F.col("key").isNotNull() & F.col("ok").isNull(), F.concat(F.lit("[link omitted]"), "tail")).otherwise(F.col("p"))
     by = met.withColumn("o", out).groupBy("answer_id").agg(F.array_sort(F.collect_list(F.struct("i", "o"))).alias("ps"), F.count_if(F.col("key").isNotNull() & F.col("ok").isNull()).alias("omitted"))
     return by.select("answer_id", F.array_join(F.transform("ps", lambda x: x.o), "").alias("answer"), "omitted")
+
+
+def compare_coverage(cards: DataFrame, sources: DataFrame) -> DataFrame:
+    """One row for a comparable story: common claims (6), majority facts (4), a report per source, what is missing.
+
+    cards: cluster_no, key_facts, summary, primary_source; sources as coverage_sources gives them. Every claim
+    stands for all sources; stories with fewer than two sources are left out.
+    """
+    listed = sources.groupBy("cluster_no").agg(F.array_sort(F.collect_list(F.struct("position", "source", "url"))).alias("s")).filter(F.size("s") >= 2)
+    rows = cards.select("cluster_no", "key_facts", "summary", "primary_source").join(listed, "cluster_no")
+    detail = lambda x: F.when(x.source == F.col("primary_source"), F.concat(F.lit("Primary coverage summary: "), F.col("summary"))).otherwise("Also covering this event (see article).")
+    return rows.select(
+        "cluster_no",
+        F.slice("key_facts", 1, 6).alias("claims"),
+        F.slice("key_facts", 1, 4).alias("majority_facts"),
+        F.transform("s", lambda x: x.source).alias("sources"),
+        F.transform("s", lambda x: F.struct(x.source.alias("source"), x.url.alias("url"), detail(x).alias("detail"))).alias("reports"),
+        F.when(F.size("s") < 3, F.array(F.lit("Limited outlet set — additional independent sources may add detail."))).otherwise(F.array().cast("array<string>")).alias("missing"),
+    )
+
+
+def conflict_positions(disagreements: DataFrame, sources: DataFrame) -> DataFrame:
+    """cluster_no, issue, source, claim, url: each position with the url of its source, by name without case.
+
+    disagreements: cluster_no, issue, positions (array of source, claim). Of several urls of a source the first counts.
+    """
+    rows = disagreements.select("cluster_no", "issue", F.explode("positions").alias("p")).select("cluster_no", "issue", "p.source", "p.claim", F.lower("p.source").alias("key"))
+    first = sources.groupBy("cluster_no", F.lower("source").alias("key")).agg(F.min_by("url", "position").alias("url"))
+    return rows.join(first, ["cluster_no", "key"], "left").select("cluster_no", "issue", "source", "claim", "url")

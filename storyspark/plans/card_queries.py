@@ -38,6 +38,24 @@ def q_comparable_stories(s, d):
     return nd.comparable_stories(q_coverage_sources(s, d))
 
 
+def _facts(cards):
+    return cards.withColumn("key_facts", F.split("summary", "[.!?] +"))
+
+
+def q_compare_coverage(s, d):
+    c = _built(s, d)["cards"]
+    out = nd.compare_coverage(_facts(c), nd.coverage_sources(c))
+    reports = F.array_join(F.transform("reports", lambda x: F.concat_ws("|", x.source, x.url, F.md5(x.detail))), " ")
+    return out.select("cluster_no", F.md5(F.array_join("claims", "|")).alias("claims"), F.size("majority_facts").alias("n_majority"), F.array_join("sources", ",").alias("sources"), reports.alias("reports"), F.size("missing").alias("n_missing"))
+
+
+def q_conflict_positions(s, d):
+    c = _built(s, d)["cards"]
+    position = lambda x: F.struct(F.upper(x).alias("source"), F.concat(F.lit("claim of "), x).alias("claim"))
+    said = c.select("cluster_no", F.lit("issue").alias("issue"), F.transform(F.concat(F.split("covered_by", " · "), F.array(F.lit("nobody"))), position).alias("positions"))
+    return nd.conflict_positions(said, nd.coverage_sources(c))
+
+
 def replies(s, d):
     """Documents in the shape of model replies: sound, fenced, broken, with missing fields or wrong values."""
     doc = ad.table(s, d, "documents")
@@ -67,6 +85,17 @@ QUERIES = {
     "briefing_stats": (q_briefing_stats, None),
     "coverage_sources": (q_coverage_sources, f"WITH RECURSIVE {_INPUTS} SELECT cluster_no, CAST(position AS INTEGER) AS position, url, source FROM cs"),
     "comparable_stories": (q_comparable_stories, f"WITH RECURSIVE {_INPUTS} SELECT cluster_no, count(*) AS n, count(*) >= 2 AS comparable, CASE WHEN count(*) < 2 THEN 'fewer than two source articles' END AS reason FROM cs GROUP BY cluster_no"),
+    "compare_coverage": (
+        q_compare_coverage,
+        f"""WITH RECURSIVE {_INPUTS}, ls AS (SELECT cluster_no, list({{'s': source, 'u': url}} ORDER BY position) AS s FROM cs GROUP BY cluster_no HAVING count(*) >= 2), cf AS (SELECT c.cluster_no, rep_source, summary, regexp_split_to_array(summary, '[.!?] +') AS kf, s FROM cards c JOIN ls USING (cluster_no))
+SELECT cluster_no, md5(array_to_string(kf[1:6], '|')) AS claims, CAST(len(kf[1:4]) AS INTEGER) AS n_majority, array_to_string(list_transform(s, lambda x: x.s), ',') AS sources,
+  array_to_string(list_transform(s, lambda x: x.s || '|' || x.u || '|' || md5(CASE WHEN x.s = rep_source THEN 'Primary coverage summary: ' || summary ELSE 'Also covering this event (see article).' END)), ' ') AS reports, CAST(CASE WHEN len(s) < 3 THEN 1 ELSE 0 END AS INTEGER) AS n_missing FROM cf""",
+    ),
+    "conflict_positions": (
+        q_conflict_positions,
+        f"""WITH RECURSIVE {_INPUTS}, p AS (SELECT cluster_no, unnest(list_concat(string_split(covered_by, ' · '), ['nobody'])) AS n FROM cards)
+SELECT p.cluster_no, 'issue' AS issue, upper(n) AS source, 'claim of ' || n AS claim, f.url FROM p LEFT JOIN (SELECT cluster_no, lower(source) AS k, first(url ORDER BY position) AS url FROM cs GROUP BY ALL) f ON f.cluster_no = p.cluster_no AND f.k = lower(n)""",
+    ),
     "validate_model_outputs": (
         q_validate_model_outputs,
         r"""WITH x AS (SELECT doc_id, doc_id % 7 AS k, text, trim(text, ' ' || chr(9) || chr(10) || chr(13) || chr(12) || chr(11)) AS t FROM documents), r AS (SELECT doc_id, k, CASE WHEN k = 6 THEN 'not JSON' WHEN k = 2 THEN 'missing headline' WHEN k = 3 OR trim(coalesce(text, '')) = '' THEN 'missing summary' WHEN length(text) > 4000 THEN 'summary too long' WHEN k = 4 THEN 'bad confidence'

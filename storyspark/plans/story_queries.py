@@ -111,6 +111,10 @@ def q_score_clusters(spark, sf):
     return st.score_clusters(members(spark, sf), phrase(), ad.now())
 
 
+def _part(column):
+    return lambda spark, sf: q_score_clusters(spark, sf).select("cluster_no", column)
+
+
 def q_assess_verification(spark, sf):
     m = members(spark, sf)
     out = st.assess_verification(m, st.cluster_cohesion(m), ad.now())
@@ -181,6 +185,11 @@ SELECT a, b, {sq.rnd('score')} AS score FROM hp WHERE score >= 0.7::DOUBLE""",
     "pick_headline": (q_pick_headline, f"WITH RECURSIVE {sq.SCORED} {sq.HEADLINES} SELECT * FROM heads"),
     "build_clusters": (q_build_clusters, f"WITH RECURSIVE {sq.STORIES} SELECT topic, cluster_id, representative, headline, sources, source_count, article_count, first_published_at, latest_published_at, article_ids FROM stories"),
     "score_clusters": (q_score_clusters, f"WITH RECURSIVE {sq.SCORED} SELECT * FROM scores"),
+    "score_relevance": (_part("relevance"), f"WITH RECURSIVE {sq.SCORED} SELECT cluster_no, relevance FROM scores"),
+    "score_freshness": (_part("freshness"), f"WITH RECURSIVE {sq.SCORED} SELECT cluster_no, freshness FROM scores"),
+    "score_source_diversity": (_part("diversity"), f"WITH RECURSIVE {sq.SCORED} SELECT cluster_no, diversity FROM scores"),
+    "score_source_quality": (_part("quality"), f"WITH RECURSIVE {sq.SCORED} SELECT cluster_no, quality FROM scores"),
+    "score_importance": (_part("importance"), f"WITH RECURSIVE {sq.SCORED} SELECT cluster_no, importance FROM scores"),
     "assess_verification": (
         q_assess_verification,
         f"""WITH RECURSIVE {sq.SCORED} SELECT cluster_no, source_count, independent_count, {sq.rnd('least(1.0::DOUBLE, independent_count / 5)')} AS source_diversity, {sq.rnd(sq.FRESHNESS)} AS source_recency, {sq.rnd('quality')} AS source_quality,
