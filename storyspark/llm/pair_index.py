@@ -14,6 +14,10 @@ from heapq import heappop, heappush
 import numpy as np
 
 SHIFT = 20
+#: Binary logarithm of the number of hashed slots.
+SLOTS = 20
+#: Pieces in one index; the arrays over them take some tens of MB.
+AT_ONCE = 50_000
 
 
 def byte_letters() -> list[str]:
@@ -46,22 +50,42 @@ class PairIndex:
         keys = np.array([a << SHIFT | b for a, b, _ in self.merges], np.int64)
         self.rank_of = np.argsort(keys, kind="stable")
         self.keys = keys[self.rank_of]
+        #: A hashed slot for each pair; pairs that share one are found in the sorted keys.
+        self.slot_key = np.full(1 << SLOTS, -1, np.int64)
+        self.slot_rank = np.zeros(1 << SLOTS, np.int32)
+        at = self.slot(self.keys)
+        self.slot_key[at], self.slot_rank[at] = self.keys, self.rank_of
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.bytes_of = {} if suffix else {i: bytes(back[c] for c in t) for t, i in vocab.items()} | {i: t.encode() for t, i in self.special.items()}
 
+    @staticmethod
+    def slot(keys: np.ndarray) -> np.ndarray:
+        return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOTS)
+
     def ranked(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Which of these neighbours are pairs with a rank, and those pairs' ranks."""
-        keys = left.astype(np.int64) << SHIFT | right
-        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        hit = np.flatnonzero(self.keys[at] == keys)
-        return hit, self.rank_of[at[hit]]
+        keys = (left.astype(np.int64) << SHIFT) | right
+        at = self.slot(keys)
+        found = self.slot_key[at]
+        same = found == keys
+        ranks = np.where(same, self.slot_rank[at], -1)
+        other = np.flatnonzero(~same & (found >= 0))
+        if len(other):
+            k = keys[other]
+            i = np.minimum(np.searchsorted(self.keys, k), len(self.keys) - 1)
+            ranks[other] = np.where(self.keys[i] == k, self.rank_of[i], -1)
+        hit = np.flatnonzero(ranks >= 0)
+        return hit, ranks[hit]
 
     def merge_all(self, pieces: list[str]) -> list[bytes]:
-        """Ids of each piece, as little-endian unsigned 32-bit integers."""
+        """Ids of each piece, as little-endian unsigned 32-bit integers; AT_ONCE pieces share an index."""
+        return [ids for i in range(0, len(pieces), AT_ONCE) for ids in self._merge(pieces[i : i + AT_ONCE])]
+
+    def _merge(self, pieces: list[str]) -> list[bytes]:
         coded = [p.encode("utf-8", "surrogatepass") for p in pieces]
         # a byte 255 ends each piece (it is in no UTF-8); no pair reaches over it
         raw = np.frombuffer(b"\xff".join(coded) + b"\xff\xff", np.uint8)
-        symbols = np.where(raw == 255, -1, self.of_byte[raw])
+        symbols = np.where(raw == 255, -1, self.of_byte[raw]).astype(np.int32)
         ends = np.flatnonzero(raw == 255)[: len(pieces)]
         if self.of_last is not None:
             last = ends[np.diff(ends, prepend=-1) > 1] - 1
