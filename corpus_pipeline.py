@@ -6,10 +6,7 @@ tables. All but the last return the columns of documents.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from storyspark.llm.common import table
 from storyspark.llm.packing import pack, word_bpe_path
@@ -17,7 +14,7 @@ from storyspark.llm.pii import mask_documents
 from storyspark.llm.quality_rules import quality_rules
 from storyspark.llm.simhash import keep_one_per_component
 from storyspark.llm.toxicity import drop_toxic
-from storyspark.plans.cutting import shared_dir
+from storyspark.plans.cutting import materialize
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -62,11 +59,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; what a stage keeps is written to the shared folder and read by the next."""
     docs = table(spark, sf_dir, "documents").select(*COLUMNS)
-    root = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
-    for i, (name, stage) in enumerate(STAGES):
-        out = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            out.write.parquet(f"{root}/{i}-{name}")
-            out = spark.read.parquet(f"{root}/{i}-{name}")
-        docs = out
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
