@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -10,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Rows and bytes in an Arrow batch, so that a worker holds a few MB of texts, however long they are.
-BATCH_ROWS, BATCH_BYTES = 4000, 16 << 20
+BATCH_ROWS, BATCH_BYTES = 4000, 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,11 +39,19 @@ def strings(column: pa.Array) -> list[str]:
     return [x or "" for x in column.to_pylist()]
 
 
-def map_text(df: DataFrame, text_col: str, keep: list[str], fields: T.StructType, start: Callable[[], Callable[[list[str]], list[pa.Array]]]) -> DataFrame:
+def release_memory() -> None:
+    """Hands freed memory back at a task's end, as a Python worker lives on for other stages."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not a GNU C library
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def map_text(df: DataFrame, text_col: str, keep: list[str], fields: T.StructType, start: Callable[[], Callable[[list[str]], list[pa.Array]]], at_once: int = BATCH_ROWS) -> DataFrame:
     """``keep`` columns as they are, then ``fields`` worked out from the texts, batch by batch.
 
     ``start`` runs once in each task and gives the function from a batch's texts to the arrays of
-    ``fields``. Only ``keep`` and the text travel, so other columns, also of clashing names, don't matter.
+    ``fields``; it gets at most ``at_once`` of them together. Only ``keep`` and the text travel, so
+    other columns, also of clashing names, don't matter.
     """
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
@@ -51,9 +61,11 @@ def map_text(df: DataFrame, text_col: str, keep: list[str], fields: T.StructType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = start()
-        for batch in batches:
-            if batch.num_rows:
+        for whole in batches:
+            for i in range(0, whole.num_rows, at_once):
+                batch = whole.slice(i, at_once)
                 made = work(strings(batch.column(len(keep))))
-                yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(len(keep))] + made, names=names)
+                yield pa.RecordBatch.from_arrays([batch.column(k) for k in range(len(keep))] + made, names=names)
+        release_memory()
 
     return taken.mapInArrow(run, schema)

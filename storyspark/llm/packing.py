@@ -9,10 +9,12 @@ window ends, and the last window is cut into lengths that are powers of two, whi
 
 from __future__ import annotations
 
+import re
 import unicodedata
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -21,16 +23,19 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from storyspark.llm.common import BATCH_BYTES, BATCH_ROWS, strings, table
+from storyspark.llm.common import BATCH_BYTES, BATCH_ROWS, release_memory, strings, table
 from storyspark.llm.pair_index import PairIndex
 
 WINDOW, END_ID = 4096, 2
 #: An open window stays as it is at the end if its padding is at most this share.
 SPARE = 1 / 64
-#: Words whose ids a worker remembers, at most; twice as many while the older half fades out.
-REMEMBERED = 300_000
+#: Pieces whose ids a worker remembers, at most; twice as many while the older half fades out.
+REMEMBERED = 120_000
+#: Texts whose words are held at a time.
+AT_ONCE = 800
+#: Beyond Latin letters; U+0130 is among them, as its lower case is two characters.
+BEYOND = "[^\x00-\u012f\u0131-\u024f]"
 #: Fixed value: the pretokeniser of the word BPE vocabulary.
-LATIN = "\u024f"
 WORD_PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 PIECES = T.StructType([T.StructField(n, T.LongType()) for n in ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")])
@@ -39,29 +44,30 @@ PIECES = T.StructType([T.StructField(n, T.LongType()) for n in ("start", "length
 class WordIds:
     """Ids of texts by a lower-casing word BPE file, whose pieces never reach over white space.
 
-    Words are looked up in a memory; new ones are normalised and cut as the file asks, and merged
-    through the pair occurrence index, or by the library where they hold letters beyond Latin ones.
+    Words are normalised and cut as the file asks; pieces are looked up in a memory, new ones merged
+    through the pair occurrence index. Words with letters beyond Latin ones go through the library.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
+        self.path = path
         self.index = PairIndex(path)
         self.special = {s: np.array([i], "<u4").tobytes() for s, i in self.index.special.items()}
         self.split = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")").split
         self.pieces = regex.compile(WORD_PIECES).findall
         self.spaces = regex.compile(r"[ \t-\r]+").split
+        self.beyond = re.compile(BEYOND).search
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
     def words(self, text: str) -> list[str]:
         """Python's white space is white space to the tokeniser, but for four control characters."""
-        return self.spaces(text) if any(c in text for c in "\x1c\x1d\x1e\x1f") else text.split()
+        if any(c in text for c in "\x1c\x1d\x1e\x1f"):
+            return [w for w in self.spaces(text) if w]
+        return text.split()
 
     def cut(self, word: str) -> list[str]:
+        if word[-1] in ".,!?" and word[:-1].isalpha():
+            return [word[:-1].lower(), word[-1]]
         out = []
         for k, part in enumerate(self.split(word)):
             if k % 2:
@@ -71,27 +77,45 @@ class WordIds:
                 out += self.pieces(part.lower())
         return out
 
+    @cached_property
+    def library(self):
+        from tokenizers import Tokenizer
+
+        found = Tokenizer.from_file(self.path)
+        found.no_truncation()
+        found.no_padding()
+        return found
+
     def encode_batch(self, texts: list[str]) -> list[bytes]:
+        return [ids for i in range(0, len(texts), AT_ONCE) for ids in self._encode(texts[i : i + AT_ONCE])]
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
         words = [self.words(t) for t in texts]
         if len(self.young) > REMEMBERED:
             self.old, self.young = self.young, {}
-        young, old, missing = self.young, self.old, []
-        for w in set().union(*words):
-            if w not in young:
-                if (ids := old.get(w)) is not None:
-                    young[w] = ids
-                else:
-                    missing.append(w)
-        if missing:
+        young, old = self.young, self.old
+        every = set().union(*words)
+        ids_of: dict[str, bytes] = {}
+        if any(map(self.beyond, texts)):
             # letters that Unicode versions may class differently go through the library itself
-            other = [w for w in missing if not w.isascii() and max(w) > LATIN]
-            young.update((w, np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, "<u4").tobytes()) for w in other)
-            missing = [w for w in missing if w not in young]
-            cut = [self.cut(w) for w in missing]
-            new = list({p for pieces in cut for p in pieces if p not in self.special})
-            ids_of = dict(zip(new, self.index.merge_all(new), strict=True)) | self.special
-            young.update((w, ids_of[ps[0]] if len(ps) == 1 else b"".join([ids_of[p] for p in ps])) for w, ps in zip(missing, cut, strict=True))
-        return [b"".join([young[w] for w in ws]) for ws in words]
+            other = [w for w in every if self.beyond(w)]
+            ids_of = {w: np.array(self.library.encode(w, add_special_tokens=False).ids, "<u4").tobytes() for w in other}
+            every.difference_update(other)
+        plain = {w: w.lower() for w in every if w.isalpha()}  # one piece each, composed already
+        mixed = {w: self.cut(w) for w in every if w not in plain}
+        new = []
+        for p in set(plain.values()).union(*mixed.values()):
+            if p not in young:
+                if (ids := old.get(p)) is not None:
+                    young[p] = ids
+                elif p in self.special:
+                    young[p] = self.special[p]
+                else:
+                    new.append(p)
+        young.update(zip(new, self.index.merge_all(new), strict=True))
+        ids_of |= {w: young[p] for w, p in plain.items()}
+        ids_of |= {w: b"".join([young[p] for p in ps]) for w, ps in mixed.items()}
+        return [b"".join([ids_of[w] for w in ws]) for ws in words]
 
 
 class Packer:
@@ -193,6 +217,7 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = END_ID)
                 yield out(rows)
         if rows := list(packer.finish()):
             yield out(rows)
+        release_memory()
 
     return taken.mapInArrow(run, schema)
 

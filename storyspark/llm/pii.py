@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from storyspark.llm.common import map_text, table
+from storyspark.llm.common import map_text, release_memory, table
 from storyspark.plans.cutting import materialize
 
 KINDS = ("email", "ip", "card", "phone")
@@ -224,6 +224,7 @@ def mask_documents(docs: DataFrame, columns: list[str]) -> DataFrame:
             if at_chars is not None:
                 made[at_chars] = pa.array([n if t is None else len(t) for t, n in zip(texts, b.column(at_chars).to_pylist(), strict=True)], made[at_chars].type)
             yield pa.RecordBatch.from_arrays(made, names=columns)
+        release_memory()
 
     return rows.mapInArrow(run, schema)
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from storyspark.llm.common import fold, map_text, table, training_labels
+from storyspark.llm.common import fold, map_text, release_memory, table, training_labels
 from storyspark.plans.cutting import materialize
 
 #: Labelled examples at most (first in the order of a hash of the id); terms at most; the least toxic examples of a
@@ -47,7 +47,7 @@ def _exploded(sample: DataFrame) -> DataFrame:
 
         return work
 
-    return map_text(sample, "text", ["y"], T.StructType([T.StructField("terms", T.ArrayType(T.StringType()))]), start).select("y", F.explode("terms").alias("term"))
+    return map_text(sample, "text", ["y"], T.StructType([T.StructField("terms", T.ArrayType(T.StringType()))]), start, at_once=100).select("y", F.explode("terms").alias("term"))
 
 
 def choose_terms(sample: DataFrame) -> list[str]:
@@ -83,7 +83,7 @@ def with_terms(docs: DataFrame, vocabulary: list[str], keep: list[str]) -> DataF
                 for word in WORDS(t.lower()):
                     ids = known.get(word)
                     if ids is None:
-                        if len(known) > 200_000:  # the memory of words, not the words, is bounded
+                        if len(known) > 100_000:  # the memory of words, not the words, is bounded
                             known.clear()
                         ids = known[word] = tuple(number[x] for x in terms_of(word) if x in number)
                     for i in ids:
@@ -245,6 +245,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, columns: list[str], least: fl
             made = zip(b.column(at).to_pylist(), b.column(n).to_pylist(), b.column(n + 1).to_pylist(), strict=True)
             keep = pa.array([not index.value or index.value.vote(t, x, i)[0] < least for i, t, x in made], pa.bool_())
             yield b.select(columns).filter(keep)
+        release_memory()
 
     return rows.mapInArrow(run, schema)
 
