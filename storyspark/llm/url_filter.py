@@ -1,13 +1,14 @@
 """URL filters: host and path rules, then a tree of path templates for each host.
 
 The path's segments make a tree under their host. From the top down, a segment becomes a wildcard
-where it varies (a shape of digits or hexadecimal digits, or children that are nearly all different),
+where it varies (wholly a shape of digits or hexadecimal digits, or children that are nearly all different),
 or where its labelled share does not differ statistically from that of its siblings, so that similar
 branches merge. What is left are templates; a template is rejected where the share of its labelled
 pages that are good, smoothed towards the share of all labelled pages, is too low.
 
 The tree is grown over distinct shaped paths with their counts, a table that Spark has grouped
-first; its levels are grouped sums and equi-joins, and no host is ever held by one task.
+first; its levels are grouped sums and equi-joins, and no host is ever held by one task. Levels are
+added until no path that still shares its branch with another one has a further segment.
 """
 
 from __future__ import annotations
@@ -33,8 +34,8 @@ class UrlRule:
 
 
 RULES = (UrlRule("net", "/", "block"), UrlRule("example.net", "/en/", "allow"), UrlRule("example.com", "/de/", "block"), UrlRule("org", "/fr/", "allow"))
-#: Levels of the tree; deeper segments share the last level's wildcard.
-DEPTH = 6
+#: Segments that are wholly a shape.
+SHAPES = ("{n}", "{x}")
 #: A node with so many different children, of which so large a share of its paths is of its own, varies.
 MANY, SINGLE_SHARE = 8, 0.5
 #: Branches merge whose shares differ by less than so many standard errors.
@@ -64,28 +65,35 @@ def rule_for(host: Column, path: Column, rules: tuple[UrlRule, ...] = RULES) ->
 def shaped(path: Column) -> Column:
     """Segments of a path, digits and long hexadecimal words replaced by their kind."""
     parts = F.filter(F.split(path, "/"), lambda s: s != "")
-    shape = F.transform(parts, lambda s: F.regexp_replace(F.regexp_replace(s, "[0-9a-fA-F]{12,}", "{x}"), "[0-9]+", "{n}"))
-    return F.when(F.size(shape) > DEPTH, F.concat(F.slice(shape, 1, DEPTH - 1), F.array(F.lit("*")))).otherwise(shape)
+    return F.transform(parts, lambda s: F.regexp_replace(F.regexp_replace(s, "[0-9a-fA-F]{12,}", "{x}"), "[0-9]+", "{n}"))
 
 
-def grow_templates(pages: DataFrame, depth: int = DEPTH) -> DataFrame:
+def grow_templates(pages: DataFrame) -> DataFrame:
     """(host, shape) to template, from columns host, shape, good (1, 0 or null) of all pages."""
+    spark = pages.sparkSession
     shapes = pages.groupBy("host", "shape").agg(F.count("*").alias("n"), F.count("good").alias("known"), F.coalesce(F.sum("good"), F.lit(0)).alias("good"))
-    now = materialize(shapes.withColumn("template", F.lit("")), "shapes")
-    for level in range(1, depth + 1):
-        here = now.withColumn("seg", F.get("shape", F.lit(level - 1)))
-        sums = here.filter("seg is not null").groupBy("host", "template", "seg").agg(F.sum("n").alias("n"), F.sum("known").alias("known"), F.sum("good").alias("good"))
-        node = sums.groupBy("host", "template").agg(F.count("*").alias("children"), F.sum("n").alias("all_n"), F.sum("known").alias("all_known"), F.sum("good").alias("all_good"))
+    now = materialize(shapes.withColumns({"template": F.lit(""), "open": F.size("shape") > 0}), "shapes")
+    levels = [now]
+    while not now.filter("open").isEmpty():
+        level = len(levels)
+        here = now.filter("open").withColumn("seg", F.get("shape", F.lit(level - 1)))
+        sums = here.groupBy("host", "template", "seg").agg(F.count("*").alias("paths"), F.sum("n").alias("n"), F.sum("known").alias("known"), F.sum("good").alias("good"))
+        node = sums.groupBy("host", "template").agg(F.count("*").alias("children"), F.sum("paths").alias("all_paths"), F.sum("n").alias("all_n"), F.sum("known").alias("all_known"), F.sum("good").alias("all_good"))
         both = sums.join(node, ["host", "template"])
         share = F.try_divide("all_good", "all_known")
         error = F.sqrt(F.try_divide(share * (1 - share), "known"))
         varies = (F.col("children") >= MANY) & (F.col("children") > SINGLE_SHARE * F.col("all_n"))
         alike = (F.col("known") == 0) | (F.abs(F.try_divide("good", "known") - share) <= Z * error)
-        branch = F.when(varies | F.col("seg").contains("{") | alike, "*").otherwise(F.col("seg"))
-        chosen = both.select("host", "template", "seg", F.concat("template", F.lit("/"), branch).alias("grown"))
-        step = here.join(chosen, ["host", "template", "seg"], "left").select("host", "shape", "n", "known", "good", F.coalesce("grown", "template").alias("template"))
+        branch = F.when(varies | F.col("seg").isin(*SHAPES) | alike, "*").otherwise(F.col("seg"))
+        chosen = both.select("host", "template", "seg", F.concat("template", F.lit("/"), branch).alias("grown"), (F.col("all_paths") == 1).alias("alone"))
+        step = here.join(chosen, ["host", "template", "seg"])
+        # a path alone in its node is like itself at each further level
+        rest = F.when(F.col("alone"), F.repeat(F.lit("/*"), F.size("shape") - level)).otherwise("")
+        step = step.select("host", "shape", "n", "known", "good", F.concat("grown", rest).alias("template"), (~F.col("alone") & (F.size("shape") > level)).alias("open"))
         now = materialize(step, "shapes")
-    return now
+        levels.append(now)
+    whole = spark.read.schema(now.schema).parquet(*[x._storyspark_path for x in levels])
+    return whole.filter(~F.col("open")).drop("open")
 
 
 def reject_templates(grown: DataFrame) -> DataFrame:

@@ -190,6 +190,22 @@ def test_url_filter(spark):
     assert {r.verdict for r in url_filter.filter_urls(pages.filter("url like '%mixed%'"), labels.limit(0)).collect()} == {"allow"}
 
 
+def test_mixed_shapes_and_deep_segments_are_told_apart(spark):
+    deep = "http://deep.io/a/b/c/d/e/f/g/"
+    urls = [f"http://mix.io/article-{i}" for i in range(40)] + [f"http://mix.io/casino-{i}" for i in range(40)]
+    urls += [f"{deep}good/{i}" for i in range(40)] + [f"{deep}spam/{i}" for i in range(40)]
+    urls += [f"http://ids.io/{i}" for i in range(40)] + ["http://long.io" + "/x" * 300, "http://long.io"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    labels = spark.createDataFrame([(i, int("casino" not in u and "spam" not in u), 0) for i, u in enumerate(urls)], LABELS)
+    got = {urls[r.page_id]: r for r in url_filter.filter_urls(pages, labels).collect()}
+    assert len(got) == len(urls)
+    assert all(r.verdict == ("block" if "casino" in u or "spam" in u else "allow") for u, r in got.items())
+    assert got["http://mix.io/casino-7"].template == "/casino-{n}" and got["http://mix.io/article-7"].template == "/article-{n}"
+    assert got["http://ids.io/7"].template == "/*"
+    assert got[deep + "spam/7"].template == "/*" * 7 + "/spam/*"
+    assert got["http://long.io" + "/x" * 300].template == "/*" * 300 and got["http://long.io"].template == ""
+
+
 @pytest.mark.parametrize("i", [0, 7, -1, 10**12])
 def test_fold_is_crc32_of_the_decimal_text(spark, i):
     from pyspark.sql import functions as F
