@@ -31,9 +31,14 @@ DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+#: The signs, or the words: between spaces, or in brackets with or without them.
+AT = r" ?[\[({]?(?:@| [Aa][Tt] )[\])}]? ?| ?[\[({] ?[Aa][Tt] ?[\])}] ?"
+DOT = r" ?[\[({]?(?:\.| [Dd][Oo][Tt] )[\])}]? ?| ?[\[({] ?[Dd][Oo][Tt] ?[\])}] ?"
+#: What every text with such an e-mail address holds.
+HAS_AT = re.compile(r"@|[ \[({][Aa][Tt][ \])}]")
 #: Identifier-like strings of each kind, looser than the strict patterns.
 LOOSE = {
-    "email": re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+ ?[\[({]?(?:@| at )[\])}]? ?[A-Za-z0-9-]+(?: ?[\[({]?(?:\.| dot )[\])}]? ?[A-Za-z0-9-]+)+"),
+    "email": re.compile(rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++(?:{AT})[A-Za-z0-9-]++(?:(?:{DOT})[A-Za-z0-9-]++)+"),
     "ip": re.compile(r"(?<![0-9.])[0-9]{1,3}(?:[.:\[\]]{1,3}[0-9]{1,3}){3}(?![0-9.]*[0-9])"),
     "card": re.compile(r"(?<![0-9])[0-9]{4}(?:[ ./-]?[0-9]{4}){2,3}(?:[ ./-]?[0-9]{1,4})?(?![0-9])"),
     "phone": re.compile(r"(?<![0-9+])(?:\([0-9]{2,4}\)|[0-9]{2,4})[ ./-]?[0-9]{3,4}(?:[ ./-][0-9]{3,4})+(?![0-9])"),
@@ -83,10 +88,10 @@ def strict(text: str) -> list[tuple[int, int, int]]:
 
 def loose(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """(start, kind, end) of identifier-like strings that overlap no base match nor each other."""
-    digits, at = DIGIT.search(text) is not None, "@" in text or " at " in text
+    digits, at = DIGIT.search(text) is not None, HAS_AT.search(text) is not None
     found = []
     for kind, name in enumerate(KINDS):
-        if digits if kind else at and ("@" in text or " dot " in text):
+        if digits if kind else at:
             found += [(m.start(), kind, m.end()) for m in LOOSE[name].finditer(text)]
     # base matches of different kinds may overlap: their union, as disjoint intervals
     starts, ends = [], []

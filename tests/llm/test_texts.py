@@ -151,6 +151,24 @@ def test_contexts_find_unseen_identifiers(spark):
     assert pii.find_pii(df.limit(0)).count() == 0
 
 
+HIDDEN = ["john at host.com", "john at host dot com", "john [at] host [dot] com", "john(at)host(dot)com", "john[at]host[dot]com", "john [ at ] host [ dot ] com", "john {at} mail.host.com", "john AT host DOT com", "john @ host . com"]
+
+
+@pytest.mark.parametrize("hidden", HIDDEN)
+def test_hidden_addresses_are_candidates_alone_in_their_text(hidden):
+    for text in (hidden, f"write to {hidden}, please"):
+        assert [text[s:e] for s, k, e in pii.loose(text, pii.strict(text)) if k == 0] == [hidden]
+
+
+def test_confident_contexts_find_hidden_addresses(spark):
+    r = random.Random(2)
+    rows = [f"kindly write mail: a{r.randint(0, 10**6)}@b{i}.com !! before noon" for i in range(60)]
+    rows += [f"kindly write mail: {x} !! before noon" for x in HIDDEN]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {x.doc_id: x.text for x in pii.mask_documents(df, ["doc_id", "text"]).collect()}
+    assert set(got.values()) == {"kindly write mail: [EMAIL] !! before noon"} and len(got) == len(rows)
+
+
 def plain_digest(turns):
     sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
     loss = "".join(t for r, t in turns if r == "assistant")
