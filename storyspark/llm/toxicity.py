@@ -5,12 +5,14 @@ separates the classes among a bounded sample of labelled texts; document frequen
 over all documents. Examples sit in an inverted index whose lists are cut into blocks of examples,
 each with its largest weight (Ding and Suel 2011): a document's blocks are visited in the order of
 their upper bounds until none can hold a nearer example. The nearest ones vote with weights that fall
-with their distance, towards the share of toxic examples among those that share no term.
+with their distance, towards the share of toxic examples among those that share no term. Near copies
+of an example are found by their runs of words, whatever terms they hold, and vote as well.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -29,15 +31,31 @@ from storyspark.plans.cutting import materialize
 MAX_EXAMPLES, MAX_TERMS, LEAST_DOCS, LEAST_SHARE, LEAST_ODDS = 16_000, 2_000, 4, 0.01, 8.0
 #: Lengths of word beginnings; neighbours that vote; weight of the prior; examples in a block.
 BEGINNINGS, NEIGHBOURS, PRIOR, BLOCK = tuple(range(4, 11)), 9, 0.25, 64
+#: Words in a run; least hashes of runs in a sketch, and of those that look examples up; least resemblance of a near copy.
+RUN, SKETCH, LOOKED_UP, NEAR_COPY = 3, 32, 8, 0.5
+#: More than any hash of a run.
+BEYOND = 1 << 32
 
 WORDS = re.compile(r"\w+").findall
-TERMS = T.StructType([T.StructField("term", T.ArrayType(T.IntegerType())), T.StructField("tf", T.ArrayType(T.IntegerType()))])
+TERMS = T.StructType([T.StructField("term", T.ArrayType(T.IntegerType())), T.StructField("tf", T.ArrayType(T.IntegerType())), T.StructField("sketch", T.ArrayType(T.LongType()))])
 
 
 def terms_of(word: str) -> list[str]:
     return [word, *(word[:n] + "*" for n in BEGINNINGS if len(word) > n)]
 
 
+def sketch_of(hashes: list[int]) -> list[int]:
+    """The least SKETCH hashes of the text's runs of words, from the hashes of its words."""
+    if not hashes:
+        return []
+    h = np.array(hashes + [0] * (RUN - len(hashes)), np.uint64)
+    x = np.zeros(len(h) - RUN + 1, np.uint64)
+    for k in range(RUN):
+        x = (x ^ h[k : k + len(x)]) * np.uint64(0x9E3779B97F4A7C15)
+        x ^= x >> np.uint64(29)
+    return np.unique(x >> np.uint64(32))[:SKETCH].tolist()
+
+
 def _exploded(sample: DataFrame) -> DataFrame:
     """(y, term) once for each example and term in it."""
 
@@ -70,28 +88,31 @@ def choose_terms(sample: DataFrame) -> list[str]:
 
 
 def with_terms(docs: DataFrame, vocabulary: list[str], keep: list[str]) -> DataFrame:
-    """``keep`` columns and the chosen terms of each whole text with their counts."""
+    """``keep`` columns, the chosen terms of each whole text with their counts, and its sketch."""
     number = {t: i for i, t in enumerate(vocabulary)}
 
     def start():
-        known: dict[str, tuple[int, ...]] = {}
+        known: dict[str, tuple[int, tuple[int, ...]]] = {}
 
         def work(texts: list[str]) -> list[pa.Array]:
-            terms, tfs = [], []
+            terms, tfs, sketches = [], [], []
             for t in texts:
                 found: Counter[int] = Counter()
+                hashes = []
                 for word in WORDS(t.lower()):
-                    ids = known.get(word)
-                    if ids is None:
+                    told = known.get(word)
+                    if told is None:
                         if len(known) > 100_000:  # the memory of words, not the words, is bounded
                             known.clear()
-                        ids = known[word] = tuple(number[x] for x in terms_of(word) if x in number)
-                    for i in ids:
+                        told = known[word] = zlib.crc32(word.encode("utf-8", "surrogatepass")), tuple(number[x] for x in terms_of(word) if x in number)
+                    hashes.append(told[0])
+                    for i in told[1]:
                         found[i] += 1
                 pairs = sorted(found.items())
                 terms.append([i for i, _ in pairs])
                 tfs.append([n for _, n in pairs])
-            return [pa.array(terms, pa.list_(pa.int32())), pa.array(tfs, pa.list_(pa.int32()))]
+                sketches.append(sketch_of(hashes))
+            return [pa.array(terms, pa.list_(pa.int32())), pa.array(tfs, pa.list_(pa.int32())), pa.array(sketches, pa.list_(pa.int64()))]
 
         return work
 
@@ -160,15 +181,66 @@ class BlockMaxIndex:
             at, cos = at[best], cos[best]
         return at, cos
 
-    def vote(self, terms: list[int], tfs: list[int], but: int | None = None) -> tuple[float, list[int], list[float]]:
-        """Score, ids of the nearest examples, their cosines. A weight is 1 / (distance + 0.1)."""
+    def vote(self, terms: list[int], tfs: list[int], but: int | None = None, copies: list[tuple[int, int, float]] = []) -> tuple[float, list[int], list[float]]:
+        """Score, ids of the nearest examples, their cosines. A weight is 1 / (distance + 0.1).
+
+        ``copies``: id, y and resemblance of near copies; the greater of cosine and resemblance counts.
+        """
         known = [(t, n) for t, n in zip(terms, tfs, strict=True) if self.idf[t] > 0]
-        if not known:
+        near = {(i, y): c for i, y, c in copies}
+        if known:
+            at, cos = self.nearest([t for t, _ in known], weights(np.array([n for _, n in known]), self.idf[[t for t, _ in known]]), NEIGHBOURS, but)
+            for i, y, c in zip(self.ids[at].tolist(), self.y[at].tolist(), cos.tolist(), strict=True):
+                near[i, y] = max(c, near.get((i, y), 0.0))
+        if not near:
             return self.no_term, [], []
-        at, cos = self.nearest([t for t, _ in known], weights(np.array([n for _, n in known]), self.idf[[t for t, _ in known]]), NEIGHBOURS, but)
+        best = sorted(near.items(), key=lambda x: -x[1])[:NEIGHBOURS] if copies else list(near.items())
+        ids, y, cos = [i for (i, _), _ in best], np.array([y for (_, y), _ in best]), np.array([c for _, c in best])
         w = 1 / (1 - np.minimum(cos, 1) + 0.1)
-        score = (float((w * self.y[at]).sum()) + PRIOR * self.no_term) / (float(w.sum()) + PRIOR)
-        return score, self.ids[at].tolist(), cos.tolist()
+        score = (float((w * y).sum()) + PRIOR * self.no_term) / (float(w.sum()) + PRIOR)
+        return score, ids, cos.tolist()
+
+
+@dataclass
+class NearCopies:
+    """Examples by the least hashes of their sketches."""
+
+    ids: np.ndarray
+    y: np.ndarray
+    sketches: np.ndarray
+    by: dict[int, np.ndarray]
+
+    @classmethod
+    def build(cls, rows: list[tuple[int, int, list[int]]]) -> NearCopies:
+        """rows: id, y, sketch. Short sketches are filled up with BEYOND."""
+        rows = sorted(rows)
+        by: dict[int, list[int]] = {}
+        sketches = np.full((len(rows), SKETCH), BEYOND)
+        for at, (_, _, sketch) in enumerate(rows):
+            sketches[at, : len(sketch)] = sketch
+            for h in sketch[:LOOKED_UP]:
+                by.setdefault(h, []).append(at)
+        return cls(np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows]), sketches, {h: np.array(v) for h, v in by.items()})
+
+    def find(self, sketch: list[int], but: int | None) -> list[tuple[int, int, float]]:
+        """id, y and resemblance of the examples that the text most nearly copies, NEIGHBOURS at most.
+
+        The resemblance is the share of common hashes among those that both sketches reach.
+        """
+        lists = [self.by[h] for h in sketch[:LOOKED_UP] if h in self.by]
+        if not lists:
+            return []
+        at = np.unique(np.concatenate(lists))
+        if but is not None:
+            at = at[self.ids[at] != but]
+        mine, theirs = np.array(sketch, np.int64), self.sketches[at]
+        reach = np.minimum(theirs[:, -1], mine[-1] if len(mine) == SKETCH else BEYOND)
+        inside = (theirs <= reach[:, None]) & (theirs < BEYOND)
+        both = (np.isin(theirs, mine) & inside).sum(axis=1)
+        share = both / np.maximum(inside.sum(axis=1) + np.searchsorted(mine, reach, side="right") - both, 1)
+        best = np.lexsort((at, -share))[:NEIGHBOURS]
+        best = best[share[best] >= NEAR_COPY]
+        return list(zip(self.ids[at[best]].tolist(), self.y[at[best]].tolist(), share[best].tolist(), strict=True))
 
 
 def weights(tf: np.ndarray, idf: np.ndarray) -> np.ndarray:
@@ -180,6 +252,10 @@ def weights(tf: np.ndarray, idf: np.ndarray) -> np.ndarray:
 class ToxicityModel:
     vocabulary: list[str]
     index: BlockMaxIndex | None
+    copies: NearCopies | None
+
+    def judge(self, doc_id: int | None, terms: list[int], tfs: list[int], sketch: list[int]) -> tuple[float, list[int], list[float]]:
+        return self.index.vote(terms, tfs, doc_id, self.copies.find(sketch, doc_id)) if self.index else (0.0, [], [])
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES) -> tuple[ToxicityModel, DataFrame]:
@@ -196,9 +272,11 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXA
     df = {r.t: r.n for r in vectors.select(F.explode("term").alias("t")).groupBy("t").agg(F.count("*").alias("n")).collect()}  # MAX_TERMS at most
     n = vectors.count()
     idf = np.array([np.log((n + 1) / (df.get(i, 0) + 0.5)) for i in range(len(vocabulary))])
-    rows = vectors.join(picked, "doc_id").select("doc_id", "y", "term", "tf").distinct().collect() if vocabulary else []  # MAX_EXAMPLES, short lists
-    index = BlockMaxIndex.build([(r.doc_id, r.y, r.term, r.tf) for r in rows], idf) if rows else None
-    return ToxicityModel(vocabulary, index), vectors
+    rows = vectors.join(picked, "doc_id").select("doc_id", "y", "term", "tf", "sketch").distinct().collect()  # MAX_EXAMPLES, short lists
+    if len({r.y for r in rows}) < 2:
+        return ToxicityModel(vocabulary, None, None), vectors
+    index = BlockMaxIndex.build([(r.doc_id, r.y, r.term, r.tf) for r in rows], idf)
+    return ToxicityModel(vocabulary, index, NearCopies.build([(r.doc_id, r.y, r.sketch) for r in rows])), vectors
 
 
 SCORED = T.StructType([T.StructField("score", T.DoubleType()), T.StructField("evidence", T.ArrayType(T.LongType())), T.StructField("cosines", T.ArrayType(T.DoubleType()))])
@@ -206,24 +284,24 @@ SCORED = T.StructType([T.StructField("score", T.DoubleType()), T.StructField("ev
 
 def score_vectors(model: ToxicityModel, vectors: DataFrame) -> DataFrame:
     """doc_id, score, evidence (ids of the nearest examples), cosines. An example doesn't vote on itself."""
-    index = vectors.sparkSession.sparkContext.broadcast(model.index)  # bounded by MAX_EXAMPLES and MAX_TERMS
+    known = vectors.sparkSession.sparkContext.broadcast(model)  # bounded by MAX_EXAMPLES and MAX_TERMS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids = b.column("doc_id").to_pylist()
-            made = [index.value.vote(t, n, i) if index.value else (0.0, [], []) for i, t, n in zip(ids, b.column("term").to_pylist(), b.column("tf").to_pylist(), strict=True)]
+            made = [known.value.judge(*x) for x in zip(ids, *(b.column(c).to_pylist() for c in ("term", "tf", "sketch")), strict=True)]
             if made:
                 s, e, c = zip(*made, strict=True)
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(s, pa.float64()), pa.array(e, pa.list_(pa.int64())), pa.array(c, pa.list_(pa.float64()))], names=["doc_id", *SCORED.fieldNames()])
 
-    return vectors.select("doc_id", "term", "tf").mapInArrow(run, T.StructType([vectors.schema["doc_id"], *SCORED.fields]))
+    return vectors.select("doc_id", "term", "tf", "sketch").mapInArrow(run, T.StructType([vectors.schema["doc_id"], *SCORED.fields]))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, score in [0, 1], evidence and cosines of every row; higher: label 1 is likelier.
 
-    Null text counts as empty; a text without chosen terms gets the share of toxic ones among such
-    examples. Rows with null or repeated ids are scored one by one. Without labels of both classes
+    Null text counts as empty; a text without chosen terms that is no near copy of an example gets the
+    share of toxic ones among such examples. Rows with null or repeated ids are scored one by one. Without labels of both classes
     every score is 0.
     """
     model, vectors = fit_toxicity(docs, labels)
@@ -233,17 +311,16 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def drop_toxic(docs: DataFrame, labels: DataFrame, columns: list[str], least: float = 0.5) -> DataFrame:
     """``columns`` of the rows that score below ``least``; texts stay where they are, without a shuffle."""
     model, _ = fit_toxicity(docs, labels)
-    index = docs.sparkSession.sparkContext.broadcast(model.index)
-    number = model.vocabulary
-    rows = with_terms(docs, number, columns)
+    known = docs.sparkSession.sparkContext.broadcast(model)
+    rows = with_terms(docs, model.vocabulary, columns)
     schema = docs.select(*columns).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = columns.index("doc_id")
         for b in batches:
             n = len(columns)
-            made = zip(b.column(at).to_pylist(), b.column(n).to_pylist(), b.column(n + 1).to_pylist(), strict=True)
-            keep = pa.array([not index.value or index.value.vote(t, x, i)[0] < least for i, t, x in made], pa.bool_())
+            made = zip(*(b.column(c).to_pylist() for c in (at, n, n + 1, n + 2)), strict=True)
+            keep = pa.array([known.value.judge(*x)[0] < least for x in made], pa.bool_())
             yield b.select(columns).filter(keep)
         release_memory()
 

@@ -133,6 +133,20 @@ def test_toxicity(spark):
     assert toxicity.toxicity(docs.limit(0), labels).count() == 0
 
 
+def test_near_copies_of_examples_count_without_chosen_terms(spark):
+    docs, labels, rows, marks = rows_with_junk(spark)
+    r = random.Random(9)
+    lone = " ".join(f"w{r.randint(0, 10**6)}" for _ in range(60))
+    fresh = [i for i in range(2000, 2100) if zlib.crc32(str(i).encode()) % 5][:2]
+    more = [(fresh[0], lone), (3001, lone), (3002, lone.rsplit(" ", 3)[0] + " other end here"), (3003, " ".join(reversed(lone.split()))), (fresh[1], lone.upper().replace("W", "v"))]
+    docs = docs.select("doc_id", "text").union(spark.createDataFrame(more, "doc_id long, text string"))
+    labels = labels.union(spark.createDataFrame([(fresh[0], 1, 1), (fresh[1], 1, 0)], LABELS))
+    got = {x.doc_id: x for x in toxicity.toxicity(docs, labels).collect()}
+    assert got[3001].score > 0.9 and got[3001].evidence == [fresh[0]] and got[3002].score > 0.8 and got[3003].score < 0.5
+    left = {x.doc_id for x in toxicity.drop_toxic(docs, labels, ["doc_id", "text"]).collect()}
+    assert not {3001, 3002} & left and 3003 in left
+
+
 def test_nearest_examples_are_exact():
     r = random.Random(3)
     idf = np.array([0.5 + r.random() for _ in range(40)])
