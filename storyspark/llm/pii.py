@@ -239,9 +239,13 @@ def listed(spans: str) -> Column:
     return F.array_join(F.transform(F.col(spans), lambda s: F.concat_ws(":", names[s.kind], s.start, s.end)), ",")
 
 
+def _count(spans: str, kind: int) -> Column:
+    return F.size(F.filter(spans, lambda s: s.kind == kind)).cast("long")
+
+
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_pii(table(spark, sf_dir, "documents"))
-    counts = [F.size(F.filter("base", lambda s, k=k: s.kind == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)]
+    counts = [_count("base", k).alias(f"n_{name}") for k, name in enumerate(KINDS)]
     return found.select("doc_id", *counts, F.sha2(listed("base").cast("binary"), 256).alias("base_sha256"), listed("spans").alias("spans"))
 
 
