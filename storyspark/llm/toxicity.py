@@ -1,18 +1,17 @@
 """Toxicity by nearest labelled examples, exact under TF-IDF cosine.
 
-Terms are words and word beginnings, so that inflected forms share weight. The vocabulary is what
-separates the classes among a bounded sample of labelled texts; document frequencies are counted
-over all documents. Examples sit in an inverted index whose lists are cut into blocks of examples,
-each with its largest weight (Ding and Suel 2011): a document's blocks are visited in the order of
-their upper bounds until none can hold a nearer example. The nearest ones vote with weights that fall
-with their distance, towards the share of toxic examples among those that share no term. Near copies
-of an example are found by their runs of words, whatever terms they hold, and vote as well.
+All words of a bounded sample of labelled texts are terms. A term weighs by its inverse document
+frequency, counted over all documents, and by how far its share differs between the classes of the
+sample (supervised term weighting, Debole and Sebastiani 2003). Examples sit in an inverted index
+whose lists are cut into blocks of examples, each with its largest weight (Ding and Suel 2011): a
+document's blocks get upper bounds from these, the best ones are scored first, and then only those
+that can still hold a nearer example. The nearest ones vote with weights that fall with their
+distance, towards the share of toxic examples among those that share no term.
 """
 
 from __future__ import annotations
 
 import re
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -26,305 +25,212 @@ from pyspark.sql import types as T
 from storyspark.llm.common import fold, map_text, release_memory, table, training_labels
 from storyspark.plans.cutting import materialize
 
-#: Labelled examples at most (first in the order of a hash of the id); terms at most; the least toxic examples of a
-#: term, as a number and as a share, and its least odds.
-MAX_EXAMPLES, MAX_TERMS, LEAST_DOCS, LEAST_SHARE, LEAST_ODDS = 16_000, 2_000, 4, 0.01, 8.0
-#: Lengths of word beginnings; neighbours that vote; weight of the prior; examples in a block.
-BEGINNINGS, NEIGHBOURS, PRIOR, BLOCK = tuple(range(4, 11)), 9, 0.25, 64
-#: Words in a run; least hashes of runs in a sketch, and of those that look examples up; least resemblance of a near copy.
-RUN, SKETCH, LOOKED_UP, NEAR_COPY = 3, 32, 8, 0.5
-#: More than any hash of a run.
-BEYOND = 1 << 32
+#: Labelled examples at most: the first in the order of a hash of the id.
+MAX_EXAMPLES = 2_500
+#: Neighbours that vote; weight of the prior; distance added to each; examples in a block; blocks that are scored first.
+NEIGHBOURS, PRIOR, SOFT, BLOCK, FIRST = 9, 0.25, 0.02, 64, 4
 
 WORDS = re.compile(r"\w+").findall
-TERMS = T.StructType([T.StructField("term", T.ArrayType(T.IntegerType())), T.StructField("tf", T.ArrayType(T.IntegerType())), T.StructField("sketch", T.ArrayType(T.LongType()))])
+TERMS = T.StructType([T.StructField("term", T.ArrayType(T.IntegerType())), T.StructField("tf", T.ArrayType(T.IntegerType()))])
 
 
-def terms_of(word: str) -> list[str]:
-    return [word, *(word[:n] + "*" for n in BEGINNINGS if len(word) > n)]
-
-
-def sketch_of(hashes: list[int]) -> list[int]:
-    """The least SKETCH hashes of the text's runs of words, from the hashes of its words."""
-    if not hashes:
-        return []
-    h = np.array(hashes + [0] * (RUN - len(hashes)), np.uint64)
-    x = np.zeros(len(h) - RUN + 1, np.uint64)
-    for k in range(RUN):
-        x = (x ^ h[k : k + len(x)]) * np.uint64(0x9E3779B97F4A7C15)
-        x ^= x >> np.uint64(29)
-    return np.unique(x >> np.uint64(32))[:SKETCH].tolist()
+def labelled_examples(docs: DataFrame, labels: DataFrame, max_examples: int) -> DataFrame:
+    """(doc_id, y, text) of at most ``max_examples`` labelled rows outside the held-out fold; equal texts of one label once."""
+    picked = F.broadcast(training_labels(labels, "toxic", max_examples))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    return materialize(rows.join(picked, "doc_id").groupBy("y", "text").agg(F.min("doc_id").alias("doc_id")), "examples")
 
 
-def _exploded(sample: DataFrame) -> DataFrame:
-    """(y, term) once for each example and term in it."""
+def vocabulary_of(examples: DataFrame) -> tuple[list[str], np.ndarray]:
+    """All words of the examples, sorted, and how many toxic and other ones hold each; bounded by the sample."""
 
     def start():
         def work(texts: list[str]) -> list[pa.Array]:
-            return [pa.array([sorted({t for w in set(WORDS(x.lower())) for t in terms_of(w)}) for x in texts], pa.list_(pa.string()))]
+            return [pa.array([list(set(WORDS(t.lower()))) for t in texts], pa.list_(pa.string()))]
 
         return work
 
-    return map_text(sample, "text", ["y"], T.StructType([T.StructField("terms", T.ArrayType(T.StringType()))]), start, at_once=100).select("y", F.explode("terms").alias("term"))
-
-
-def choose_terms(sample: DataFrame) -> list[str]:
-    """At most MAX_TERMS terms that separate the classes of (y, text), the most telling first.
-
-    Terms of enough toxic examples are counted first, those alone then among the others; a term goes
-    by the significance of its odds. Counts are grouped in Spark, and MAX_TERMS rows come to the driver.
-    """
-    # copies of a text count once: their rare words tell nothing
-    sample = materialize(sample.select("y", "text").dropDuplicates(), "examples")
-    totals = {r.y: r.n for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    if len(totals) < 2:
-        return []
-    bad = _exploded(sample.filter("y = 1")).groupBy("term").agg(F.count("*").alias("bad"))
-    bad = materialize(bad.filter(F.col("bad") >= max(LEAST_DOCS, LEAST_SHARE * totals[1])), "candidates")
-    good = _exploded(sample.filter("y = 0")).join(bad.select("term"), "term", "left_semi").groupBy("term").agg(F.count("*").alias("good"))
-    odds = ((F.col("bad") + 0.5) / (totals[1] + 1)) / ((F.coalesce("good", F.lit(0)) + 0.5) / (totals[0] + 1))
-    told = bad.join(good, "term", "left").filter(odds >= LEAST_ODDS).select("term", (F.col("bad") * F.log(odds)).alias("told"))
-    return [r.term for r in told.orderBy(F.desc("told"), "term").limit(MAX_TERMS).collect()]
+    words = map_text(examples, "text", ["y"], T.StructType([T.StructField("words", T.ArrayType(T.StringType()))]), start)
+    by = words.select("y", F.explode("words").alias("word")).groupBy("word").agg(F.sum("y").alias("bad"), F.count("*").alias("n"))
+    found = by.toArrow().sort_by("word")
+    bad, n = (found.column(c).to_numpy().astype(float) for c in ("bad", "n"))
+    return found.column("word").to_pylist(), np.stack([n - bad, bad])
 
 
 def with_terms(docs: DataFrame, vocabulary: list[str], keep: list[str]) -> DataFrame:
-    """``keep`` columns, the chosen terms of each whole text with their counts, and its sketch."""
-    number = {t: i for i, t in enumerate(vocabulary)}
+    """``keep`` columns, and the known terms of each whole text, ascending, with their counts."""
+    known = docs.sparkSession.sparkContext.broadcast(vocabulary)  # the words of MAX_EXAMPLES texts
 
     def start():
-        known: dict[str, tuple[int, tuple[int, ...]]] = {}
+        number = {w: i for i, w in enumerate(known.value)}
 
         def work(texts: list[str]) -> list[pa.Array]:
-            terms, tfs, sketches = [], [], []
+            terms, tfs = [], []
             for t in texts:
-                found: Counter[int] = Counter()
-                hashes = []
-                for word in WORDS(t.lower()):
-                    told = known.get(word)
-                    if told is None:
-                        if len(known) > 100_000:  # the memory of words, not the words, is bounded
-                            known.clear()
-                        told = known[word] = zlib.crc32(word.encode("utf-8", "surrogatepass")), tuple(number[x] for x in terms_of(word) if x in number)
-                    hashes.append(told[0])
-                    for i in told[1]:
-                        found[i] += 1
-                pairs = sorted(found.items())
+                pairs = sorted((i, n) for w, n in Counter(WORDS(t.lower())).items() if (i := number.get(w)) is not None)
                 terms.append([i for i, _ in pairs])
                 tfs.append([n for _, n in pairs])
-                sketches.append(sketch_of(hashes))
-            return [pa.array(terms, pa.list_(pa.int32())), pa.array(tfs, pa.list_(pa.int32())), pa.array(sketches, pa.list_(pa.int64()))]
+            return [pa.array(terms, pa.list_(pa.int32())), pa.array(tfs, pa.list_(pa.int32()))]
 
         return work
 
     return map_text(docs, "text", keep, TERMS, start)
 
 
-@dataclass
-class BlockMaxIndex:
-    """Examples by term: positions and weights, with the largest weight in each block of positions."""
+def term_weights(by_class: np.ndarray, totals: tuple[int, int], df: np.ndarray, n: int) -> np.ndarray:
+    """Inverse document frequency, times the difference of the two classes' shares in standard errors."""
+    good, bad = by_class
+    n_good, n_bad = totals
+    pooled = (good + bad + 1) / (n_good + n_bad + 1)
+    return np.log((n + 1) / (df + 0.5)) * np.abs(bad / n_bad - good / n_good) / np.sqrt(pooled * (1 / n_bad + 1 / n_good))
 
-    ids: np.ndarray
-    y: np.ndarray
-    postings: dict[int, tuple[np.ndarray, np.ndarray]]
-    blocks: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]
-    idf: np.ndarray
-    no_term: float
 
-    @classmethod
-    def build(cls, rows: list[tuple[int, int, list[int], list[int]]], idf: np.ndarray) -> BlockMaxIndex:
-        """rows: id, y, terms, counts. Toxic and other examples are apart, so that bounds are tight."""
-        empty = [y for _, y, terms, _ in rows if not terms]
-        rows = sorted((r for r in rows if r[2]), key=lambda r: (-r[1], r[2], r[0]))
-        by: dict[int, list[tuple[int, float]]] = {}
-        for at, (_, _, terms, tfs) in enumerate(rows):
-            w = weights(np.array(tfs), idf[terms])
-            for t, x in zip(terms, w.tolist(), strict=True):
-                by.setdefault(t, []).append((at, x))
-        postings = {t: (np.array([p for p, _ in v]), np.array([x for _, x in v])) for t, v in by.items()}
-        blocks = {}
-        for t, (p, x) in postings.items():
-            b, first = np.unique(p // BLOCK, return_index=True)
-            blocks[t] = (b, np.maximum.reduceat(x, first), np.append(first, len(p)))
-        base = (sum(empty) + 1) / (len(empty) + 10)
-        return cls(np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows]), postings, blocks, idf, base)
-
-    def nearest(self, terms: list[int], w: np.ndarray, k: int, but: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Positions and cosines of the k nearest examples, ties to the smaller position; exact.
-
-        ``but``: an example's id that takes no part.
-        """
-        n = -(-len(self.ids) // BLOCK)
-        bound = np.zeros(n)
-        parts = []
-        for t, x in zip(terms, w.tolist(), strict=True):
-            if t in self.blocks:
-                b, most, cuts = self.blocks[t]
-                bound[b] += x * most
-                parts.append((b, cuts, *self.postings[t], x))
-        order = np.argsort(-bound, kind="stable")
-        order = order[bound[order] > 0]
-        at, cos = np.zeros(0, np.int64), np.zeros(0)
-        for block in order.tolist():
-            if len(at) == k and bound[block] < cos[-1] * (1 - 1e-12):
-                break
-            scores = np.zeros(BLOCK)
-            for b, cuts, p, pw, x in parts:
-                i = int(np.searchsorted(b, block))
-                if i < len(b) and b[i] == block:
-                    scores[p[cuts[i] : cuts[i + 1]] - block * BLOCK] += x * pw[cuts[i] : cuts[i + 1]]
-            here = np.flatnonzero(scores > 0)
-            where = here + block * BLOCK
-            if but is not None:
-                here, where = here[self.ids[where] != but], where[self.ids[where] != but]
-            at, cos = np.concatenate([at, where]), np.concatenate([cos, scores[here]])
-            best = np.lexsort((at, -cos))[:k]
-            at, cos = at[best], cos[best]
-        return at, cos
-
-    def vote(self, terms: list[int], tfs: list[int], but: int | None = None, copies: list[tuple[int, int, float]] = []) -> tuple[float, list[int], list[float]]:
-        """Score, ids of the nearest examples, their cosines. A weight is 1 / (distance + 0.1).
-
-        ``copies``: id, y and resemblance of near copies; the greater of cosine and resemblance counts.
-        """
-        known = [(t, n) for t, n in zip(terms, tfs, strict=True) if self.idf[t] > 0]
-        near = {(i, y): c for i, y, c in copies}
-        if known:
-            at, cos = self.nearest([t for t, _ in known], weights(np.array([n for _, n in known]), self.idf[[t for t, _ in known]]), NEIGHBOURS, but)
-            for i, y, c in zip(self.ids[at].tolist(), self.y[at].tolist(), cos.tolist(), strict=True):
-                near[i, y] = max(c, near.get((i, y), 0.0))
-        if not near:
-            return self.no_term, [], []
-        best = sorted(near.items(), key=lambda x: -x[1])[:NEIGHBOURS] if copies else list(near.items())
-        ids, y, cos = [i for (i, _), _ in best], np.array([y for (_, y), _ in best]), np.array([c for _, c in best])
-        w = 1 / (1 - np.minimum(cos, 1) + 0.1)
-        score = (float((w * y).sum()) + PRIOR * self.no_term) / (float(w.sum()) + PRIOR)
-        return score, ids, cos.tolist()
+def weights(tf: np.ndarray, by_term: np.ndarray) -> np.ndarray:
+    """Of length 1, or zeros."""
+    w = (1 + np.log(tf)) * by_term
+    return w / max(float(np.sqrt((w * w).sum())), 1e-300)
+
+
+def _ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... of each range, one after another."""
+    ends = np.cumsum(lengths)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + lengths, lengths)
 
 
 @dataclass
-class NearCopies:
-    """Examples by the least hashes of their sketches."""
+class BlockMaxIndex:
+    """Examples by term. A cell is one term's list inside one block of examples, with its largest weight."""
 
     ids: np.ndarray
     y: np.ndarray
-    sketches: np.ndarray
-    by: dict[int, np.ndarray]
+    by_term: np.ndarray
+    cells_of: np.ndarray  # from term t's first cell to that of t + 1
+    cell_block: np.ndarray
+    cell_most: np.ndarray
+    cell_start: np.ndarray  # in the postings, with one end more
+    at: np.ndarray
+    weight: np.ndarray
+    no_term: float
 
     @classmethod
-    def build(cls, rows: list[tuple[int, int, list[int]]]) -> NearCopies:
-        """rows: id, y, sketch. Short sketches are filled up with BEYOND."""
-        rows = sorted(rows)
-        by: dict[int, list[int]] = {}
-        sketches = np.full((len(rows), SKETCH), BEYOND)
-        for at, (_, _, sketch) in enumerate(rows):
-            sketches[at, : len(sketch)] = sketch
-            for h in sketch[:LOOKED_UP]:
-                by.setdefault(h, []).append(at)
-        return cls(np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows]), sketches, {h: np.array(v) for h, v in by.items()})
-
-    def find(self, sketch: list[int], but: int | None) -> list[tuple[int, int, float]]:
-        """id, y and resemblance of the examples that the text most nearly copies, NEIGHBOURS at most.
-
-        The resemblance is the share of common hashes among those that both sketches reach.
-        """
-        lists = [self.by[h] for h in sketch[:LOOKED_UP] if h in self.by]
-        if not lists:
-            return []
-        at = np.unique(np.concatenate(lists))
-        if but is not None:
-            at = at[self.ids[at] != but]
-        mine, theirs = np.array(sketch, np.int64), self.sketches[at]
-        reach = np.minimum(theirs[:, -1], mine[-1] if len(mine) == SKETCH else BEYOND)
-        inside = (theirs <= reach[:, None]) & (theirs < BEYOND)
-        both = (np.isin(theirs, mine) & inside).sum(axis=1)
-        share = both / np.maximum(inside.sum(axis=1) + np.searchsorted(mine, reach, side="right") - both, 1)
-        best = np.lexsort((at, -share))[:NEIGHBOURS]
-        best = best[share[best] >= NEAR_COPY]
-        return list(zip(self.ids[at[best]].tolist(), self.y[at[best]].tolist(), share[best].tolist(), strict=True))
-
-
-def weights(tf: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    w = (1 + np.log(tf)) * idf
-    return w / max(float(np.sqrt((w * w).sum())), 1e-300)
-
+    def build(cls, rows: list[tuple[int, int, np.ndarray, np.ndarray]], by_term: np.ndarray) -> BlockMaxIndex:
+        """rows: id, y, terms, counts. Like examples stand together, so that bounds are tight: by class, commonest and heaviest term."""
+        told = [(i, y, np.asarray(t, int), weights(np.asarray(n), by_term[np.asarray(t, int)]), np.asarray(n)) for i, y, t, n in rows]
+        empty = [r[1] for r in told if not r[3].any()]
+        told = sorted((r for r in told if r[3].any()), key=lambda r: (-r[1], int(r[2][r[4].argmax()]), int(r[2][r[3].argmax()]), r[0]))
+        at = np.repeat(np.arange(len(told)), [len(r[2]) for r in told])
+        term, weight = (np.concatenate([np.zeros(0), *(r[k] for r in told)]) for k in (2, 3))
+        order = np.lexsort((at, term))
+        at, term, weight = at[order], term[order].astype(int), weight[order]
+        block = at // BLOCK
+        first = np.flatnonzero(np.diff(term, prepend=-1) | np.diff(block, prepend=-1))
+        most = np.maximum.reduceat(weight, first) if len(first) else weight
+        cells_of = np.searchsorted(term[first], np.arange(len(by_term) + 1))
+        ids, y = np.array([r[0] for r in told], np.int64), np.array([r[1] for r in told], int)
+        return cls(ids, y, by_term, cells_of, block[first], most, np.append(first, len(at)), at, weight, (sum(empty) + 1) / (len(empty) + 10))
+
+    def nearest(self, terms: np.ndarray, w: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Positions and cosines of the k nearest examples, ties to the smaller position; exact."""
+        n_cells = self.cells_of[terms + 1] - self.cells_of[terms]
+        cells, x = _ranges(self.cells_of[terms], n_cells), np.repeat(w, n_cells)
+        block = self.cell_block[cells]
+        n_blocks = -(-len(self.ids) // BLOCK)
+        bound = np.bincount(block, x * self.cell_most[cells], n_blocks)
+        score = np.zeros(len(self.ids))
+
+        def visit(blocks: np.ndarray) -> None:
+            chosen = blocks[block]
+            c = cells[chosen]
+            lengths = self.cell_start[c + 1] - self.cell_start[c]
+            p = _ranges(self.cell_start[c], lengths)
+            np.add(score, np.bincount(self.at[p], np.repeat(x[chosen], lengths) * self.weight[p], len(score)), out=score)
+
+        first = np.zeros(n_blocks, bool)
+        first[np.argsort(-bound, kind="stable")[:FIRST]] = True
+        visit(first)
+        kth = np.partition(score, -k)[-k] if len(score) > k else 0.0
+        visit(~first & (bound > 0) & (bound * (1 + 1e-9) >= kth))
+        found = np.flatnonzero(score > 0)
+        if len(found) > k:
+            found = found[score[found] >= np.partition(score[found], -k)[-k]]
+        best = found[np.lexsort((found, -score[found]))[:k]]
+        return best, score[best]
+
+    def vote(self, terms: np.ndarray, tfs: np.ndarray) -> tuple[float, list[int], list[float]]:
+        """Score, ids of the nearest examples, their cosines. A weight is 1 / (distance + SOFT)."""
+        w = weights(tfs, self.by_term[terms]) if len(terms) else np.zeros(0)
+        if not w.any() or not len(self.ids):
+            return self.no_term, [], []
+        at, cos = self.nearest(terms, w, NEIGHBOURS)
+        v = 1 / (1 - np.minimum(cos, 1) + SOFT)
+        return (float((v * self.y[at]).sum()) + PRIOR * self.no_term) / (float(v.sum()) + PRIOR), self.ids[at].tolist(), cos.tolist()
 
-@dataclass
-class ToxicityModel:
-    vocabulary: list[str]
-    index: BlockMaxIndex | None
-    copies: NearCopies | None
 
-    def judge(self, doc_id: int | None, terms: list[int], tfs: list[int], sketch: list[int]) -> tuple[float, list[int], list[float]]:
-        return self.index.vote(terms, tfs, doc_id, self.copies.find(sketch, doc_id)) if self.index else (0.0, [], [])
+def _arrays(batch: pa.RecordBatch | pa.Table, name: str) -> list[np.ndarray]:
+    return [x.values.to_numpy(zero_copy_only=False) for x in batch.column(name)]
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES) -> tuple[ToxicityModel, DataFrame]:
-    """The model, and (doc_id, term, tf) of all documents, written in the shared folder.
+def fit_toxicity(docs: DataFrame, labels: DataFrame, keep: list[str], max_examples: int = MAX_EXAMPLES) -> tuple[BlockMaxIndex | None, DataFrame]:
+    """The index, and ``keep``, term and tf of all documents, written in the shared folder.
 
-    Examples: at most ``max_examples`` labelled rows outside the held-out fold; the sample is small
-    enough to broadcast. Document frequencies count all documents.
+    Examples are a bounded sample, and so is the vocabulary; document frequencies count all documents.
     """
-    picked = F.broadcast(training_labels(labels, "toxic", max_examples))
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sample = ids.join(picked, "doc_id")
-    vocabulary = choose_terms(sample)
-    vectors = materialize(with_terms(ids, vocabulary, ["doc_id"]), "terms")
-    df = {r.t: r.n for r in vectors.select(F.explode("term").alias("t")).groupBy("t").agg(F.count("*").alias("n")).collect()}  # MAX_TERMS at most
-    n = vectors.count()
-    idf = np.array([np.log((n + 1) / (df.get(i, 0) + 0.5)) for i in range(len(vocabulary))])
-    rows = vectors.join(picked, "doc_id").select("doc_id", "y", "term", "tf", "sketch").distinct().collect()  # MAX_EXAMPLES, short lists
-    if len({r.y for r in rows}) < 2:
-        return ToxicityModel(vocabulary, None, None), vectors
-    index = BlockMaxIndex.build([(r.doc_id, r.y, r.term, r.tf) for r in rows], idf)
-    return ToxicityModel(vocabulary, index, NearCopies.build([(r.doc_id, r.y, r.sketch) for r in rows])), vectors
+    examples = labelled_examples(docs, labels, max_examples)
+    vocabulary, by_class = vocabulary_of(examples)
+    vectors = materialize(with_terms(docs, vocabulary, keep), "terms")
+    rows = with_terms(examples, vocabulary, ["doc_id", "y"]).toArrow()
+    y = rows.column("y").to_pylist()
+    totals = y.count(0), y.count(1)
+    if not all(totals):
+        return None, vectors
+    df = np.zeros(len(vocabulary))
+    counted = vectors.select(F.explode("term").alias("t")).groupBy("t").agg(F.count("*").alias("n")).toArrow()
+    df[counted.column("t").to_numpy()] = counted.column("n").to_numpy()
+    by_term = term_weights(by_class, totals, df, vectors.count())
+    return BlockMaxIndex.build(list(zip(rows.column("doc_id").to_pylist(), y, _arrays(rows, "term"), _arrays(rows, "tf"), strict=True)), by_term), vectors
+
+
+def _judged(index: BlockMaxIndex | None, batch: pa.RecordBatch) -> list[tuple[float, list[int], list[float]]]:
+    if index is None:
+        return [(0.0, [], [])] * batch.num_rows
+    return [index.vote(t, n) for t, n in zip(_arrays(batch, "term"), _arrays(batch, "tf"), strict=True)]
 
 
 SCORED = T.StructType([T.StructField("score", T.DoubleType()), T.StructField("evidence", T.ArrayType(T.LongType())), T.StructField("cosines", T.ArrayType(T.DoubleType()))])
 
 
-def score_vectors(model: ToxicityModel, vectors: DataFrame) -> DataFrame:
-    """doc_id, score, evidence (ids of the nearest examples), cosines. An example doesn't vote on itself."""
-    known = vectors.sparkSession.sparkContext.broadcast(model)  # bounded by MAX_EXAMPLES and MAX_TERMS
+def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, score in [0, 1], evidence (ids of the nearest examples) and cosines of every row.
+
+    A score depends on the text alone, so equal texts score equally and an example is its own nearest
+    one. Null text counts as empty; a text without a word of the examples gets the share of toxic ones
+    among such examples. Rows with null or repeated ids are scored one by one. Without labels of both
+    classes every score is 0.
+    """
+    index, vectors = fit_toxicity(docs, labels, ["doc_id"])
+    known = docs.sparkSession.sparkContext.broadcast(index)  # bounded by MAX_EXAMPLES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids = b.column("doc_id").to_pylist()
-            made = [known.value.judge(*x) for x in zip(ids, *(b.column(c).to_pylist() for c in ("term", "tf", "sketch")), strict=True)]
-            if made:
+            if made := _judged(known.value, b):
                 s, e, c = zip(*made, strict=True)
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(s, pa.float64()), pa.array(e, pa.list_(pa.int64())), pa.array(c, pa.list_(pa.float64()))], names=["doc_id", *SCORED.fieldNames()])
+        release_memory()
 
-    return vectors.select("doc_id", "term", "tf", "sketch").mapInArrow(run, T.StructType([vectors.schema["doc_id"], *SCORED.fields]))
-
-
-def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, score in [0, 1], evidence and cosines of every row; higher: label 1 is likelier.
-
-    Null text counts as empty; a text without chosen terms that is no near copy of an example gets the
-    share of toxic ones among such examples. Rows with null or repeated ids are scored one by one. Without labels of both classes
-    every score is 0.
-    """
-    model, vectors = fit_toxicity(docs, labels)
-    return score_vectors(model, vectors)
+    return vectors.mapInArrow(run, T.StructType([vectors.schema["doc_id"], *SCORED.fields]))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, columns: list[str], least: float = 0.5) -> DataFrame:
-    """``columns`` of the rows that score below ``least``; texts stay where they are, without a shuffle."""
-    model, _ = fit_toxicity(docs, labels)
-    known = docs.sparkSession.sparkContext.broadcast(model)
-    rows = with_terms(docs, model.vocabulary, columns)
-    schema = docs.select(*columns).schema
+    """``columns`` of the rows that score below ``least``; texts are written beside their terms and never shuffled."""
+    index, vectors = fit_toxicity(docs, labels, columns)
+    known = docs.sparkSession.sparkContext.broadcast(index)  # bounded by MAX_EXAMPLES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = columns.index("doc_id")
         for b in batches:
-            n = len(columns)
-            made = zip(*(b.column(c).to_pylist() for c in (at, n, n + 1, n + 2)), strict=True)
-            keep = pa.array([known.value.judge(*x)[0] < least for x in made], pa.bool_())
-            yield b.select(columns).filter(keep)
+            yield b.select(columns).filter(pa.array([s < least for s, _, _ in _judged(known.value, b)], pa.bool_()))
         release_memory()
 
-    return rows.mapInArrow(run, schema)
+    return vectors.mapInArrow(run, docs.select(*columns).schema)
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
