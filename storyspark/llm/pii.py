@@ -1,16 +1,18 @@
-"""Personal data: patterns for four kinds, and contexts that these bootstrap.
-
-Strict patterns give seed entities. The words before and after a seed are its contexts; Spark scores
-the graph of contexts and instances in turns (Agichtein and Gravano 2000): a context is as trustworthy
-as the share of known identifiers among all the identifier-like strings it surrounds, an unseen string
-as its contexts make it. Strings that confident contexts surround, and that look like the kind without
-meeting its strict pattern, are found as well.
+"""Personal data: patterns for four kinds, and lexical patterns that these bootstrap.
+
+Base matches are seed entities. The two words before a seed, or the two after it, make a lexical
+pattern with a slot on its other side (Agichtein and Gravano 2000, Riloff and Jones 1999). Every place
+of a text where such a pattern stands is looked at: its slot holds a seed, another string of the
+kind's shape, or nothing like it. Spark scores the graph of patterns and instances in turns: a
+pattern is as trustworthy as the share of trusted instances in all its places, an unseen instance as
+its patterns make it, and trusted instances count for further patterns. What stands in the slot of a
+confident pattern is found, though no base pattern matches it.
 """
 
 from __future__ import annotations
 
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -23,26 +25,31 @@ from storyspark.llm.common import map_text, release_memory, table
 from storyspark.plans.cutting import materialize
 
 KINDS = ("email", "ip", "card", "phone")
-#: Rounds of scoring; least support of a context in known instances; least confidences; weight against rare contexts.
-ROUNDS, LEAST_SUPPORT, CONTEXT_CONFIDENCE, INSTANCE_CONFIDENCE, DOUBT = 3, 5, 0.8, 0.8, 1.0
+#: Rounds of scoring; different seeds that make a pattern; trusted instances and score of a confident one; confidence
+#: of an instance; weight against rare patterns.
+ROUNDS, LEAST_SEEDS, LEAST_SUPPORT, PATTERN_CONFIDENCE, INSTANCE_CONFIDENCE, DOUBT = 3, 2, 5, 0.8, 0.8, 1.0
+#: Patterns that are looked for in one pass over the texts; more of them take more passes.
+PATTERNS_AT_ONCE = 200_000
+#: Words and marks that a slot may take.
+SLOT = 18
 
 LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-#: The signs, or the words: between spaces, or in brackets with or without them.
-AT = r" ?[\[({]?(?:@| [Aa][Tt] )[\])}]? ?| ?[\[({] ?[Aa][Tt] ?[\])}] ?"
-DOT = r" ?[\[({]?(?:\.| [Dd][Oo][Tt] )[\])}]? ?| ?[\[({] ?[Dd][Oo][Tt] ?[\])}] ?"
-#: What every text with such an e-mail address holds.
-HAS_AT = re.compile(r"@|[ \[({][Aa][Tt][ \])}]")
-#: Identifier-like strings of each kind, looser than the strict patterns.
-LOOSE = {
-    "email": re.compile(rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++(?:{AT})[A-Za-z0-9-]++(?:(?:{DOT})[A-Za-z0-9-]++)+"),
-    "ip": re.compile(r"(?<![0-9.])[0-9]{1,3}(?:[.:\[\]]{1,3}[0-9]{1,3}){3}(?![0-9.]*[0-9])"),
-    "card": re.compile(r"(?<![0-9])[0-9]{4}(?:[ ./-]?[0-9]{4}){2,3}(?:[ ./-]?[0-9]{1,4})?(?![0-9])"),
-    "phone": re.compile(r"(?<![0-9+])(?:\([0-9]{2,4}\)|[0-9]{2,4})[ ./-]?[0-9]{3,4}(?:[ ./-][0-9]{3,4})+(?![0-9])"),
-}
+#: Signs, or words between spaces or underlines, or in brackets.
+AT = r"\s?@\s?|\s?[\[({]\s?(?:@|at)\s?[\])}]\s?|[\s_]at[\s_]"
+DOT = r"\.|\s\.\s|\s?[\[({]\s?(?:\.|dot)\s?[\])}]\s?|[\s_]dot[\s_]"
+HAS_AT = re.compile(r"@|[\s_\[({]at[\s_\])}]", re.I)
+#: The shapes that a slot's string may have: an address with or without its domain's last part, four small numbers or
+#: groups of hexadecimal digits, 12 to 19 digits, 7 to 15 digits; with any marks between.
+SHAPES = (
+    re.compile(rf"[^\W_](?:[\w.%+-]*[^\W_])?(?:{AT})[^\W_]+(?:-[^\W_]+)*(?:(?:{DOT})[^\W_]+(?:-[^\W_]+)*)*", re.I),
+    re.compile(r"[0-9]{1,3}(?:[\s.,:;_\[\](){}-]{1,3}[0-9]{1,3}){3}|[0-9a-f]{0,4}(?:::?[0-9a-f]{1,4}){2,7}|[0-9a-f]{0,4}::[0-9a-f]{1,4}", re.I),
+    re.compile(r"[0-9](?:[\s./_,:-]{0,2}[0-9]){11,18}"),
+    re.compile(r"[+(]?[0-9](?:[\s./_,:()-]{0,2}[0-9]){6,14}"),
+)
 DIGIT = re.compile("[0-9]")
 
 
@@ -86,39 +93,38 @@ def strict(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def loose(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """(start, kind, end) of identifier-like strings that overlap no base match nor each other."""
-    digits, at = DIGIT.search(text) is not None, HAS_AT.search(text) is not None
-    found = []
-    for kind, name in enumerate(KINDS):
-        if digits if kind else at:
-            found += [(m.start(), kind, m.end()) for m in LOOSE[name].finditer(text)]
-    # base matches of different kinds may overlap: their union, as disjoint intervals
-    starts, ends = [], []
-    for s, _, e in base:
-        if ends and s < ends[-1]:
-            ends[-1] = max(ends[-1], e)
-        else:
-            starts.append(s)
-            ends.append(e)
-    out, free = [], 0
-    for s, k, e in sorted(found):
-        i = bisect_right(ends, s)
-        if s >= free and (i == len(starts) or e <= starts[i]):
-            out.append((s, k, e))
-            free = e
-    return out
+TOKENS = re.compile(r"[^\W_]+|[^\w\s]|_|\n")
+#: What stands before a text's or a line's first word, and after its last one.
+EDGE = "\n"
+
+
+def words_of(names: list[str]) -> list[str]:
+    """Lower case, digits as 0, with two edges at either end; no token holds a space."""
+    return [EDGE, EDGE, *(DIGIT.sub("0", " ".join(names).lower()).split(" ") if names else ()), EDGE, EDGE]
 
 
-REACH = 60
+def tokens_of(text: str) -> tuple[list[str], list[int], list[int]]:
+    """Words, marks and line ends; starts; ends."""
+    found = list(TOKENS.finditer(text))
+    n = len(text)
+    return words_of([m.group() for m in found]), [0, 0, *(m.start() for m in found), n, n], [0, 0, *(m.end() for m in found), n, n]
 
 
-def contexts(text: str, start: int, end: int) -> tuple[str, str]:
-    """The two words before and the two after, lower case, digits as 0; nothing beyond the line."""
-    before = text[max(0, start - REACH) : start].rpartition("\n")[2]
-    after = text[end : end + REACH].partition("\n")[0]
-    flat = [DIGIT.sub("0", x.lower()) for x in (" ".join(before.split()[-2:]), " ".join(after.split()[:2]))]
-    return "<" + flat[0], ">" + flat[1]
+def telling(a: str, b: str) -> bool:
+    """Whether two tokens say anything: one of them is a word with a letter."""
+    return a.isalpha() or b.isalpha()
+
+
+def patterns_at(tokens: list[str], starts: list[int], ends: list[int], start: int, end: int) -> list[str]:
+    """The patterns around a span: ``< a b`` before it, ``> a b`` after it."""
+    out = []
+    i = max(bisect_right(ends, start), 2)  # tokens before i end at or before the span
+    if telling(tokens[i - 2], tokens[i - 1]):
+        out.append(f"< {tokens[i - 2]} {tokens[i - 1]}")
+    j = min(bisect_left(starts, end), len(tokens) - 2)
+    if telling(tokens[j], tokens[j + 1]):
+        out.append(f"> {tokens[j]} {tokens[j + 1]}")
+    return out
 
 
 def _key(s: str) -> int:
@@ -127,72 +133,199 @@ def _key(s: str) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
-MENTION = T.StructType([T.StructField("kind", T.IntegerType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("seed", T.BooleanType()), T.StructField("left", T.LongType()), T.StructField("right", T.LongType()), T.StructField("instance", T.LongType())])
-SCANNED = T.StructType([T.StructField("text_key", T.LongType()), T.StructField("mentions", T.ArrayType(MENTION))])
-_ARROW = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("seed", pa.bool_()), ("left", pa.int64()), ("right", pa.int64()), ("instance", pa.int64())]))
+SPAN = T.StructType([T.StructField("kind", T.IntegerType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
+SEED = T.StructType([T.StructField("kind", T.IntegerType()), T.StructField("pattern", T.StringType()), T.StructField("instance", T.LongType())])
+SEEDS = T.StructType([T.StructField("text_key", T.LongType()), T.StructField("base", T.ArrayType(SPAN)), T.StructField("seeds", T.ArrayType(SEED))])
+_SPAN = pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32())])
+_SEED = pa.struct([("kind", pa.int32()), ("pattern", pa.string()), ("instance", pa.int64())])
 
 
-def mentions(text: str) -> list[dict]:
-    base = strict(text)
-    out = []
-    for seed, spans in ((True, base), (False, loose(text, base))):
-        for s, k, e in spans:
-            left, right = contexts(text, s, e)
-            out.append({"kind": k, "start": s, "end": e, "seed": seed, "left": _key(f"{k}{left}"), "right": _key(f"{k}{right}"), "instance": _key(f"{k}{text[s:e].lower()}")})
-    return out
+def instance(kind: int, string: str) -> int:
+    return _key(f"{kind}{string.lower()}")
+
+
+def seeds_of(text: str, base: list[tuple[int, int, int]]) -> list[dict]:
+    """Each base match with each of its patterns."""
+    if not base:
+        return []
+    tokens, starts, ends = tokens_of(text)
+    return [{"kind": k, "pattern": p, "instance": instance(k, text[s:e])} for s, k, e in base for p in patterns_at(tokens, starts, ends, s, e)]
 
 
-def _start():
+def _start_seeds():
     def work(texts: list[str]) -> list[pa.Array]:
-        return [pa.array([_key(t) for t in texts], pa.int64()), pa.array([mentions(t) for t in texts], _ARROW)]
+        base = [strict(t) for t in texts]
+        spans = [[{"kind": k, "start": s, "end": e} for s, k, e in b] for b in base]
+        return [pa.array([_key(t) for t in texts], pa.int64()), pa.array(spans, pa.list_(_SPAN)), pa.array([seeds_of(t, b) for t, b in zip(texts, base, strict=True)], pa.list_(_SEED))]
 
     return work
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """doc_id, text_key and mentions, strict and loose, of every row."""
-    return map_text(docs, "text", ["doc_id"], SCANNED, _start)
+    """doc_id, text_key, base matches, and their patterns, of every row."""
+    return map_text(docs, "text", ["doc_id"], SEEDS, _start_seeds)
+
+
+def induced_patterns(scanned: DataFrame) -> DataFrame:
+    """(kind, pattern) that stand beside at least LEAST_SEEDS different seeds of the kind."""
+    seeds = scanned.select(F.explode("seeds").alias("s")).select("s.*")
+    return seeds.groupBy("kind", "pattern").agg(F.count_distinct("instance").alias("n")).filter(F.col("n") >= LEAST_SEEDS).select("kind", "pattern")
+
+
+class Slots:
+    """Looks for patterns in a text and at what stands in their slots."""
+
+    def __init__(self, patterns: list[tuple[int, str]]):
+        self.of: dict[tuple[str, str, str], list[tuple[int, int]]] = {}
+        for number, (kind, pattern) in enumerate(patterns):
+            self.of.setdefault(tuple(pattern.split(" ")), []).append((number, kind))
+        self.pairs = {(a, b) for _, a, b in self.of}
+
+    def filler(self, text: str, tokens: list[str], starts: list[int], ends: list[int], at: int, step: int, kind: int) -> tuple[int, int] | None:
+        """The longest string of the kind's shape from token ``at`` on, or back from it; within the line."""
+        stop, best, last = at, None, at + step * SLOT
+        while stop != last and 0 <= stop < len(tokens) and tokens[stop] != EDGE:
+            stop += step
+        stop -= step
+        start, end = (starts[at], ends[stop]) if step > 0 else (starts[stop], ends[at])
+        if (stop - at) * step < 0 or not (DIGIT if kind else HAS_AT).search(text, start, end):
+            return None
+        while best is None and (stop - at) * step >= 0:
+            span = (start, ends[stop]) if step > 0 else (starts[stop], end)
+            best = span if SHAPES[kind].fullmatch(text, *span) else None
+            stop -= step
+        return best
+
+    def find(self, text: str, base: list[tuple[int, int, int]]) -> tuple[list[tuple[int, int, int, int, bool]], dict[int, int]]:
+        """(pattern, start, end, instance, whether a seed) of filled slots; how often each pattern's slot held nothing."""
+        tokens = words_of(TOKENS.findall(text))
+        if self.pairs.isdisjoint(zip(tokens, tokens[1:], strict=False)):
+            return [], {}
+        _, starts, ends = tokens_of(text)
+        begins, finishes = {(s, k): e for s, k, e in base}, {(e, k): s for s, k, e in base}
+        union_start, union_end = _union(base)
+        filled, missed = [], {}
+        for i in range(len(tokens) - 1):
+            if (tokens[i], tokens[i + 1]) not in self.pairs:
+                continue
+            for side, at, step in (("<", i + 2, 1), (">", i - 1, -1)):
+                for number, kind in self.of.get((side, tokens[i], tokens[i + 1]), ()):
+                    if step > 0:
+                        here = starts[at] if at < len(tokens) else len(text)
+                        seed = (here, begins[here, kind]) if (here, kind) in begins else None
+                    else:
+                        here = ends[at] if at >= 0 else 0
+                        seed = (finishes[here, kind], here) if (here, kind) in finishes else None
+                    span = seed or self.filler(text, tokens, starts, ends, at, step, kind)
+                    if span is None:
+                        missed[number] = missed.get(number, 0) + 1
+                    elif seed or not _overlaps(union_start, union_end, *span):
+                        filled.append((number, *span, instance(kind, text[span[0] : span[1]]), seed is not None))
+        return filled, missed
+
+
+def _union(base: list[tuple[int, int, int]]) -> tuple[list[int], list[int]]:
+    """Base matches of different kinds may overlap: their union, as disjoint intervals."""
+    starts, ends = [], []
+    for s, _, e in sorted(base):
+        if ends and s < ends[-1]:
+            ends[-1] = max(ends[-1], e)
+        else:
+            starts.append(s)
+            ends.append(e)
+    return starts, ends
+
+
+def _overlaps(starts: list[int], ends: list[int], start: int, end: int) -> bool:
+    i = bisect_right(ends, start)
+    return i < len(starts) and starts[i] < end
+
+
+FILLED = T.StructType([T.StructField(n, T.IntegerType()) for n in ("pattern", "start", "end")] + [T.StructField("instance", T.LongType()), T.StructField("seed", T.BooleanType())])
+MISSED = T.StructType([T.StructField("pattern", T.IntegerType()), T.StructField("n", T.IntegerType())])
+PLACES = T.StructType([T.StructField("text_key", T.LongType()), T.StructField("filled", T.ArrayType(FILLED)), T.StructField("missed", T.ArrayType(MISSED))])
+_FILLED = pa.struct([("pattern", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("instance", pa.int64()), ("seed", pa.bool_())])
+_MISSED = pa.struct([("pattern", pa.int32()), ("n", pa.int32())])
+
+
+def places(docs: DataFrame, patterns: list[tuple[int, str]], first: int) -> DataFrame:
+    """doc_id, text_key, filled and missed slots of the rows where a pattern stands; patterns are numbered from ``first``."""
+    known = docs.sparkSession.sparkContext.broadcast(patterns)  # PATTERNS_AT_ONCE at most
 
+    def start():
+        slots = Slots(known.value)
 
-def confident_contexts(scanned: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """(context) whose last score is high, by rounds of grouped sums over the graph of contexts and instances."""
-    m = scanned.select(F.explode("mentions").alias("m"))
-    edges = m.select(F.explode(F.array("m.left", "m.right")).alias("context"), "m.instance", "m.seed")
-    # an instance that is a seed somewhere is known everywhere; counts are of mentions, capped by no one
-    edges = materialize(edges.groupBy("context", "instance").agg(F.count("*").alias("n"), F.max("seed").alias("seed")), "edges")
+        def work(texts: list[str]) -> list[pa.Array]:
+            found = [slots.find(t, strict(t)) for t in texts]
+            filled = [[{"pattern": first + p, "start": s, "end": e, "instance": i, "seed": seed} for p, s, e, i, seed in x] for x, _ in found]
+            missed = [[{"pattern": first + p, "n": n} for p, n in y.items()] for _, y in found]
+            return [pa.array([_key(t) for t in texts], pa.int64()), pa.array(filled, pa.list_(_FILLED)), pa.array(missed, pa.list_(_MISSED))]
+
+        return work
+
+    return map_text(docs, "text", ["doc_id"], PLACES, start).filter((F.size("filled") > 0) | (F.size("missed") > 0))
+
+
+def confident_patterns(found: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+    """(pattern, score) after the last round of grouped sums over the graph of patterns and instances.
+
+    An instance that is a seed somewhere is trusted everywhere. An unseen one gets 1 - the product of
+    (1 - score) over its confident patterns, and is trusted from INSTANCE_CONFIDENCE on.
+    """
+    filled = found.select(F.explode("filled").alias("f")).groupBy("f.pattern", "f.instance").agg(F.count("*").alias("n"), F.max("f.seed").alias("seed"))
+    edges = materialize(filled, "edges")
+    missed = found.select(F.explode("missed").alias("m")).groupBy("m.pattern").agg(F.sum("m.n").alias("missed"))
+    all_places = materialize(edges.groupBy("pattern").agg(F.sum("n").alias("filled")).join(missed, "pattern", "left").select("pattern", (F.col("filled") + F.coalesce("missed", F.lit(0))).alias("places")), "places")
     trust = edges.groupBy("instance").agg(F.max("seed").cast("double").alias("trust"))
     score = None
     for _ in range(rounds):
-        known = edges.join(trust, "instance")
-        score = known.groupBy("context").agg((F.sum("trust") / (F.count("*") + DOUBT)).alias("score"), F.sum("trust").alias("support"))
-        score = score.filter((F.col("support") >= LEAST_SUPPORT) & (F.col("score") >= CONTEXT_CONFIDENCE))
-        # an unseen instance: 1 - product of (1 - score) over its confident contexts
-        gained = edges.filter(~F.col("seed")).join(score, "context").groupBy("instance").agg((1 - F.exp(F.sum(F.log(1 - F.least("score", F.lit(0.999)))))).alias("gain"))
-        fresh = edges.groupBy("instance").agg(F.max("seed").cast("double").alias("seed")).join(gained, "instance", "left")
-        trust = materialize(fresh.select("instance", F.greatest("seed", F.when(F.col("gain") >= INSTANCE_CONFIDENCE, F.col("gain")).otherwise(0.0)).alias("trust")), "trust")
-    return score.select("context")
-
-
-def discovered(scanned: DataFrame) -> DataFrame:
-    """doc_id, text_key, extra: the loose mentions in confident contexts, for rows that have any."""
-    good = materialize(confident_contexts(scanned), "contexts")
-    m = scanned.select("doc_id", "text_key", F.explode(F.filter("mentions", lambda x: ~x.seed)).alias("m"))
-    sides = m.withColumn("context", F.explode(F.array("m.left", "m.right")))
-    hits = sides.join(good, "context", "left_semi").select("doc_id", "text_key", F.struct("m.kind", "m.start", "m.end").alias("s"))
+        sums = edges.join(trust, "instance").groupBy("pattern").agg(F.sum(F.col("n") * F.col("trust")).alias("good"), F.sum("trust").alias("support"))
+        score = sums.join(all_places, "pattern").select("pattern", (F.col("good") / (F.col("places") + DOUBT)).alias("score"), "support")
+        score = materialize(score.filter((F.col("support") >= LEAST_SUPPORT) & (F.col("score") >= PATTERN_CONFIDENCE)), "patterns")
+        gained = edges.join(score, "pattern").groupBy("instance").agg((1 - F.exp(F.sum(F.log(1 - F.least("score", F.lit(0.999)))))).alias("gain"))
+        known = edges.groupBy("instance").agg(F.max("seed").cast("double").alias("seed")).join(gained, "instance", "left")
+        trust = materialize(known.select("instance", F.greatest("seed", F.when(F.col("gain") >= INSTANCE_CONFIDENCE, F.col("gain")).otherwise(0.0)).alias("trust")), "trust")
+    return score.select("pattern", "score")
+
+
+def discovered(docs: DataFrame, scanned: DataFrame) -> DataFrame:
+    """doc_id, text_key, extra: what stands in slots of confident patterns, for rows that have any.
+
+    Patterns are numbered, dealt into passes of about PATTERNS_AT_ONCE, and looked for; the driver
+    holds those of one pass at a time.
+    """
+    induced = materialize(induced_patterns(scanned), "induced")
+    parts = -(-induced.count() // PATTERNS_AT_ONCE)
+    found, kinds, first = None, [], 0
+    for part in range(parts):
+        patterns = sorted((r.kind, r.pattern) for r in induced.filter(F.pmod(F.xxhash64("kind", "pattern"), F.lit(parts)) == part).collect())
+        if patterns:
+            here = materialize(places(docs, patterns, first), "places")
+            found = here if found is None else found.unionByName(here)
+            cuts = [first + sum(k < kind for k, _ in patterns) for kind in range(len(KINDS) + 1)]
+            kinds += [(kind, a, b) for kind, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))]
+            first += len(patterns)
+    if found is None:
+        return docs.sparkSession.createDataFrame([], T.StructType([scanned.schema["doc_id"], T.StructField("text_key", T.LongType()), T.StructField("extra", T.ArrayType(SPAN))]))
+    good = confident_patterns(found)
+    kind = F.coalesce(*[F.when((F.col("f.pattern") >= a) & (F.col("f.pattern") < b), k) for k, a, b in kinds])
+    fresh = found.select("doc_id", "text_key", F.explode(F.filter("filled", lambda f: ~f.seed)).alias("f"))
+    hits = fresh.withColumn("kind", kind).join(good, F.col("f.pattern") == good.pattern, "left_semi").select("doc_id", "text_key", F.struct("kind", "f.start", "f.end").alias("s"))
     return hits.groupBy("doc_id", "text_key").agg(F.collect_set("s").alias("extra"))
 
 
 def find_pii(docs: DataFrame) -> DataFrame:
     """doc_id, base and spans of every row: arrays of (start, kind, end), kind by its place in KINDS.
 
-    spans hold base and what confident contexts add, ordered by start, then kind. Null text counts
-    as empty and has none. Repeated rows are each returned, alike; null ids too. Without enough
-    seeds no context is confident, and spans equal base.
+    spans hold base and what confident patterns add, ordered by start, then kind; added ones may
+    overlap each other, never a base match. Null text counts as empty and has none. Repeated rows are
+    each returned, alike; null ids too. Without enough seeds no pattern is confident, and spans equal
+    base. A pattern needs a word; the edge of a text or line alone is none.
     """
-    scanned = materialize(scan(docs), "mentions")
-    extra = discovered(scanned)
+    scanned = materialize(scan(docs), "seeds")
+    extra = discovered(docs, scanned)
     rows = scanned.join(extra.withColumnsRenamed({"doc_id": "e_id", "text_key": "e_key"}), F.col("doc_id").eqNullSafe(F.col("e_id")) & (F.col("text_key") == F.col("e_key")), "left")
-    spans = F.transform(F.filter("mentions", lambda m: m.seed), lambda m: F.struct(m.start.alias("start"), m.kind.alias("kind"), m.end.alias("end")))
+    spans = F.transform("base", lambda m: F.struct(m.start.alias("start"), m.kind.alias("kind"), m.end.alias("end")))
     more = F.transform(F.coalesce("extra", F.array().cast("array<struct<kind:int,start:int,end:int>>")), lambda m: F.struct(m.start.alias("start"), m.kind.alias("kind"), m.end.alias("end")))
     return rows.select("doc_id", "text_key", F.array_sort(spans).alias("base"), F.array_sort(F.concat(spans, more)).alias("spans"))
 
@@ -214,7 +347,7 @@ def mask_documents(docs: DataFrame, columns: list[str]) -> DataFrame:
     spans meet a join; Spark broadcasts those while they are few and shuffles otherwise. A null text
     stays null, and so does its n_chars if it was.
     """
-    extra = materialize(discovered(materialize(scan(docs), "mentions")), "discovered").withColumnsRenamed({"doc_id": "e_id", "text_key": "e_key"})
+    extra = materialize(discovered(docs, materialize(scan(docs), "seeds")), "discovered").withColumnsRenamed({"doc_id": "e_id", "text_key": "e_key"})
     rows = docs.select(*columns).withColumn("e_text", F.xxhash64(F.coalesce("text", F.lit(""))))
     rows = rows.join(extra, F.col("doc_id").eqNullSafe(F.col("e_id")) & (F.col("e_text") == F.col("e_key")), "left").select(*columns, "extra")
     schema = docs.select(*columns).schema
