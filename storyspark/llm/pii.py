@@ -31,7 +31,7 @@ ROUNDS, LEAST_SEEDS, LEAST_SUPPORT, PATTERN_CONFIDENCE, INSTANCE_CONFIDENCE, DOU
 #: Patterns that are looked for in one pass over the texts; more of them take more passes.
 PATTERNS_AT_ONCE = 200_000
 #: Words and marks that a slot may take.
-SLOT = 18
+SLOT = 15
 
 LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -93,7 +93,7 @@ def strict(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-TOKENS = re.compile(r"[^\W_]+|[^\w\s]|_|\n")
+TOKENS = re.compile(r"\w+|[^\w\s]|\n")
 #: What stands before a text's or a line's first word, and after its last one.
 EDGE = "\n"
 
@@ -201,22 +201,24 @@ class Slots:
         tokens = words_of(TOKENS.findall(text))
         if self.pairs.isdisjoint(zip(tokens, tokens[1:], strict=False)):
             return [], {}
-        _, starts, ends = tokens_of(text)
         begins, finishes = {(s, k): e for s, k, e in base}, {(e, k): s for s, k, e in base}
         union_start, union_end = _union(base)
-        filled, missed = [], {}
-        for i in range(len(tokens) - 1):
-            if (tokens[i], tokens[i + 1]) not in self.pairs:
+        filled, missed, starts, ends = [], {}, None, None
+        for i, pair in enumerate(zip(tokens, tokens[1:], strict=False)):
+            if pair not in self.pairs:
                 continue
             for side, at, step in (("<", i + 2, 1), (">", i - 1, -1)):
-                for number, kind in self.of.get((side, tokens[i], tokens[i + 1]), ()):
-                    if step > 0:
-                        here = starts[at] if at < len(tokens) else len(text)
-                        seed = (here, begins[here, kind]) if (here, kind) in begins else None
-                    else:
-                        here = ends[at] if at >= 0 else 0
-                        seed = (finishes[here, kind], here) if (here, kind) in finishes else None
-                    span = seed or self.filler(text, tokens, starts, ends, at, step, kind)
+                for number, kind in self.of.get((side, *pair), ()):
+                    span = seed = None
+                    near = tokens[at : at + SLOT] if step > 0 else tokens[max(0, at - SLOT + 1) : at + 1]
+                    if any("0" in t for t in near) if kind else any(t in ("@", "at") or "_at_" in t for t in near):
+                        if starts is None:
+                            _, starts, ends = tokens_of(text)
+                        if step > 0 and (starts[at], kind) in begins:
+                            seed = starts[at], begins[starts[at], kind]
+                        elif step < 0 and (ends[at], kind) in finishes:
+                            seed = finishes[ends[at], kind], ends[at]
+                        span = seed or self.filler(text, tokens, starts, ends, at, step, kind)
                     if span is None:
                         missed[number] = missed.get(number, 0) + 1
                     elif seed or not _overlaps(union_start, union_end, *span):
