@@ -1,21 +1,24 @@
 """URL filters: host and path rules, then a tree of path templates for each host.
 
 The path's segments make a tree under their host. From the top down, a segment becomes a wildcard
-where it varies (wholly a shape of digits or hexadecimal digits, or children that are nearly all different),
-or where its labelled share does not differ statistically from that of its siblings, so that similar
-branches merge. What is left are templates; a template is rejected where the share of its labelled
-pages that are good, smoothed towards the share of all labelled pages, is too low.
+where it varies (wholly a shape of digits or hexadecimal digits, or children that are nearly all
+different). The other children of a node are ordered by their labelled share of good pages; two
+neighbours in that order belong to one branch unless their shares differ statistically, so that
+similar branches merge and different ones stay apart. What is left are templates; a template is
+rejected where the share of its labelled pages that are good, smoothed towards the share of all
+labelled pages, is too low.
 
 The tree is grown over distinct shaped paths with their counts, a table that Spark has grouped
-first; its levels are grouped sums and equi-joins, and no host is ever held by one task. Levels are
-added until no path that still shares its branch with another one has a further segment.
+first; its levels are grouped sums and equi-joins, and children with equal counts are compared once,
+so no host is ever held by one task. Levels are added until no path that still shares its branch with
+another one has a further segment.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from storyspark.llm.common import table
@@ -38,8 +41,8 @@ RULES = (UrlRule("net", "/", "block"), UrlRule("example.net", "/en/", "allow"),
 SHAPES = ("{n}", "{x}")
 #: A node with so many different children, of which so large a share of its paths is of its own, varies.
 MANY, SINGLE_SHARE = 8, 0.5
-#: Branches merge whose shares differ by less than so many standard errors.
-Z = 1.96
+#: Neighbours merge whose shares differ by no more than so many standard errors; labelled pages that a child needs for it.
+Z, LEAST_TESTED = 1.96, 5
 #: Pseudo-count of the prior, labelled pages that a template needs, share of good pages below which it goes.
 PRIOR, LEAST_LABELLED, LEAST_GOOD = 10.0, 20, 0.5
 
@@ -68,6 +71,28 @@ def shaped(path: Column) -> Column:
     return F.transform(parts, lambda s: F.regexp_replace(F.regexp_replace(s, "[0-9a-fA-F]{12,}", "{x}"), "[0-9]+", "{n}"))
 
 
+def similar_branches(tested: DataFrame) -> DataFrame:
+    """host, template, known, good, branch: which children of a node merge, from (host, template, seg, known, good).
+
+    branch is null where a child stays alone, "*" where all children of the node are alike, else "*" and
+    the place of the group in the order of shares. The test is that of two proportions; it links
+    neighbours, so the ends of a long chain may differ. Children with equal counts are one row, so a
+    node with n labelled pages has in the order of n ** (2 / 3) rows at most.
+    """
+    share = F.col("good") / F.col("known")
+    counts = tested.groupBy("host", "template", "known", "good").agg(F.count("*").alias("children"))
+    node = Window.partitionBy("host", "template")
+    order = node.orderBy(share, "known", "good")
+    before_known, before_good = F.lag("known").over(order), F.lag("good").over(order)
+    pooled = (F.col("good") + before_good) / (F.col("known") + before_known)
+    error = F.sqrt(pooled * (1 - pooled) * (1 / F.col("known") + 1 / before_known))
+    cut = F.coalesce((share - before_good / before_known > Z * error).cast("int"), F.lit(0))
+    placed = counts.withColumn("cut", cut).withColumn("place", F.sum("cut").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    sized = placed.withColumns({"last": F.max("place").over(node), "members": F.sum("children").over(Window.partitionBy("host", "template", "place"))})
+    branch = F.when(F.col("last") == 0, "*").when(F.col("members") > 1, F.concat(F.lit("*"), (F.col("place") + 1).cast("string")))
+    return sized.select("host", "template", "known", "good", branch.alias("branch"))
+
+
 def grow_templates(pages: DataFrame) -> DataFrame:
     """(host, shape) to template, from columns host, shape, good (1, 0 or null) of all pages."""
     spark = pages.sparkSession
@@ -78,14 +103,13 @@ def grow_templates(pages: DataFrame) -> DataFrame:
         level = len(levels)
         here = now.filter("open").withColumn("seg", F.get("shape", F.lit(level - 1)))
         sums = here.groupBy("host", "template", "seg").agg(F.count("*").alias("paths"), F.sum("n").alias("n"), F.sum("known").alias("known"), F.sum("good").alias("good"))
-        node = sums.groupBy("host", "template").agg(F.count("*").alias("children"), F.sum("paths").alias("all_paths"), F.sum("n").alias("all_n"), F.sum("known").alias("all_known"), F.sum("good").alias("all_good"))
-        both = sums.join(node, ["host", "template"])
-        share = F.try_divide("all_good", "all_known")
-        error = F.sqrt(F.try_divide(share * (1 - share), "known"))
-        varies = (F.col("children") >= MANY) & (F.col("children") > SINGLE_SHARE * F.col("all_n"))
-        alike = (F.col("known") == 0) | (F.abs(F.try_divide("good", "known") - share) <= Z * error)
-        branch = F.when(varies | F.col("seg").isin(*SHAPES) | alike, "*").otherwise(F.col("seg"))
-        chosen = both.select("host", "template", "seg", F.concat("template", F.lit("/"), branch).alias("grown"), (F.col("all_paths") == 1).alias("alone"))
+        node = sums.groupBy("host", "template").agg(F.count("*").alias("children"), F.sum("paths").alias("all_paths"), F.sum("n").alias("all_n"))
+        varies = ((F.col("children") >= MANY) & (F.col("children") > SINGLE_SHARE * F.col("all_n"))) | F.col("seg").isin(*SHAPES)
+        both = materialize(sums.join(node, ["host", "template"]).withColumn("tested", ~varies & (F.col("known") >= LEAST_TESTED)), "branches")
+        tested = both.filter("tested")
+        named = tested.join(similar_branches(tested), ["host", "template", "known", "good"]).withColumn("branch", F.coalesce("branch", "seg"))
+        branches = named.unionByName(both.filter("not tested").withColumn("branch", F.lit("*")))
+        chosen = branches.select("host", "template", "seg", F.concat("template", F.lit("/"), "branch").alias("grown"), (F.col("all_paths") == 1).alias("alone"))
         step = here.join(chosen, ["host", "template", "seg"])
         # a path alone in its node is like itself at each further level
         rest = F.when(F.col("alone"), F.repeat(F.lit("/*"), F.size("shape") - level)).otherwise("")
@@ -111,7 +135,8 @@ def filter_urls(pages: DataFrame, labels: DataFrame, rules: tuple[UrlRule, ...]
     Labels (doc_id, quality) go with pages by page_id; several of one page count as their mean,
     rounded down. A null url, or one without ``://``, has empty host and path, fits no rule and is
     judged by the template of the empty host. Repeated rows are judged alike and counted each; a
-    null page_id is kept and has no label.
+    null page_id is kept and has no label. Unlabelled children, and those with too few labelled pages
+    for a test, share their node's wildcard.
     """
     rows = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     marks = labels.filter(F.col("quality").isin(0, 1)).groupBy(F.col("doc_id").alias("page_id")).agg(F.floor(F.avg("quality")).cast("int").alias("good"))

@@ -272,6 +272,89 @@ def test_mixed_shapes_and_deep_segments_are_told_apart(spark):
     assert got["http://long.io" + "/x" * 300].template == "/*" * 300 and got["http://long.io"].template == ""
 
 
+def plain_templates(rows):
+    """The tree the long way, by recursion: rows (host, shape, good or None) to {(host, shape): template}."""
+    out = {}
+
+    def grow(paths, depth, prefix):
+        # paths: {shape: [n, known, good]} that share the prefix and have a segment at depth
+        children = {}
+        for shape, c in paths.items():
+            children.setdefault(shape[depth], {})[shape] = c
+        total = {seg: [sum(c[k] for c in x.values()) for k in range(3)] for seg, x in children.items()}
+        all_n = sum(c[0] for c in total.values())
+        varying = len(children) >= url_filter.MANY and len(children) > url_filter.SINGLE_SHARE * all_n
+        name = {seg: "*" for seg in children}
+        tested = sorted((g / k, k, g, seg) for seg, (_, k, g) in total.items() if not varying and seg not in ("{n}", "{x}") and k >= url_filter.LEAST_TESTED)
+        groups = []
+        for share, k, g, seg in tested:
+            if groups:
+                s0, k0, g0, _ = groups[-1][-1]
+                p = (g + g0) / (k + k0)
+                if share - s0 <= 1.96 * math.sqrt(p * (1 - p) * (1 / k + 1 / k0)):
+                    groups[-1].append((share, k, g, seg))
+                    continue
+            groups.append([(share, k, g, seg)])
+        for at, group in enumerate(groups):
+            for *_, seg in group:
+                name[seg] = "*" if len(groups) == 1 else seg if len(group) == 1 else f"*{at + 1}"
+        merged = {}
+        for seg, x in children.items():
+            merged.setdefault(name[seg], {}).update(x)
+        for branch, x in merged.items():
+            for shape in [s for s in x if len(s) == depth + 1]:
+                out[host, shape] = f"{prefix}/{branch}"
+            further = {s: c for s, c in x.items() if len(s) > depth + 1}
+            if len(paths) == 1:
+                for shape in further:
+                    out[host, shape] = f"{prefix}/{branch}" + "/*" * (len(shape) - depth - 1)
+            elif further:
+                grow(further, depth + 1, f"{prefix}/{branch}")
+
+    by = {}
+    for host, shape, good in rows:
+        c = by.setdefault(host, {}).setdefault(shape, [0, 0, 0])
+        c[0] += 1
+        c[1] += good is not None
+        c[2] += good or 0
+    for host, paths in by.items():
+        out[host, ()] = ""
+        if deep := {s: c for s, c in paths.items() if s}:
+            grow(deep, 0, "")
+    return out
+
+
+def test_templates_and_verdicts_equal_the_long_way(spark):
+    r = random.Random(8)
+    quality = {"news": 0.95, "blog": 0.9, "casino": 0.05, "pills": 0.1, "misc": 0.5, "shop": 0.55, "rare": 0.0}
+    urls, marks = {}, {}
+    for i in range(3000):
+        first, second = r.choice(list(quality)[: 6 if i % 50 else 7]), r.choice(["a", "b", "tag", f"p-{r.randint(0, 9)}", str(r.randint(0, 99)), ""])
+        path = "/".join(["", first, second, *(["x"] * r.randint(0, 2)), f"w{r.choice('abcdefghijkl')}{r.choice('abcdefghijkl')}{r.choice('abcdefghijkl')}"][: r.randint(1, 6)])
+        urls[i] = f"http://{r.choice(['one.io', 'two.io'])}{path}"
+        if r.random() < 0.6:
+            marks[i] = int(r.random() < quality[first] + (0.3 if second == "tag" else 0))
+    pages = spark.createDataFrame(list(urls.items()), "page_id long, url string")
+    got = {x.page_id: x for x in url_filter.filter_urls(pages, spark.createDataFrame([(i, q, 0) for i, q in marks.items()], LABELS)).collect()}
+    shape = {}
+    for i, u in urls.items():
+        parts = [p for p in plain_url(u)[1].split("/") if p]
+        shape[i] = plain_url(u)[0], tuple(re.sub("[0-9]+", "{n}", re.sub("[0-9a-fA-F]{12,}", "{x}", p)) for p in parts)
+    template = plain_templates([(*shape[i], marks.get(i)) for i in urls])
+    known, good = Counter(), Counter()
+    for i, q in marks.items():
+        key = shape[i][0], template[shape[i]]
+        known[key] += 1
+        good[key] += q
+    base = sum(marks.values()) / len(marks)
+    for i in urls:
+        key = shape[i][0], template[shape[i]]
+        rejected = known[key] >= url_filter.LEAST_LABELLED and (good[key] + 10 * base) / (known[key] + 10) < 0.5
+        assert got[i].template == key[1] and got[i].verdict == ("block" if rejected else "allow"), (urls[i], got[i], key)
+    assert {got[i].verdict for i in urls} == {"allow", "block"}
+    assert len({x.template for x in got.values()} & {"/*1", "/*2", "/*3"}) > 1  # similar siblings have merged, different ones not
+
+
 @pytest.mark.parametrize("i", [0, 7, -1, 10**12])
 def test_fold_is_crc32_of_the_decimal_text(spark, i):
     from pyspark.sql import functions as F
