@@ -2,15 +2,17 @@
 
 Vectors are grouped by length, in bands of a fixed ratio (Teflioudi et al. 2015). A query first gets
 a lower bound of its k-th best product from the longest vectors. It then goes only to bands whose
-longest vector could still reach that bound, cut into blocks of a bounded number of vectors; queries
-come in blocks too, so every group that one task holds is bounded, however many vectors share a
-length or a value. Inside a group the bound becomes a local cosine threshold: a high one makes ranges
+longest vector could still reach that bound, cut into blocks of a bounded number of vectors. Queries
+come in blocks too, by the length that their bound asks for, and a vector is sent only to blocks of
+queries that can reach its band; every group that one task holds is bounded, however many vectors
+share a length or a value. Inside a group the bound becomes a local cosine threshold: a high one makes ranges
 for the query's largest coordinates that a candidate must lie in, a low one leaves pruning by length.
 Whatever remains is verified by exact integer products.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +26,7 @@ from storyspark.llm.common import table
 from storyspark.plans.cutting import materialize
 
 #: Vectors and queries in a block, vectors that give the first bounds; bands for a doubling of the squared length.
-BLOCK, QUERY_BLOCK, PROBES, BANDS = 2048, 512, 2048, 4
+BLOCK, QUERY_BLOCK, PROBES, BANDS = 4096, 4096, 2048, 4
 #: From this local cosine on, coordinates prune; so many of the query's largest ones.
 COORDINATE_COSINE, FOCUS = 0.35, 3
 
@@ -137,18 +139,19 @@ def _one_dimension(rows: DataFrame, queries: Column, k: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("v"), b.column("norm2"), pa.array(kth)], names=["query_id", "q", "q_norm2", "bound"])
 
     asked = materialize(rows.filter(queries).select("id", "v", "norm2").mapInArrow(first_bounds, "query_id long, q array<double>, q_norm2 double, bound double"), "queries")
-    # at most BANDS * 2048 bands exist for doubles, so their counts are small
+    # at most BANDS * 2048 bands exist for doubles, of vectors and of the lengths that queries ask for
+    need = F.col("bound") / F.sqrt("q_norm2")
+    asked = asked.withColumn("need", F.when((F.col("bound") > 0) & (F.col("q_norm2") > 0), _band(need * need)).otherwise(-1))
     bands = rows.groupBy("band").agg(F.count("*").alias("n"), F.max("norm2").alias("longest")).collect()
-    if not bands:
+    needs = asked.groupBy("need").agg(F.count("*").alias("n"), F.min(F.when(F.col("need") < 0, 0.0).otherwise(need)).alias("least")).collect()
+    meet = [(b.band, -(-b.n // BLOCK), float(b.longest), a.need, -(-a.n // QUERY_BLOCK)) for b in bands for a in needs if a.least <= math.sqrt(b.longest) * (1 + 1e-9)]
+    if not meet:
         return spark.createDataFrame([], "query_id long, rank int, id long, score long")
-    known = spark.createDataFrame([(b.band, max(1, -(-b.n // BLOCK)), float(b.longest)) for b in bands], "band int, blocks int, longest double")
-    n_blocks = max(1, -(-asked.count() // QUERY_BLOCK))
-    candidates = rows.join(F.broadcast(known.select("band", "blocks")), "band").select("band", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), "id", "v")
-    candidates = candidates.withColumn("query_block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
-    reach = F.sqrt(F.col("q_norm2")) * F.sqrt("longest") * (1 + 1e-9)
-    sent = asked.join(F.broadcast(known), (F.col("bound") <= reach))
-    sent = sent.withColumns({"block": F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)), "query_block": F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)).cast("int")})
-    sent = sent.select("band", "block", "query_block", "query_id", "q", "bound")
+    plan = F.broadcast(spark.createDataFrame(meet, "band int, blocks int, longest double, need int, query_blocks int"))
+    block, query_block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"), F.pmod(F.xxhash64("query_id"), F.col("query_blocks")).cast("int")
+    candidates = rows.select("band", "id", "v").join(plan, "band").select("band", "need", block.alias("block"), F.explode(F.sequence(F.lit(0), F.col("query_blocks") - 1)).alias("query_block"), "id", "v")
+    sent = asked.join(plan, "need").filter(F.col("bound") <= F.sqrt("q_norm2") * F.sqrt("longest") * (1 + 1e-9))
+    sent = sent.select("band", "need", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), query_block.alias("query_block"), "query_id", "q", "bound")
 
     def group(q: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
         out: dict[str, list] = {"query_id": [], "id": [], "score": []}
@@ -160,7 +163,7 @@ def _one_dimension(rows: DataFrame, queries: Column, k: int) -> DataFrame:
                 out["score"] += scores.tolist()
         return pd.DataFrame(out).astype("int64")
 
-    keys = ["band", "block", "query_block"]
+    keys = ["band", "need", "block", "query_block"]
     found = sent.groupBy(*keys).cogroup(candidates.groupBy(*keys)).applyInPandas(group, T.StructType([T.StructField(c, T.LongType()) for c in ("query_id", "id", "score")]))
     # the k best of all blocks: sorted short lists, merged before and after the shuffle
     listed = found.groupBy("query_id").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("less"), "id", "score"))), 1, k).alias("top"))
