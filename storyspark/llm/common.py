@@ -46,6 +46,12 @@ def release_memory() -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
+def arrow_batches(spark: SparkSession) -> None:
+    """Batches of BATCH_ROWS rows and BATCH_BYTES at most."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def map_text(df: DataFrame, text_col: str, keep: list[str], fields: T.StructType, start: Callable[[], Callable[[list[str]], list[pa.Array]]], at_once: int = BATCH_ROWS) -> DataFrame:
     """``keep`` columns as they are, then ``fields`` worked out from the texts, batch by batch.
 
@@ -53,8 +59,7 @@ def map_text(df: DataFrame, text_col: str, keep: list[str], fields: T.StructType
     ``fields``; it gets at most ``at_once`` of them together. Only ``keep`` and the text travel, so
     other columns, also of clashing names, don't matter.
     """
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    arrow_batches(df.sparkSession)
     taken = df.select(*[F.col(c) for c in keep], F.col(text_col).cast("string").alias("__text"))
     schema = T.StructType([f for f in taken.schema.fields if f.name != "__text"] + fields.fields)
     names = schema.fieldNames()

@@ -15,19 +15,20 @@ import re
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from storyspark.llm.common import map_text, release_memory, table
+from storyspark.llm.common import arrow_batches, map_text, release_memory, strings, table
 from storyspark.plans.cutting import materialize
 
 KINDS = ("email", "ip", "card", "phone")
-#: Rounds of scoring; different seeds that make a pattern; trusted instances and score of a confident one; confidence
-#: of an instance; weight against rare patterns.
-ROUNDS, LEAST_SEEDS, LEAST_SUPPORT, PATTERN_CONFIDENCE, INSTANCE_CONFIDENCE, DOUBT = 3, 2, 5, 0.8, 0.8, 1.0
+#: Rounds of scoring; different seeds that make a pattern, and their least share of its places in texts that hold base
+#: matches; trusted instances and score of a confident one; confidence of an instance; weight against rare patterns.
+ROUNDS, LEAST_SEEDS, SEED_SHARE, LEAST_SUPPORT, PATTERN_CONFIDENCE, INSTANCE_CONFIDENCE, DOUBT = 3, 2, 0.2, 5, 0.8, 0.8, 1.0
 #: Patterns that are looked for in one pass over the texts; more of them take more passes.
 PATTERNS_AT_ONCE = 200_000
 #: Words and marks that a slot may take.
@@ -98,16 +99,24 @@ TOKENS = re.compile(r"\w+|[^\w\s]|\n")
 EDGE = "\n"
 
 
-def words_of(names: list[str]) -> list[str]:
-    """Lower case, digits as 0, with two edges at either end; no token holds a space."""
-    return [EDGE, EDGE, *(DIGIT.sub("0", " ".join(names).lower()).split(" ") if names else ()), EDGE, EDGE]
+def flat(text: str) -> str:
+    """Lower case, digits as 0, of the same length."""
+    lower = text.lower()
+    if len(lower) != len(text):
+        lower = "".join(x if len(x := c.lower()) == 1 else c for c in text)
+    return DIGIT.sub("0", lower)
 
 
-def tokens_of(text: str) -> tuple[list[str], list[int], list[int]]:
-    """Words, marks and line ends; starts; ends."""
-    found = list(TOKENS.finditer(text))
+def tokens_of(text: str) -> list[str]:
+    """Words, marks and line ends of a flat text, with two edges at either end."""
+    return [EDGE, EDGE, *TOKENS.findall(text), EDGE, EDGE]
+
+
+def bounds_of(text: str) -> tuple[list[int], list[int]]:
+    """Starts and ends of ``tokens_of``."""
+    spans = [m.span() for m in TOKENS.finditer(text)]
     n = len(text)
-    return words_of([m.group() for m in found]), [0, 0, *(m.start() for m in found), n, n], [0, 0, *(m.end() for m in found), n, n]
+    return [0, 0, *(s for s, _ in spans), n, n], [0, 0, *(e for _, e in spans), n, n]
 
 
 def telling(a: str, b: str) -> bool:
@@ -148,7 +157,8 @@ def seeds_of(text: str, base: list[tuple[int, int, int]]) -> list[dict]:
     """Each base match with each of its patterns."""
     if not base:
         return []
-    tokens, starts, ends = tokens_of(text)
+    low = flat(text)
+    tokens, (starts, ends) = tokens_of(low), bounds_of(low)
     return [{"kind": k, "pattern": p, "instance": instance(k, text[s:e])} for s, k, e in base for p in patterns_at(tokens, starts, ends, s, e)]
 
 
@@ -176,54 +186,56 @@ class Slots:
     """Looks for patterns in a text and at what stands in their slots."""
 
     def __init__(self, patterns: list[tuple[int, str]]):
-        self.of: dict[tuple[str, str, str], list[tuple[int, int]]] = {}
+        self.of: dict[tuple[str, str], list[tuple[int, int, int]]] = {}
         for number, (kind, pattern) in enumerate(patterns):
-            self.of.setdefault(tuple(pattern.split(" ")), []).append((number, kind))
-        self.pairs = {(a, b) for _, a, b in self.of}
+            side, a, b = pattern.split(" ")
+            self.of.setdefault((a, b), []).append((number, kind, 1 if side == "<" else -1))
 
     def filler(self, text: str, tokens: list[str], starts: list[int], ends: list[int], at: int, step: int, kind: int) -> tuple[int, int] | None:
-        """The longest string of the kind's shape from token ``at`` on, or back from it; within the line."""
-        stop, best, last = at, None, at + step * SLOT
+        """The string of the kind's shape that begins with token ``at``, or the longest one that ends with it; within the line."""
+        stop, last = at, at + step * SLOT
         while stop != last and 0 <= stop < len(tokens) and tokens[stop] != EDGE:
             stop += step
         stop -= step
-        start, end = (starts[at], ends[stop]) if step > 0 else (starts[stop], ends[at])
-        if (stop - at) * step < 0 or not (DIGIT if kind else HAS_AT).search(text, start, end):
+        if (stop - at) * step < 0:
             return None
-        while best is None and (stop - at) * step >= 0:
-            span = (start, ends[stop]) if step > 0 else (starts[stop], end)
-            best = span if SHAPES[kind].fullmatch(text, *span) else None
-            stop -= step
-        return best
-
-    def find(self, text: str, base: list[tuple[int, int, int]]) -> tuple[list[tuple[int, int, int, int, bool]], dict[int, int]]:
-        """(pattern, start, end, instance, whether a seed) of filled slots; how often each pattern's slot held nothing."""
-        tokens = words_of(TOKENS.findall(text))
-        if self.pairs.isdisjoint(zip(tokens, tokens[1:], strict=False)):
-            return [], {}
-        begins, finishes = {(s, k): e for s, k, e in base}, {(e, k): s for s, k, e in base}
-        union_start, union_end = _union(base)
-        filled, missed, starts, ends = [], {}, None, None
-        for i, pair in enumerate(zip(tokens, tokens[1:], strict=False)):
-            if pair not in self.pairs:
-                continue
-            for side, at, step in (("<", i + 2, 1), (">", i - 1, -1)):
-                for number, kind in self.of.get((side, *pair), ()):
-                    span = seed = None
-                    near = tokens[at : at + SLOT] if step > 0 else tokens[max(0, at - SLOT + 1) : at + 1]
-                    if any("0" in t for t in near) if kind else any(t in ("@", "at") or "_at_" in t for t in near):
-                        if starts is None:
-                            _, starts, ends = tokens_of(text)
-                        if step > 0 and (starts[at], kind) in begins:
-                            seed = starts[at], begins[starts[at], kind]
-                        elif step < 0 and (ends[at], kind) in finishes:
-                            seed = finishes[ends[at], kind], ends[at]
-                        span = seed or self.filler(text, tokens, starts, ends, at, step, kind)
-                    if span is None:
-                        missed[number] = missed.get(number, 0) + 1
-                    elif seed or not _overlaps(union_start, union_end, *span):
-                        filled.append((number, *span, instance(kind, text[span[0] : span[1]]), seed is not None))
-        return filled, missed
+        shape = SHAPES[kind]
+        if step > 0:
+            m = shape.match(text, starts[at], ends[stop])
+            return m.span() if m and ends[bisect_left(ends, m.end(), at)] == m.end() else None
+        while stop <= at:
+            if shape.fullmatch(text, starts[stop], ends[at]):
+                return starts[stop], ends[at]
+            stop += 1
+        return None
+
+    def find(self, text: str, base: list[tuple[int, int, int]]) -> tuple[list[tuple[int, int, int, int, bool]], list[int]]:
+        """(pattern, start, end, instance, whether a seed) of filled slots; the patterns of all places, filled or not."""
+        low = flat(text)
+        tokens, of = tokens_of(low), self.of
+        at = [i for i, pair in enumerate(zip(tokens, tokens[1:], strict=False)) if pair in of]
+        if not at:
+            return [], []
+        hits = [(i + 2 if step > 0 else i - 1, step, number, kind) for i in at for number, kind, step in of[tokens[i], tokens[i + 1]]]
+        # a slot holds nothing unless a digit, or an at, is near
+        digits = {j + d for j, t in enumerate(tokens) if "0" in t for d in range(-3, 4)}
+        ats = {j + d for j, t in enumerate(tokens) if t in ("@", "at") or "_at_" in t for d in range(-8, 13)}
+        near = [h for h in hits if 0 <= h[0] < len(tokens) and h[0] in (digits if h[3] else ats)]
+        filled = []
+        if near:
+            starts, ends = bounds_of(low)
+            begins, finishes = {(s, k): e for s, k, e in base}, {(e, k): s for s, k, e in base}
+            union_start, union_end = _union(base)
+            for j, step, number, kind in near:
+                seed = None
+                if step > 0 and (starts[j], kind) in begins:
+                    seed = starts[j], begins[starts[j], kind]
+                elif step < 0 and (ends[j], kind) in finishes:
+                    seed = finishes[ends[j], kind], ends[j]
+                span = seed or self.filler(text, tokens, starts, ends, j, step, kind)
+                if span and (seed or not _overlaps(union_start, union_end, *span)):
+                    filled.append((number, *span, instance(kind, text[span[0] : span[1]]), seed is not None))
+        return filled, [number for _, _, number, _ in hits]
 
 
 def _union(base: list[tuple[int, int, int]]) -> tuple[list[int], list[int]]:
@@ -244,28 +256,58 @@ def _overlaps(starts: list[int], ends: list[int], start: int, end: int) -> bool:
 
 
 FILLED = T.StructType([T.StructField(n, T.IntegerType()) for n in ("pattern", "start", "end")] + [T.StructField("instance", T.LongType()), T.StructField("seed", T.BooleanType())])
-MISSED = T.StructType([T.StructField("pattern", T.IntegerType()), T.StructField("n", T.IntegerType())])
-PLACES = T.StructType([T.StructField("text_key", T.LongType()), T.StructField("filled", T.ArrayType(FILLED)), T.StructField("missed", T.ArrayType(MISSED))])
+COUNTED = T.StructType([T.StructField("pattern", T.IntegerType()), T.StructField("n", T.LongType())])
 _FILLED = pa.struct([("pattern", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("instance", pa.int64()), ("seed", pa.bool_())])
-_MISSED = pa.struct([("pattern", pa.int32()), ("n", pa.int32())])
+_COUNTED = pa.struct([("pattern", pa.int32()), ("n", pa.int64())])
 
 
-def places(docs: DataFrame, patterns: list[tuple[int, str]], first: int) -> DataFrame:
-    """doc_id, text_key, filled and missed slots of the rows where a pattern stands; patterns are numbered from ``first``."""
-    known = docs.sparkSession.sparkContext.broadcast(patterns)  # PATTERNS_AT_ONCE at most
+def places(docs: DataFrame, patterns: list[tuple[int, str]], first: int = 0, everywhere: bool = True) -> DataFrame:
+    """Where patterns stand, numbered from ``first``: doc_id, text_key and filled slots of rows that have any, and counts.
 
-    def start():
+    Counts of all places, filled or not, are one more row of each task. ``everywhere``: in all texts,
+    else in those that hold a base match.
+    """
+    arrow_batches(docs.sparkSession)
+    known = docs.sparkSession.sparkContext.broadcast(patterns)  # about PATTERNS_AT_ONCE
+    taken = docs.select("doc_id", F.col("text").cast("string").alias("__text"))
+    schema = T.StructType([taken.schema["doc_id"], T.StructField("text_key", T.LongType()), T.StructField("filled", T.ArrayType(FILLED)), T.StructField("counts", T.ArrayType(COUNTED))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slots = Slots(known.value)
+        counts = np.zeros(len(known.value), np.int64)
+        id_type = None
+
+        def made(ids: pa.Array, keys: list, filled: list, counted: list) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([ids, pa.array(keys, pa.int64()), pa.array(filled, pa.list_(_FILLED)), pa.array(counted, pa.list_(_COUNTED))], names=schema.fieldNames())
+
+        for b in batches:
+            id_type = b.column(0).type
+            rows, keys, filled = [], [], []
+            for at, text in enumerate(strings(b.column(1))):
+                base = strict(text)
+                if base or everywhere:
+                    here, numbers = slots.find(text, base)
+                    if numbers:
+                        np.add.at(counts, numbers, 1)
+                    if here:
+                        rows.append(at)
+                        keys.append(_key(text))
+                        filled.append([{"pattern": first + p, "start": s, "end": e, "instance": i, "seed": seed} for p, s, e, i, seed in here])
+            yield made(b.column(0).take(pa.array(rows, pa.int64())), keys, filled, [[]] * len(rows))
+        if counts.any():
+            yield made(pa.nulls(1, id_type), [None], [[]], [[{"pattern": first + p, "n": int(counts[p])} for p in np.flatnonzero(counts).tolist()]])
+        release_memory()
+
+    return taken.mapInArrow(run, schema)
 
-        def work(texts: list[str]) -> list[pa.Array]:
-            found = [slots.find(t, strict(t)) for t in texts]
-            filled = [[{"pattern": first + p, "start": s, "end": e, "instance": i, "seed": seed} for p, s, e, i, seed in x] for x, _ in found]
-            missed = [[{"pattern": first + p, "n": n} for p, n in y.items()] for _, y in found]
-            return [pa.array([_key(t) for t in texts], pa.int64()), pa.array(filled, pa.list_(_FILLED)), pa.array(missed, pa.list_(_MISSED))]
 
-        return work
+def edges_of(found: DataFrame) -> DataFrame:
+    """(pattern, instance) with the number of places and whether one of them is a seed."""
+    return found.select(F.explode("filled").alias("f")).groupBy("f.pattern", "f.instance").agg(F.count("*").alias("n"), F.max("f.seed").alias("seed"))
 
-    return map_text(docs, "text", ["doc_id"], PLACES, start).filter((F.size("filled") > 0) | (F.size("missed") > 0))
+
+def places_of(found: DataFrame) -> DataFrame:
+    return found.select(F.explode("counts").alias("c")).groupBy("c.pattern").agg(F.sum("c.n").alias("places"))
 
 
 def confident_patterns(found: DataFrame, rounds: int = ROUNDS) -> DataFrame:
@@ -274,10 +316,8 @@ def confident_patterns(found: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     An instance that is a seed somewhere is trusted everywhere. An unseen one gets 1 - the product of
     (1 - score) over its confident patterns, and is trusted from INSTANCE_CONFIDENCE on.
     """
-    filled = found.select(F.explode("filled").alias("f")).groupBy("f.pattern", "f.instance").agg(F.count("*").alias("n"), F.max("f.seed").alias("seed"))
-    edges = materialize(filled, "edges")
-    missed = found.select(F.explode("missed").alias("m")).groupBy("m.pattern").agg(F.sum("m.n").alias("missed"))
-    all_places = materialize(edges.groupBy("pattern").agg(F.sum("n").alias("filled")).join(missed, "pattern", "left").select("pattern", (F.col("filled") + F.coalesce("missed", F.lit(0))).alias("places")), "places")
+    edges = materialize(edges_of(found), "edges")
+    all_places = materialize(places_of(found), "places")
     trust = edges.groupBy("instance").agg(F.max("seed").cast("double").alias("trust"))
     score = None
     for _ in range(rounds):
@@ -290,23 +330,40 @@ def confident_patterns(found: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     return score.select("pattern", "score")
 
 
-def discovered(docs: DataFrame, scanned: DataFrame) -> DataFrame:
-    """doc_id, text_key, extra: what stands in slots of confident patterns, for rows that have any.
+def dealt(patterns: DataFrame) -> Iterator[list[tuple[int, str]]]:
+    """(kind, pattern) in lists of about PATTERNS_AT_ONCE; the driver holds one at a time."""
+    parts = -(-patterns.count() // PATTERNS_AT_ONCE)
+    for part in range(parts):
+        if rows := patterns.filter(F.pmod(F.xxhash64("kind", "pattern"), F.lit(parts)) == part).collect():
+            yield sorted((r.kind, r.pattern) for r in rows)
+
+
+def promising(docs: DataFrame, induced: DataFrame) -> DataFrame:
+    """The patterns that seeds fill at a share of SEED_SHARE or more of their places in texts with base matches.
 
-    Patterns are numbered, dealt into passes of about PATTERNS_AT_ONCE, and looked for; the driver
-    holds those of one pass at a time.
+    Others, like pairs of common words, would have to be trusted for what stands elsewhere alone.
     """
+    spark, kept = docs.sparkSession, None
+    for patterns in dealt(induced):
+        here = materialize(places(docs, patterns, everywhere=False), "seed-places")
+        seeds = edges_of(here).filter("seed").groupBy("pattern").agg(F.sum("n").alias("seeds"))
+        good = seeds.join(places_of(here), "pattern").filter(F.col("seeds") >= SEED_SHARE * F.col("places")).select("pattern")
+        named = spark.createDataFrame([(i, *p) for i, p in enumerate(patterns)], "pattern int, kind int, name string")
+        part = good.join(named, "pattern").select("kind", F.col("name").alias("pattern"))
+        kept = part if kept is None else kept.unionByName(part)
+    return induced if kept is None else kept
+
+
+def discovered(docs: DataFrame, scanned: DataFrame) -> DataFrame:
+    """doc_id, text_key, extra: what stands in slots of confident patterns, for rows that have any."""
     induced = materialize(induced_patterns(scanned), "induced")
-    parts = -(-induced.count() // PATTERNS_AT_ONCE)
     found, kinds, first = None, [], 0
-    for part in range(parts):
-        patterns = sorted((r.kind, r.pattern) for r in induced.filter(F.pmod(F.xxhash64("kind", "pattern"), F.lit(parts)) == part).collect())
-        if patterns:
-            here = materialize(places(docs, patterns, first), "places")
-            found = here if found is None else found.unionByName(here)
-            cuts = [first + sum(k < kind for k, _ in patterns) for kind in range(len(KINDS) + 1)]
-            kinds += [(kind, a, b) for kind, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))]
-            first += len(patterns)
+    for patterns in dealt(materialize(promising(docs, induced), "promising")):
+        here = materialize(places(docs, patterns, first), "places")
+        found = here if found is None else found.unionByName(here)
+        cuts = [first + sum(k < kind for k, _ in patterns) for kind in range(len(KINDS) + 1)]
+        kinds += [(kind, a, b) for kind, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))]
+        first += len(patterns)
     if found is None:
         return docs.sparkSession.createDataFrame([], T.StructType([scanned.schema["doc_id"], T.StructField("text_key", T.LongType()), T.StructField("extra", T.ArrayType(SPAN))]))
     good = confident_patterns(found)
