@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +13,10 @@ from storyspark.functions.text import clamp01, containment, jaccard, significant
 from storyspark.plans.cutting import materialize
 
 
+#: For each column of a metric the sizes of a block's sets, or its flags.
+Sides = dict[str, np.ndarray]
+
+
 @dataclass(frozen=True)
 class Metric:
     """columns: what a row needs; score: of two structs of them; block: tokens that a linked pair shares.
@@ -23,6 +28,25 @@ class Metric:
     columns: dict[str, Column]
     score: Callable[[Column, Column], Column]
     overlap: Callable[[float], float]
+    #: The score of all pairs of two blocks at once, from sizes of sets and of what they share; None: only ``score``.
+    matrix: Callable[[Sides, Sides, dict[str, np.ndarray]], np.ndarray] | None = None
+
+
+def _shares(a: np.ndarray, b: np.ndarray, both: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Jaccard and containment of all pairs: 1 and 0 where both sets are empty, 0 where one is."""
+    a, b = a[:, None], b[None, :]
+    union, least = a + b - both, np.minimum(a, b) + 0 * both
+    return np.where(union == 0, 1.0, both / np.maximum(union, 1)), np.where(least == 0, 0.0, both / np.maximum(least, 1))
+
+
+def lexical_matrix(a: Sides, b: Sides, both: dict[str, np.ndarray]) -> np.ndarray:
+    """As ``lexical_score``, operation by operation."""
+    jaccards, contained = _shares(a["title"], b["title"], both["title"])
+    title = np.maximum(jaccards, contained * 0.92)
+    jaccards, contained = _shares(a["snippet"], b["snippet"], both["snippet"])
+    snippet = np.where(a["has_snippet"][:, None] | b["has_snippet"][None, :], np.maximum(jaccards, contained * 0.9), 0.0)
+    telling = _shares(a["significant"], b["significant"], both["significant"])[1]
+    return np.minimum(1.0, np.maximum(0.0, title * 0.7 + snippet * 0.2 + telling * 0.1))
 
 
 def _title_score(a: Column, b: Column) -> Column:
@@ -48,7 +72,7 @@ def _tokens(title: str, snippet: str) -> dict[str, Column]:
 
 def lexical(title: str = "title", snippet: str = "snippet") -> Metric:
     """0.7 title + 0.2 snippet + 0.1 significant title tokens. Of the rest, 0.3 at most, the title needs its share."""
-    return Metric(_tokens(title, snippet), lexical_score, lambda t: max(0.0, (t - 0.3) / 0.7))
+    return Metric(_tokens(title, snippet), lexical_score, lambda t: max(0.0, (t - 0.3) / 0.7), lexical_matrix)
 
 
 def headline(title: str = "title", snippet: str = "snippet") -> Metric:
@@ -59,8 +83,9 @@ def similar_pairs(df: DataFrame, threshold: float, metric: Metric | None = None,
     """a, b (a < b), score: pairs of rows that agree in ``within`` and reach the threshold; exact.
 
     Of two linked sets the smaller one shares at least ``share`` of its tokens, so at least one of its
-    rarest ``n - ceil(share n) + 1`` (Bayardo et al. 2007). Those index tokens meet all tokens of sets
-    at least as large; frequent tokens are mostly left out. Scores are worked out once for a pair.
+    rarest ``n - ceil(share n) + 1`` (Bayardo et al. 2007). Those index tokens meet the tokens of sets
+    at least as large, unless their places in both sets leave too few tokens to share (Xiao et al.
+    2008); frequent tokens are mostly left out. Scores are worked out once for a pair.
     """
     metric = metric or lexical()
     share = metric.overlap(threshold)
@@ -71,11 +96,15 @@ def similar_pairs(df: DataFrame, threshold: float, metric: Metric | None = None,
     tokens = rows.select("id", *within, F.explode(F.when(size == 0, F.array(F.lit(""))).otherwise(F.col("s.title"))).alias("token"), F.greatest(size, F.lit(1)).alias("size"))
     frequency = tokens.groupBy(*within, "token").agg(F.count("*").alias("n"))
     counted = tokens.join(frequency, [*within, "token"])
-    ordered = counted.groupBy("id", *within, "size").agg(F.sort_array(F.collect_list(F.struct("n", "token"))).alias("ts"))
-    prefix = F.col("size") - F.ceil(F.col("size") * share - 1e-9) + 1
-    rare = ordered.select(*within, F.col("id").alias("x"), F.col("size").alias("xs"), F.explode(F.slice("ts", 1, prefix.cast("int"))).alias("t")).select(*within, "x", "xs", "t.token")
-    every = tokens.select(*within, "token", F.col("id").alias("y"), F.col("size").alias("ys"))
-    met = rare.join(every, [*within, "token"]).filter((F.col("xs") < F.col("ys")) | ((F.col("xs") == F.col("ys")) & (F.col("x") < F.col("y"))))
+    ordered = materialize(counted.groupBy("id", *within, "size").agg(F.sort_array(F.collect_list(F.struct("n", "token"))).alias("ts")), "ordered")
+    placed = ordered.select(*within, "id", "size", F.posexplode("ts.token").alias("at", "token"))
+    needed = F.ceil(F.col("xs") * share - 1e-9)
+    rare = placed.select(*within, "token", F.col("id").alias("x"), F.col("size").alias("xs"), F.col("at").alias("i")).filter(F.col("i") <= F.col("xs") - needed)
+    every = placed.select(*within, "token", F.col("id").alias("y"), F.col("size").alias("ys"), F.col("at").alias("j"))
+    smaller = (F.col("xs") < F.col("ys")) | ((F.col("xs") == F.col("ys")) & (F.col("x") < F.col("y")))
+    # after the first token in common, in the one order of all sets, no more than both rests can be shared
+    enough = F.least(F.col("xs") - F.col("i"), F.col("ys") - F.col("j")) >= needed
+    met = rare.join(every, [*within, "token"]).filter(smaller & enough)
     pairs = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     left, right = rows.select(F.col("id").alias("a"), F.col("s").alias("sa")), rows.select(F.col("id").alias("b"), F.col("s").alias("sb"))
     scored = pairs.join(left, "a").join(right, "b").withColumn("score", metric.score(F.col("sa"), F.col("sb")))

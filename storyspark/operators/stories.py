@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from storyspark.config import Config
 from storyspark.functions.text import clamp01, round_k, short_hash, similarity_tokens
@@ -20,16 +25,66 @@ def cluster_articles(df: DataFrame, threshold: float, metric: Metric | None = No
     return df.join(found, df.ordinal == found.node, "left").withColumn("cluster_no", F.coalesce("component", "ordinal")).drop("node", "component")
 
 
+#: Members in a block of a tile.
+COHESION_BLOCK = 512
+
+
+def _shared(left: pd.Series, right: pd.Series) -> np.ndarray:
+    """How many values each array of the one side has in common with each of the other; values of an array differ."""
+    sides = [np.concatenate([np.zeros(0, object), *x]) for x in (left, right)]
+    known = pd.Index(np.intersect1d(*(pd.unique(x.astype(str)) for x in sides)))
+    out = []
+    for x, flat in zip((left, right), sides, strict=True):
+        row, at = np.repeat(np.arange(len(x)), x.map(len)), known.get_indexer(flat.astype(str))
+        m = np.zeros((len(x), len(known)), np.float32)
+        m[row[at >= 0], at[at >= 0]] = 1
+        out.append(m)
+    return (out[0] @ out[1].T).astype(float)
+
+
+def _tile_sum(pdf: pd.DataFrame, names: list[str], matrix: Callable) -> tuple[int, int]:
+    """The sum of the scores of a tile's pairs, in units of 1e-9, and their number."""
+    low = pdf["mine"] == pdf["low"].iloc[0]
+    same = pdf["low"].iloc[0] == pdf["high"].iloc[0]
+    left, right = pdf[low], pdf if same else pdf[~low]
+    if not len(left) or not len(right):
+        return 0, 0
+    sets = [c for c in names if hasattr(pdf[c].iloc[0], "__len__")]
+    sides = [{c: x[c].map(len).to_numpy() if c in sets else x[c].to_numpy() for c in names} for x in (left, right)]
+    units = np.floor(matrix(*sides, {c: _shared(left[c], right[c]) for c in sets}) * 1e9 + 0.5).astype(np.int64)
+    once = left["ordinal"].to_numpy()[:, None] < right["ordinal"].to_numpy()[None, :] if same else np.ones(units.shape, bool)
+    return int(units[once].sum()), int(once.sum())
+
+
 def cluster_cohesion(members: DataFrame, metric: Metric | None = None) -> DataFrame:
     """cluster_no, similarity_score: mean over all pairs of members, not only linked ones; 1 for one member.
 
-    Work grows with the square of a cluster, which the definition asks for.
+    The definition asks for the square of a cluster. Its members are dealt into blocks, any two of which
+    make a tile: one product of matrices over the values that they share, so no task holds a whole
+    cluster. A metric without a ``matrix`` is worked out pair by pair.
     """
     metric = metric or lexical()
-    rows = members.select("cluster_no", "ordinal", F.struct(*[c.alias(n) for n, c in metric.columns.items()]).alias("s"))
-    left, right = rows.select("cluster_no", F.col("ordinal").alias("a"), F.col("s").alias("sa")), rows.select("cluster_no", F.col("ordinal").alias("b"), F.col("s").alias("sb"))
-    pairs = left.join(right, "cluster_no").filter(F.col("a") < F.col("b"))
-    mean = pairs.groupBy("cluster_no").agg(round_k(F.sum(round_k(metric.score(F.col("sa"), F.col("sb")), 9).cast("decimal(20,9)")).cast("double") / F.count("*")).alias("mean"))
+    rows = members.select("cluster_no", "ordinal", *[c.alias(n) for n, c in metric.columns.items()])
+    sizes = rows.groupBy("cluster_no").agg(F.ceil(F.count("*") / COHESION_BLOCK).cast("int").alias("blocks"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    if metric.matrix is None:
+        rows = rows.select("cluster_no", "ordinal", F.struct(*metric.columns).alias("s"))
+        left, right = rows.select("cluster_no", F.col("ordinal").alias("a"), F.col("s").alias("sa")), rows.select("cluster_no", F.col("ordinal").alias("b"), F.col("s").alias("sb"))
+        pairs = left.join(right, "cluster_no").filter(F.col("a") < F.col("b"))
+        sums = pairs.groupBy("cluster_no").agg(F.sum(round_k(metric.score(F.col("sa"), F.col("sb")), 9).cast("decimal(20,9)")).cast("double").alias("total"), F.count("*").alias("pairs"))
+    else:
+        placed = rows.join(sizes, "cluster_no").withColumn("mine", F.pmod(F.xxhash64("ordinal"), F.col("blocks")).cast("int"))
+        sent = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        sent = sent.select("cluster_no", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"), "mine", "ordinal", *metric.columns)
+
+        names, matrix = list(metric.columns), metric.matrix
+
+        def tile(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+            total, pairs = _tile_sum(pdf, names, matrix)
+            return pd.DataFrame({"cluster_no": [key[0]], "total": [total], "pairs": [pairs]})
+
+        tiles = sent.groupBy("cluster_no", "low", "high").applyInPandas(tile, T.StructType([members.schema["cluster_no"], T.StructField("total", T.LongType()), T.StructField("pairs", T.LongType())]))
+        sums = tiles.groupBy("cluster_no").agg((F.sum(F.col("total").cast("decimal(38,0)")) / F.lit(10**9)).cast("double").alias("total"), F.sum("pairs").alias("pairs"))
+    mean = sums.select("cluster_no", round_k(F.col("total") / F.col("pairs")).alias("mean"))
     return members.select("cluster_no").distinct().join(mean, "cluster_no", "left").select("cluster_no", F.coalesce("mean", F.lit(1.0)).alias("similarity_score"))
 
 

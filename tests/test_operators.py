@@ -1,7 +1,9 @@
 """Operators on small hand-written rows."""
 
+import dataclasses
 import datetime as dt
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -249,3 +251,14 @@ def test_stream_state_and_changes(spark, tmp_path):
 def test_similarity_join_has_no_cartesian_product(spark):
     plan = sim.similar_pairs(launch(spark), 0.5)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoop" not in plan
+
+
+def test_cohesion_by_tiles_equals_pair_by_pair(spark, monkeypatch):
+    r = random.Random(3)
+    words = "apple launch rocket market storm vote ai chips bank strike north sea deal talks".split()
+    rows = [(i, i % 3 if i < 90 else 100 + i, " ".join(r.choice(words) for _ in range(r.randint(0, 6))), r.choice([None, "", " ".join(r.choice(words) for _ in range(r.randint(1, 9)))])) for i in range(100)]
+    members = spark.createDataFrame(rows, "ordinal long, cluster_no long, title string, snippet string")
+    whole = sorted(st.cluster_cohesion(members, dataclasses.replace(sim.lexical(), matrix=None)).collect())
+    monkeypatch.setattr(st, "COHESION_BLOCK", 8)
+    assert sorted(st.cluster_cohesion(members).collect()) == whole and len(whole) == 13
+    assert st.cluster_cohesion(members.limit(0)).count() == 0
