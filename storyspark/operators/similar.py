@@ -105,7 +105,9 @@ def similar_pairs(df: DataFrame, threshold: float, metric: Metric | None = None,
     # after the first token in common, in the one order of all sets, no more than both rests can be shared
     enough = F.least(F.col("xs") - F.col("i"), F.col("ys") - F.col("j")) >= needed
     met = rare.join(every, [*within, "token"]).filter(smaller & enough)
-    pairs = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    # dealt once by a, for the distinct rows and the join; scores take time, so their tasks go by number and not by bytes
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pairs = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).repartition(tasks, "a").distinct()
     left, right = rows.select(F.col("id").alias("a"), F.col("s").alias("sa")), rows.select(F.col("id").alias("b"), F.col("s").alias("sb"))
     scored = pairs.join(left, "a").join(right, "b").withColumn("score", metric.score(F.col("sa"), F.col("sb")))
     return scored.filter(F.col("score") >= threshold).select("a", "b", "score")
