@@ -52,6 +52,7 @@ def collapse_near_duplicates(articles: DataFrame, threshold: float = 0.85, metri
     return articles.join(gone, "ordinal", "left_anti")
 
 
+#: Label wording, and verbs that attribute it.
 FORBIDDEN = r"(?i)(?<![A-Za-z0-9_])(left[- ]wing|right[- ]wing|far[- ]left|far[- ]right|the left|the right|liberal media|conservative media|biased|unbiased|bias|partisan|propaganda)(?![A-Za-z0-9_])"
 ATTRIBUTED = r"(?i)(?<![A-Za-z0-9_])(says|said|writes|wrote|according to|quoted|reports that)(?![A-Za-z0-9_])"
 
@@ -79,7 +80,7 @@ def comparable_stories(sources: DataFrame) -> DataFrame:
     return by.withColumns({"comparable": F.col("n") >= 2, "reason": F.when(F.col("n") < 2, "fewer than two source articles")})
 
 
-def used_citations(answers: DataFrame) -> DataFrame:
+def citation_ids(answers: DataFrame) -> DataFrame:
     """answer_id, citation: ids like S1 or S1.2 in brackets in an answer, once each."""
     ids = F.array_distinct(F.regexp_extract_all("answer", F.lit(r"\[(S[0-9]+(?:\.[0-9]+)?)\]"), 1))
     return answers.select("answer_id", F.explode(ids).alias("citation"))
@@ -91,6 +92,11 @@ def insufficient_answers(answers: DataFrame) -> DataFrame:
     return answers.withColumn("insufficient", (F.trim(F.coalesce("answer", F.lit(""))) == "") | F.coalesce(F.col("answer").rlike(said), F.lit(False)))
 
 
+#: A url in an answer, and the marks after it that are not part of it.
+ANSWER_URL = r"(?i:https?)://[^\s\]>'\"]+"
+URL_TAIL = r"[.,);]*"
+
+
 def filter_answer_urls(answers: DataFrame, allowed: DataFrame) -> DataFrame:
     """Answers with urls that aren't allowed for them replaced by ``[link omitted]``, closing punctuation kept.
 
@@ -99,12 +105,11 @@ def filter_answer_urls(answers: DataFrame, allowed: DataFrame) -> DataFrame:
     """
     from storyspark.functions.text import canonical_url
 
-    url = r"https?://[^\s<>\"')\]]+"
-    pieces = F.split(F.regexp_replace("answer", f"({url})", "\x01$1\x01"), "\x01")
+    pieces = F.split(F.regexp_replace("answer", f"({ANSWER_URL})", "\x01$1\x01"), "\x01")
     rows = answers.select("answer_id", F.posexplode(pieces).alias("i", "p"))
-    tail = F.regexp_extract("p", r"([.,;:!?]*)$", 1)
+    tail = F.regexp_extract("p", f"({URL_TAIL})$", 1)
     bare = F.left("p", F.length("p") - F.length(tail))
-    is_url = F.col("p").rlike(f"^{url}$")
+    is_url = F.col("p").rlike(f"^{ANSWER_URL}$")
     rows = rows.withColumns({"tail": tail, "key": F.when(is_url, F.coalesce(canonical_url(bare), bare))})
     ok = allowed.select("answer_id", F.coalesce(canonical_url(F.col("url")), "url").alias("key")).distinct().withColumn("ok", F.lit(True))
     met = rows.join(ok, ["answer_id", "key"], "left")
