@@ -6,6 +6,7 @@ import uuid
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -13,52 +14,66 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from storyspark.functions.text import canonical_url
 from storyspark.operators.changes import classify_changes, match_prior_stories, snapshot_from_changes
 from storyspark.plans.cutting import materialize
-from storyspark.sources.sinks import read_topic_snapshot, write_topic_snapshot
+from storyspark.sources.sinks import read_topic_snapshot, snapshot_before, write_topic_snapshot
 
 LIMITED = "key long, id long, at timestamp, n int, over boolean, retry_after long"
 
 
-def _limit(rows: list[tuple], state: tuple | None, limit: int, window_s: int) -> tuple[list[tuple], tuple | None]:
-    """rows: (id, at) in time order; state: (start of the window, requests in it)."""
-    out = []
-    for i, at in rows:
-        if state is None or (at - state[0]).total_seconds() >= window_s:
-            state = (at, 0)
-        state = (state[0], state[1] + 1)
-        left = window_s - (at - state[0]).total_seconds()
-        over = state[1] > limit
-        out.append((i, at, state[1], over, max(1, int(-(-left // 1))) if over else 0))
-    return out, state
+def _limit(start: int | None, n: int, at: int, limit: int, window: int) -> tuple[int, int, bool, int]:
+    """The window's start and number of requests after one more, whether over the limit, seconds to wait; times in microseconds."""
+    if start is None or at - start >= window:
+        start, n = at, 0
+    over = n + 1 > limit
+    return start, n + 1, over, max(1, -((at - start - window) // 1_000_000)) if over else 0
 
 
 def flag_over_limit(events: DataFrame, limit: int, window_s: int) -> DataFrame:
     """Requests (key, id, at) with their number in a window that starts at the key's first request, and whether over ``limit``.
 
     A new window opens at the first request at or after the reset. retry_after is whole seconds, 1 at least.
+    Spark sorts each partition by key and time, spilling if need be; a task then holds one batch, a start and
+    a count, however many requests a key has. Rows without a time take no part.
     """
+    rows = events.select("key", "id", "at", F.unix_micros("at").alias("us")).dropna(subset=["at"])
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["at", "id"])
-        rows, _ = _limit(list(zip(pdf["id"], pdf["at"], strict=True)), None, limit, window_s)
-        return pd.DataFrame([(pdf["key"].iloc[0], *r) for r in rows], columns=["key", "id", "at", "n", "over", "retry_after"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, start, n = object(), None, 0
+        for b in batches:
+            made = []
+            for key, at in zip(b.column(0).to_pylist(), b.column(3).to_pylist(), strict=True):
+                if key != last:
+                    last, start, n = key, None, 0
+                start, n, over, wait = _limit(start, n, at, limit, window_s * 1_000_000)
+                made.append((n, over, wait))
+            ns, overs, waits = zip(*made, strict=True) if made else ((), (), ())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(ns, pa.int32()), pa.array(overs, pa.bool_()), pa.array(waits, pa.int64())], names=["key", "id", "at", "n", "over", "retry_after"])
 
-    return events.select("key", "id", "at").groupBy("key").applyInPandas(run, LIMITED)
+    return rows.repartition("key").sortWithinPartitions("key", "us", "id").mapInArrow(run, LIMITED)
 
 
-def stream_flag_over_limit(events: DataFrame, limit: int, window_s: int) -> DataFrame:
-    """The same on a stream whose batches hold a key's requests in time order; state is a start and a count per key."""
+def stream_flag_over_limit(events: DataFrame, limit: int, window_s: int, delay: str = "10 minutes") -> DataFrame:
+    """The same on a stream whose batches hold a key's requests in time order; state is a start and a count per key.
+
+    A key's state goes once the watermark has passed its window, as any later request opens a new one.
+    """
+    window = window_s * 1_000_000
+    rows = events.withWatermark("at", delay).select("key", "id", "at", F.unix_micros("at").alias("us"))
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        pdf = pd.concat(list(frames)).sort_values(["at", "id"])
-        was = (pd.Timestamp(state.get[0], unit="us"), state.get[1]) if state.exists else None
-        rows, now = _limit(list(zip(pdf["id"], pdf["at"], strict=True)), was, limit, window_s)
-        state.update((int(now[0].value // 1000), now[1]))
-        yield pd.DataFrame([(key[0], *r) for r in rows], columns=["key", "id", "at", "n", "over", "retry_after"])
+        pdf = pd.concat(list(frames)).sort_values(["us", "id"])
+        start, n = state.get if state.exists else (None, 0)
+        made = []
+        for i, at, us in zip(pdf["id"], pdf["at"], pdf["us"], strict=True):
+            start, n, over, wait = _limit(start, n, int(us), limit, window)
+            made.append((key[0], i, at, n, over, wait))
+        state.update((start, n))
+        state.setTimeoutTimestamp(max((start + window) // 1000, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame(made, columns=["key", "id", "at", "n", "over", "retry_after"])
 
-    return events.select("key", "id", "at").groupBy("key").applyInPandasWithState(run, LIMITED, "start long, n int", "append", GroupStateTimeout.NoTimeout)
+    return rows.groupBy("key").applyInPandasWithState(run, LIMITED, "start long, n int", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def stream_dedupe_articles(stream: DataFrame, delay: str = "48 hours", at: str = "fetched_at") -> DataFrame:
@@ -95,10 +110,13 @@ def stream_latest_state(stream: DataFrame, keys: list[str], order: list[str], pa
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def track_changes(current: DataFrame, path: str, now, ttl_hours: int = 168) -> DataFrame:
-    """Matches story states to the latest snapshot no older than the TTL, writes the next one, returns the changes."""
+def track_changes(current: DataFrame, path: str, now, ttl_hours: int = 168, batch: int | None = None) -> DataFrame:
+    """Matches story states to the latest snapshot no older than the TTL, writes the next one, returns the changes.
+
+    ``batch``: the number of a micro-batch; one that runs again meets the snapshot that it met at first.
+    """
     spark = current.sparkSession
-    prior = read_topic_snapshot(spark, path)
+    prior = read_topic_snapshot(spark, path) if batch is None else snapshot_before(spark, path, batch)
     blank = current.select("cluster_no", "topic", "urls", "sources", "headline", "published_at", "content_hash", "stable_id", now.alias("first_seen"), now.alias("last_updated"))
     prior = blank.limit(0) if prior is None else prior.filter(F.col("generated_at") >= now - F.make_interval(hours=F.lit(ttl_hours))).drop("generated_at")
     changes = materialize(classify_changes(current, prior, match_prior_stories(current, prior), now), "changes")
@@ -106,10 +124,15 @@ def track_changes(current: DataFrame, path: str, now, ttl_hours: int = 168) -> D
     return changes
 
 
+def write_batch_changes(batch: DataFrame, number: int, path: str, out: str, now) -> None:
+    """The changes of a micro-batch in a folder of its own under ``out``, which a second run replaces."""
+    track_changes(batch, path, now, batch=number).write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+
 def stream_change_tracking(stream: DataFrame, path: str, out: str, checkpoint: str, now):
-    """track_changes on each micro-batch of story states; changes are appended to ``out``."""
+    """track_changes on each micro-batch of story states; changes go under ``out``, by batch."""
 
-    def run(batch: DataFrame, _: int) -> None:
-        track_changes(batch, path, now).write.mode("append").parquet(out)
+    def run(batch: DataFrame, number: int) -> None:
+        write_batch_changes(batch, number, path, out, now)
 
     return stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -217,6 +217,15 @@ def test_stream_limits_equal_batch(spark, tmp_path):
     assert sorted(map(tuple, got.collect())) == want and any(r[4] for r in want)
 
 
+def test_limits_carry_over_batches_and_keys(spark):
+    rows = [(k, i, T0 + dt.timedelta(seconds=s)) for k, times in {1: [0, 1, 2, 60, 61, 200], 2: [5, 5, 5, 5], None: [7]}.items() for i, s in enumerate(times)]
+    df = spark.createDataFrame([*rows, (9, 9, None)], "key long, id long, at timestamp").repartition(3)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    got = sorted(((r.key or 0, r.id, r.n, r.over, r.retry_after) for r in sf.flag_over_limit(df, 2, 60).collect()))
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == [(0, 0, 1, False, 0), (1, 0, 1, False, 0), (1, 1, 2, False, 0), (1, 2, 3, True, 58), (1, 3, 1, False, 0), (1, 4, 2, False, 0), (1, 5, 1, False, 0), (2, 0, 1, False, 0), (2, 1, 2, False, 0), (2, 2, 3, True, 60), (2, 3, 4, True, 60)]
+
+
 def test_stream_dedupe_equals_batch(spark, tmp_path):
     rows = [(i, f"https://www.a.com/{i % 7}?utm_source={i}", T0 + dt.timedelta(minutes=i)) for i in range(30)]
     df = spark.createDataFrame(rows, "ordinal long, url string, fetched_at timestamp").coalesce(1)
@@ -245,6 +254,9 @@ def test_stream_state_and_changes(spark, tmp_path):
     q = sf.stream_change_tracking(stream(spark, tmp_path, cur, "cur"), str(tmp_path / "track"), str(tmp_path / "changes"), str(tmp_path / "cp2"), now)
     assert q.awaitTermination(120)
     assert {r.status for r in spark.read.parquet(str(tmp_path / "changes")).collect()} == {"new"}
+    sf.write_batch_changes(cur, 0, str(tmp_path / "track"), str(tmp_path / "changes"), now)  # the same batch once more
+    again = spark.read.parquet(str(tmp_path / "changes"))
+    assert {r.status for r in again.collect()} == {"new"} and again.count() == cur.count()
     assert {r.status for r in sf.track_changes(cur, str(tmp_path / "track"), now).collect()} == {"ongoing"}
 
 
