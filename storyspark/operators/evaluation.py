@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from storyspark.config import EVAL_STOP_WORDS
 from storyspark.functions.text import clamp01, round_k
+from storyspark.plans.cutting import materialize
 
 # Wording that is a cue.
 CUES = ["bloomberg", "exclusive", "unnamed rival", "apt-zebra", "softbank", "sabotage", "quantum encryption"]
@@ -46,11 +47,15 @@ def corpus_tokens(articles: DataFrame) -> DataFrame:
     return _corpus(articles).select("case_id", F.explode(eval_tokens(F.col("corpus"))).alias("token")).distinct()
 
 
-def eval_factual(articles: DataFrame, candidates: DataFrame) -> DataFrame:
-    """Share of a candidate's tokens, repeats counted, that its case's articles have; 0 without tokens."""
+def eval_factual(articles: DataFrame, candidates: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """Share of a candidate's tokens, repeats counted, that its case's articles have; 0 without tokens.
+
+    ``known``: what ``corpus_tokens`` gives, where the caller has it.
+    """
+    known = corpus_tokens(articles) if known is None else known
     tokens = _text(candidates).select("case_id", "candidate_id", F.explode_outer(eval_tokens(F.col("text"))).alias("token"))
     counted = tokens.groupBy("case_id", "candidate_id", "token").agg(F.count("token").alias("n"))
-    met = counted.join(corpus_tokens(articles).withColumn("hit", F.lit(1)), ["case_id", "token"], "left")
+    met = counted.join(known.withColumn("hit", F.lit(1)), ["case_id", "token"], "left")
     out = met.groupBy("case_id", "candidate_id").agg(F.coalesce(F.sum(F.when(F.col("hit") == 1, F.col("n"))), F.lit(0)).alias("hits"), F.sum("n").alias("n"))
     return out.select("case_id", "candidate_id", (F.col("hits") / F.greatest(F.col("n"), F.lit(1))).alias("factual"))
 
@@ -108,20 +113,21 @@ def unsupported_numbers(articles: DataFrame, candidates: DataFrame) -> DataFrame
     return met.groupBy("case_id", "candidate_id").agg(F.count("*").alias("numbers"), F.count_if(F.col("held").isNull()).alias("bad_numbers"))
 
 
-def unsupported_facts(articles: DataFrame, candidates: DataFrame) -> DataFrame:
+def unsupported_facts(articles: DataFrame, candidates: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """case_id, candidate_id, bad_facts: key facts with under 34 % of their tokens in the case's articles."""
+    known = corpus_tokens(articles) if known is None else known
     facts = candidates.select("case_id", "candidate_id", F.posexplode("key_facts").alias("f", "fact"))
     tokens = facts.select("case_id", "candidate_id", "f", F.explode(eval_tokens(F.col("fact"))).alias("token"))
-    met = tokens.join(corpus_tokens(articles).withColumn("hit", F.lit(1)), ["case_id", "token"], "left")
+    met = tokens.join(known.withColumn("hit", F.lit(1)), ["case_id", "token"], "left")
     by = met.groupBy("case_id", "candidate_id", "f").agg((F.count("hit") / F.count("*") < 0.34).alias("bad"))
     return by.groupBy("case_id", "candidate_id").agg(F.count_if("bad").alias("bad_facts"))
 
 
-def eval_unsupported(articles: DataFrame, candidates: DataFrame) -> DataFrame:
+def eval_unsupported(articles: DataFrame, candidates: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """Numbers and facts without support, and 1 less their share of all (of two at least)."""
     rows = candidates.select("case_id", "candidate_id", F.size("key_facts").alias("facts"))
     keys = ["case_id", "candidate_id"]
-    rows = rows.join(unsupported_numbers(articles, candidates), keys, "left").join(unsupported_facts(articles, candidates), keys, "left").na.fill(0)
+    rows = rows.join(unsupported_numbers(articles, candidates), keys, "left").join(unsupported_facts(articles, candidates, known), keys, "left").na.fill(0)
     claims = F.col("bad_numbers") + F.col("bad_facts")
     return rows.select(*keys, "bad_numbers", claims.alias("unsupported_claims"), clamp01(F.lit(1.0) - claims / F.greatest(F.lit(2), F.col("facts") + F.col("numbers"))).alias("unsupported"))
 
@@ -143,9 +149,11 @@ DIMENSIONS = ["factual", "attribution", "completeness", "relevance", "concisenes
 def score_candidates(articles: DataFrame, requirements: DataFrame, candidates: DataFrame) -> DataFrame:
     """All seven scores, their mean, and whether both expectations were met."""
     keys = ["case_id", "candidate_id"]
-    u = eval_unsupported(articles, candidates)
+    # three scores need the articles' tokens, and two the unsupported claims: both are worked out once
+    known = materialize(corpus_tokens(articles), "corpus-tokens")
+    u = materialize(eval_unsupported(articles, candidates, known), "unsupported")
     out = candidates.select(*keys, "expect_hallucination", "expect_unsupported")
-    for part in (eval_factual(articles, candidates), eval_attribution(articles, candidates), eval_completeness(requirements, candidates), eval_relevance(articles, requirements, candidates), eval_conciseness(candidates), u, eval_hallucination(articles, candidates, u)):
+    for part in (eval_factual(articles, candidates, known), eval_attribution(articles, candidates), eval_completeness(requirements, candidates), eval_relevance(articles, requirements, candidates), eval_conciseness(candidates), u, eval_hallucination(articles, candidates, u)):
         out = out.join(part, keys)
     overall = sum((F.col(d) for d in DIMENSIONS[1:]), F.col(DIMENSIONS[0])) / len(DIMENSIONS)
     match = (F.col("expect_hallucination") == F.col("flagged")) & (F.col("expect_unsupported") == (F.col("unsupported_claims") > 0))

@@ -15,6 +15,8 @@ INJECTION = (
     r"you\s+are\s+now\s+(dan|unrestricted|jailbroken)",
     r"exfiltrate|api[_-]?key|password\s*=",
 )
+#: Words that name a secret; the patterns in the functions below are fixed values as well.
+SECRET_NAME = r"(?i)(?<![A-Za-z0-9_])(api[_-]?key|secret|token|password|authorization|bearer)(?![A-Za-z0-9_])"
 
 
 def sanitized(text: Column, max_length: int = 4000) -> Column:
@@ -54,7 +56,7 @@ def redacted(text: Column) -> Column:
     """Bearer tokens and key=value secrets, and long tokens where a secret's name is left; 280 characters at most."""
     t = F.regexp_replace(text, r"(?i)Bearer\s+[A-Za-z0-9\-._~+/]+=*", "Bearer [redacted]")
     t = F.regexp_replace(t, r"""(?i)(?<![A-Za-z0-9_])(api[_-]?key|secret|token|password|authorization)\s*[:=]\s*["']?[^\s"',}]+""", "$1=[redacted]")
-    named = t.rlike(r"(?i)(?<![A-Za-z0-9_])(api[_-]?key|secret|token|password|authorization|bearer)(?![A-Za-z0-9_])")
+    named = t.rlike(SECRET_NAME)
     t = F.when(named, F.regexp_replace(t, r"[A-Za-z0-9_\-]{20,}", "[redacted]")).otherwise(t)
     return F.substring(F.nullif(t, F.lit("")), 1, 280)
 
@@ -76,6 +78,6 @@ def sanitize_events(events: DataFrame) -> DataFrame:
 
     meta: map of strings; its values are redacted as well.
     """
-    named = r"(?i)(?<![A-Za-z0-9_])(api[_-]?key|secret|token|password|authorization|bearer)(?![A-Za-z0-9_])"
+    named = SECRET_NAME
     meta = F.transform_values(F.map_filter("meta", lambda k, _: ~k.rlike(named)), lambda _, v: redacted(v))
     return events.withColumns({"topic": F.substring("topic", 1, 120), "provider": F.substring("provider", 1, 80), "code": F.substring("code", 1, 120), "detail": redacted(F.col("detail")), "meta": meta})
