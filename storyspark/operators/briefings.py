@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections import Counter
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from storyspark.config import Config
 from storyspark.functions.text import clamp01, normalize_topic, round_k
 from storyspark.operators.articles import relevance
+from storyspark.operators.components import connected_components
 from storyspark.operators.stories import freshness
+from storyspark.plans.cutting import materialize
 
 
 def summary_inputs(members: DataFrame, representatives: DataFrame, max_articles: int = 6) -> DataFrame:
@@ -74,36 +79,58 @@ def score_feed(user_topics: DataFrame, cards: DataFrame, now: Column, cfg: Confi
     return rows.select("client", "topic_key", "cluster_no", "headline", "urls", "importance", "priority", round_k(clamp01(total)).alias("score"))
 
 
-def _greedy_feed(pdf: pd.DataFrame) -> pd.DataFrame:
-    kept: list[dict] = []
-    for row in pdf.sort_values(["topic_key", "cluster_no"]).to_dict("records"):
-        urls = set(row["urls"])
-        for k in kept:
-            other = set(k["urls"])
-            overlap = len(urls & other) / max(1, len(urls | other))
-            if overlap >= 0.25 or (overlap > 0 and k["headline"] == row["headline"]):
-                if row["score"] > k["score"]:
-                    row["also"] = [*k["also"], k["topic_key"]]
-                    k.update(row)
-                else:
-                    k["also"] = [*k["also"], row["topic_key"]]
-                break
-        else:
-            kept.append(row | {"also": []})
-    out = pd.DataFrame(kept, columns=["client", "topic_key", "cluster_no", "score", "priority", "importance", "also"])
-    return out
+FEED = "client long, topic_key string, cluster_no long, score double, priority double, importance double, also array<string>"
+
+
+def _merged_feed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Kept stories, from a feed's stories in the order of group, topic and story; held are the kept ones of one group."""
+    group, kept, holders = None, [], {}
+    schema = pa.schema([("client", pa.int64()), ("topic_key", pa.string()), ("cluster_no", pa.int64()), ("score", pa.float64()), ("priority", pa.float64()), ("importance", pa.float64()), ("also", pa.list_(pa.string()))])
+
+    def matches(row: dict, other: dict, shared: int) -> bool:
+        return shared / len(row["urls"] | other["urls"]) >= 0.25 or row["headline"] == other["headline"]
+
+    for b in batches:
+        out = []
+        for row in b.to_pylist():
+            if row["node"] != group:
+                out += kept
+                group, kept, holders = row["node"], [], {}
+            row |= {"urls": set(row["urls"]), "also": []}
+            shared = Counter(k for u in row["urls"] for k in holders.get(u, ()))
+            at = min((k for k, n in shared.items() if matches(row, kept[k], n)), default=None)
+            if at is not None and not row["score"] > kept[at]["score"]:
+                kept[at]["also"].append(row["topic_key"])
+                continue
+            if at is None:
+                at = len(kept)
+                kept.append(row)
+            else:
+                row["also"] = [*kept[at]["also"], kept[at]["topic_key"]]
+                for u in kept[at]["urls"]:
+                    holders[u].discard(at)
+                kept[at] = row
+            for u in row["urls"]:
+                holders.setdefault(u, set()).add(at)
+        yield pa.RecordBatch.from_pylist(out, schema=schema)
+    yield pa.RecordBatch.from_pylist(kept, schema=schema)
 
 
 def dedupe_feed(scored: DataFrame) -> DataFrame:
     """Per client, stories with a url overlap merge, greedily in topic order; the higher score wins, the loser's topic is noted.
 
-    Only clients with a url in two topics go through the grouped map; all others pass as they are.
+    Only stories that a chain of common urls connects can merge, so components of a client's stories are
+    walked in sorted order; a task holds the stories kept so far of one component. All others pass as they are.
     """
-    urls = scored.select("client", "topic_key", "cluster_no", F.explode("urls").alias("u"))
-    twice = urls.groupBy("client", "u").agg(F.count_distinct("topic_key", "cluster_no").alias("n")).filter("n > 1").select("client").distinct()
-    schema = "client long, topic_key string, cluster_no long, score double, priority double, importance double, also array<string>"
-    merged = scored.join(twice, "client", "left_semi").groupBy("client").applyInPandas(_greedy_feed, schema)
-    plain = scored.join(twice, "client", "left_anti").select("client", "topic_key", "cluster_no", "score", "priority", "importance", F.array().cast("array<string>").alias("also"))
+    node = F.struct("client", "topic_key", "cluster_no")
+    urls = scored.select(node.alias("node"), "client", F.explode("urls").alias("u")).distinct()
+    least = urls.groupBy("client", "u").agg(F.min("node").alias("least"), F.count("*").alias("n")).filter("n > 1")
+    edges = urls.join(least, ["client", "u"]).select("node", "least")
+    comp = materialize(connected_components(edges, "node", "least").select("node.*", F.col("component").alias("node")), "feed_groups")
+    keys = ["client", "topic_key", "cluster_no"]
+    met = scored.join(comp, keys).select("node", *keys, "headline", "urls", "score", "priority", "importance")
+    merged = met.repartition("node").sortWithinPartitions("node", "topic_key", "cluster_no").mapInArrow(_merged_feed, FEED)
+    plain = scored.join(comp, keys, "left_anti").select(*keys, "score", "priority", "importance", F.array().cast("array<string>").alias("also"))
     return plain.unionByName(merged)
 
 

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from storyspark.functions.text import headline_unicode, short_hash
-from storyspark.operators.components import connected_components
-from storyspark.plans.cutting import materialize
+from storyspark.plans.cutting import discard, materialize
 
 
 def story_state(members: DataFrame) -> DataFrame:
@@ -31,35 +29,34 @@ def prior_pairs(current: DataFrame, prior: DataFrame) -> DataFrame:
     return by.select("topic", "cluster_no", "prior_no", "shared", (F.col("shared") / (F.col("n") + F.col("m") - F.col("shared"))).alias("overlap"), (F.col("shared") / F.least("n", "m")).alias("of_smaller"))
 
 
-def _assign(pdf: pd.DataFrame, least: float) -> pd.DataFrame:
-    used, out = set(), []
-    for no, rows in pdf.sort_values(["rank", "prior_no"]).groupby("rank", sort=True):
-        free = rows[~rows.prior_no.isin(used)]
-        if len(free):
-            best = free.loc[free.overlap.idxmax()]
-            if best.overlap >= least or (best.shared >= 1 and best.of_smaller >= 0.5):
-                used.add(best.prior_no)
-                out.append((int(best.cluster_no), int(best.prior_no), float(best.overlap)))
-    return pd.DataFrame(out, columns=["cluster_no", "prior_no", "overlap"]).astype({"cluster_no": "int64", "prior_no": "int64", "overlap": "float64"})
-
-
 def match_prior_stories(current: DataFrame, prior: DataFrame, min_overlap: float = 0.25) -> DataFrame:
     """cluster_no, prior_no, overlap: in rank order, each story takes the free prior one of highest overlap.
 
-    Accepted at ``min_overlap``, or with half of the smaller set in common. Stories and prior ones that
-    no chain of common urls connects can't compete, so the greedy walk runs per connected
-    component, not per topic. current has rank (ties by cluster_no are up to the caller to avoid).
-    """
-    pairs = materialize(prior_pairs(current, prior).join(current.select("cluster_no", "rank"), "cluster_no"), "pairs")
-    # the two sides share one node space: even numbers are current stories, odd ones prior stories
-    edges = pairs.select((F.col("cluster_no") * 2).alias("a"), (F.col("prior_no") * 2 + 1).alias("b"))
-    comp = connected_components(edges, "a", "b")
-    grouped = pairs.withColumn("node", F.col("cluster_no") * 2).join(comp, "node")
+    Accepted at ``min_overlap``, or with half of the smaller set in common; equal overlaps go to the smaller
+    prior_no. A story whose best free prior one is not accepted takes none. current has rank (ties go by
+    cluster_no); stories without one take no part.
 
-    def assign(pdf: pd.DataFrame) -> pd.DataFrame:
-        return _assign(pdf, min_overlap)
-
-    return grouped.groupBy("component").applyInPandas(assign, "cluster_no long, prior_no long, overlap double")
+    Decided in rounds of joins, so that no task holds a group: a story settles once no earlier story that is
+    still open can take its best prior one. The first open story of a topic always can, and in an
+    order without relation to the overlaps the rounds grow with the logarithm of the stories (Blelloch et al. 2012).
+    """
+    good = (F.col("overlap") >= min_overlap) | (F.col("of_smaller") >= 0.5)
+    ranked = current.filter("rank is not null").select("cluster_no", "rank")
+    pairs = prior_pairs(current, prior).join(ranked, "cluster_no")
+    open_ = materialize(pairs.select("cluster_no", "prior_no", "overlap", good.alias("good"), F.struct("rank", "cluster_no").alias("turn")), "open")
+    taken = open_.select("cluster_no", "prior_no", "overlap").limit(0)
+    while not open_.isEmpty():
+        best = open_.groupBy("cluster_no", "turn").agg(F.min(F.struct((-F.col("overlap")).alias("less"), "prior_no", "overlap", "good")).alias("b")).select("cluster_no", "turn", "b.*")
+        first = open_.filter("good").groupBy("prior_no").agg(F.min("turn").alias("first"))
+        sure = F.col("first").isNull() | (F.col("first") >= F.col("turn"))
+        settled = materialize(best.join(first, "prior_no", "left").filter(sure).select("cluster_no", "prior_no", "overlap", "good"), "settled")
+        now = settled.filter("good").select("cluster_no", "prior_no", "overlap")
+        taken = materialize(taken.unionByName(now), "taken")
+        rest = open_.join(settled.select("cluster_no"), "cluster_no", "left_anti").join(now.select("prior_no"), "prior_no", "left_anti")
+        after = materialize(rest, "open")
+        discard(open_)
+        open_ = after
+    return taken
 
 
 def material_change_flags(matched: DataFrame) -> DataFrame:

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import heapq
+from collections.abc import Iterator
+from dataclasses import replace
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,44 +15,79 @@ from storyspark.operators.similar import Metric, headline, similar_pairs
 from storyspark.plans.cutting import materialize
 
 
-def _walk(rows: pd.DataFrame, pairs: set[tuple[int, int]]) -> dict[int, int]:
-    """Ordinal to the ordinal that stands for its group: first match in kept order wins, the better row stands on."""
-    kept: list[tuple[int, tuple]] = []
-    groups: list[list[int]] = []
-    for r in rows.sort_values("ordinal").itertuples():
-        mine = (r.source_quality, r.snippet_length, r.at)
-        for k, (o, best) in enumerate(kept):
-            if (min(o, r.ordinal), max(o, r.ordinal)) in pairs:
-                groups[k].append(r.ordinal)
-                if mine > best:
-                    kept[k] = (r.ordinal, mine)
-                break
-        else:
-            kept.append((r.ordinal, mine))
-            groups.append([r.ordinal])
-    return {o: kept[k][0] for k, g in enumerate(groups) for o in g}
+def _losers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows that another stands for, from rows and their linked classes in the order of group, row, class.
+
+    A row comes first without a class, then once for each class that it is linked with. Held are the rows that
+    stand for a slot at the moment, by class; a loser leaves at once.
+    """
+    group, slots, of_class, row, found = None, [], {}, None, None
+
+    def settle() -> list[int]:
+        ordinal, cls, mine = row
+        if found is None:
+            slots.append(row)
+            heapq.heappush(of_class.setdefault(cls, []), len(slots) - 1)
+            return []
+        if mine <= slots[found][2]:
+            return [ordinal]
+        loser, slots[found] = slots[found][0], row
+        heapq.heappush(of_class.setdefault(cls, []), found)
+        return [loser]
+
+    def first_slot(cls: int) -> int | None:
+        heap = of_class.get(cls, [])
+        while heap and slots[heap[0]][1] != cls:  # its row has been displaced by one of another class
+            heapq.heappop(heap)
+        return heap[0] if heap else None
+
+    for b in batches:
+        gone = []
+        for r in b.to_pylist():
+            if r["linked"] is None:
+                gone += settle() if row else []
+                if r["group"] != group:
+                    group, slots, of_class = r["group"], [], {}
+                row, found = (r["ordinal"], r["class"], (r["source_quality"], r["snippet_length"], r["at"])), None
+            elif (slot := first_slot(r["linked"])) is not None and (found is None or slot < found):
+                found = slot
+        yield pa.RecordBatch.from_arrays([pa.array(gone, pa.int64())], names=["ordinal"])
+    if row:
+        yield pa.RecordBatch.from_arrays([pa.array(settle(), pa.int64())], names=["ordinal"])
 
 
 def collapse_near_duplicates(articles: DataFrame, threshold: float = 0.85, metric: Metric | None = None) -> DataFrame:
     """articles without those that a near-duplicate headline of the same source stands for.
 
     In ordinal order, a row joins the first kept row it is a near-duplicate of; the preferred of the two (tier,
-    snippet length, time) is compared from then on. Pairs come from the exact join; only components of
-    pairs go through the grouped walk, all other rows pass as they are. With titles alone a score is
+    snippet length, time) is compared from then on. With titles alone a score is
     0.8 at most, so the default threshold collapses nothing: pass one.
+
+    Rows of one source that are equal to the metric are one class: the exact join pairs classes, and copies are
+    never paired with each other. Components of classes are walked in sorted order; a task holds the rows that
+    stand for others at the moment, not a component's rows or pairs. Rows without a source pass as they are.
     """
-    pairs = materialize(similar_pairs(articles, threshold, metric or headline(), within=["source_name"]), "near_pairs")
-    comp = materialize(connected_components(pairs, "a", "b").withColumnsRenamed({"node": "member", "component": "group"}), "near_components")
-    rows = articles.select("ordinal", "source_quality", F.length(F.coalesce("snippet", F.lit(""))).alias("snippet_length"), F.coalesce(F.unix_micros("published_at"), F.lit(0)).alias("at"))
-    members = rows.join(comp.withColumnRenamed("member", "ordinal"), "ordinal")
-    edges = pairs.join(comp.withColumnRenamed("member", "a"), "a").select(F.col("group").alias("of"), "a", "b")
-
-    def walk(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        stands = _walk(left, set(zip(right["a"], right["b"], strict=True)))
-        return pd.DataFrame([(o, s) for o, s in stands.items()], columns=["ordinal", "stands"]).astype("int64")
-
-    found = members.groupBy("group").cogroup(edges.groupBy("of")).applyInPandas(walk, "ordinal long, stands long")
-    gone = found.filter("ordinal <> stands").select("ordinal")
+    metric = metric or headline()
+    tokens = articles.filter("source_name is not null").select(
+        "source_name",
+        "ordinal",
+        "source_quality",
+        F.length(F.coalesce("snippet", F.lit(""))).alias("snippet_length"),
+        F.coalesce(F.unix_micros("published_at"), F.lit(0)).alias("at"),
+        F.struct(*[c.alias(n) for n, c in metric.columns.items()]).alias("s"),
+    )
+    parts = [F.array_sort(F.col(f"s.{f.name}")) if f.dataType.typeName() == "array" else F.col(f"s.{f.name}") for f in tokens.schema["s"].dataType]
+    rows = materialize(tokens.withColumn("key", F.sha2(F.to_json(F.struct(*parts)), 256)), "titles")
+    classes = materialize(rows.groupBy("source_name", "key").agg(F.min("ordinal").alias("class"), F.count("*").alias("n")), "classes")
+    firsts = rows.join(classes.select(F.col("class").alias("ordinal"), "n"), "ordinal")
+    pairs = materialize(similar_pairs(firsts, threshold, replace(metric, columns={n: F.col(f"s.{n}") for n in metric.columns}), within=["source_name"]).select("a", "b"), "near_pairs")
+    own = firsts.filter(F.col("n") > 1).filter(metric.score(F.col("s"), F.col("s")) >= threshold).select(F.col("ordinal").alias("class"), F.col("ordinal").alias("linked"))
+    links = materialize(pairs.toDF("class", "linked").unionByName(pairs.toDF("linked", "class")).unionByName(own), "links")
+    comp = connected_components(pairs, "a", "b").toDF("class", "group")
+    groups = links.select("class").distinct().join(comp, "class", "left").select("class", F.coalesce("group", "class").alias("group"))
+    members = materialize(rows.join(classes, ["source_name", "key"]).join(groups, "class").select("group", "ordinal", "class", "source_quality", "snippet_length", "at"), "members")
+    met = members.withColumn("linked", F.lit(None).cast("long")).unionByName(members.select("group", "ordinal", "class").join(links, "class"), allowMissingColumns=True)
+    gone = met.repartition("group").sortWithinPartitions("group", "ordinal", "linked").mapInArrow(_losers, "ordinal long")
     return articles.join(gone, "ordinal", "left_anti")
 
 

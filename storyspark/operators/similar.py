@@ -75,8 +75,9 @@ def lexical(title: str = "title", snippet: str = "snippet") -> Metric:
     return Metric(_tokens(title, snippet), lexical_score, lambda t: max(0.0, (t - 0.3) / 0.7), lexical_matrix)
 
 
-def headline(title: str = "title", snippet: str = "snippet") -> Metric:
-    return Metric(_tokens(title, snippet), headline_score, lambda t: max(0.0, (t - 0.1) / 0.7))
+def headline(title: str = "title") -> Metric:
+    t = F.array_distinct(similarity_tokens(F.col(title)))
+    return Metric({"title": t, "significant": significant(t)}, headline_score, lambda t: max(0.0, (t - 0.1) / 0.7))
 
 
 def similar_pairs(df: DataFrame, threshold: float, metric: Metric | None = None, within: list[str] = ["topic"], id_col: str = "ordinal") -> DataFrame:

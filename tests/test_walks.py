@@ -1,6 +1,8 @@
 """Greedy operators against plain walks over whole sources, topics and clients, on the smallest tables."""
 
+import random
 from collections import defaultdict
+from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
@@ -16,14 +18,10 @@ from storyspark.plans import story_queries as sy
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("threshold", [0.3, 0.5])
-def test_collapse_of_near_duplicates(spark, threshold):
-    """One walk over all rows of a source, where the operator walks connected components."""
-    articles = sy.deduped(spark, SF)
-    near = {(r.a, r.b) for r in sim.similar_pairs(articles, threshold, sim.headline(), within=["source_name"]).collect()}
-    assert near
+def plain_collapse(rows, near):
+    """The ordinals that stay after one walk over all rows of each source."""
     kept = defaultdict(list)
-    for r in sorted(articles.collect(), key=lambda r: r.ordinal):
+    for r in sorted(rows, key=lambda r: r.ordinal):
         mine = (r.source_quality, len(r.snippet or ""), r.published_at.timestamp() if r.published_at else 0)
         for slot in kept[r.source_name]:
             if tuple(sorted((slot[0], r.ordinal))) in near:
@@ -32,11 +30,35 @@ def test_collapse_of_near_duplicates(spark, threshold):
                 break
         else:
             kept[r.source_name].append([r.ordinal, mine])
-    want = sorted(o for slots in kept.values() for o, _ in slots)
+    return sorted(o for slots in kept.values() for o, _ in slots)
+
+
+@pytest.mark.parametrize("threshold", [0.3, 0.5])
+def test_collapse_of_near_duplicates(spark, threshold):
+    """One walk over all rows of a source, where the operator walks components of classes."""
+    articles = sy.deduped(spark, SF)
+    near = {(r.a, r.b) for r in sim.similar_pairs(articles, threshold, sim.headline(), within=["source_name"]).collect()}
+    assert near
+    want = plain_collapse(articles.collect(), near)
     got = sorted(r.ordinal for r in nd.collapse_near_duplicates(articles, threshold).collect())
     assert got == want and len(got) < articles.count()
 
 
+@pytest.mark.parametrize("threshold", [0.4, 0.75, 0.8])
+def test_collapse_of_many_copies(spark, threshold):
+    """Equal titles, titles that differ by a word, titles of stop words alone, rows without a source or time, ties."""
+    rng = random.Random(5)
+    words = "river bridge council harbour engine market".split()
+    titles = [" ".join(rng.sample(words, rng.randint(2, 5))) for _ in range(12)] + ["the of", ""]
+    rows = [(i, rng.choice(["a", "a", "a", "b", None]), rng.choice(titles), rng.choice([None, "", "x", "xy"]), rng.randint(1, 2), rng.choice([None, datetime(2024, 1, rng.randint(1, 3))])) for i in range(150)]
+    articles = spark.createDataFrame(rows, "ordinal long, source_name string, title string, snippet string, source_quality int, published_at timestamp")
+    near = {(r.a, r.b) for r in sim.similar_pairs(articles, threshold, sim.headline(), within=["source_name"]).collect()}
+    no_source = sorted(r[0] for r in rows if r[1] is None)
+    want = plain_collapse([r for r in articles.collect() if r.source_name], near)
+    assert sorted(r.ordinal for r in nd.collapse_near_duplicates(articles, threshold).collect()) == sorted(want + no_source)
+    assert nd.collapse_near_duplicates(articles.limit(0), threshold).isEmpty()
+
+
 def plain_matches(now, prior, least=0.25):
     """In rank order within a topic, the free prior story of highest overlap, from the urls alone."""
     out, used = [], set()
@@ -53,6 +75,22 @@ def plain_matches(now, prior, least=0.25):
     return sorted(out)
 
 
+def test_matches_of_many_rivals(spark):
+    """Stories of one topic that share few urls, so that each has many rivals and many overlaps are equal."""
+    rng = random.Random(7)
+    shape = "topic string, cluster_no long, rank int, urls array<string>"
+
+    def stories(n: int, urls: int) -> list:
+        return [(rng.choice("xxxy"), i, i * 7 % n, sorted(rng.sample([f"u{k}" for k in range(urls)], rng.randint(1, 5)))) for i in range(n)]
+
+    current = spark.createDataFrame([*stories(80, 25), ("x", 99, None, ["u1"])], shape)
+    prior = spark.createDataFrame(stories(60, 25), shape)
+    want = plain_matches([r for r in current.collect() if r["rank"] is not None], prior.collect())
+    assert sorted((r.cluster_no, r.prior_no, round(r.overlap, 9)) for r in ch.match_prior_stories(current, prior).collect()) == want
+    assert len(want) > 30
+    assert ch.match_prior_stories(current.limit(0), prior).isEmpty()
+
+
 def test_matches_and_changes(spark):
     current, prior = bq.both_states(spark, SF)
     # stories of all three kinds: some prior ones are missing, some had other content
@@ -80,9 +118,22 @@ def test_feed(spark):
     scored = br.score_feed(bq.user_topics(spark, SF), bq.cards(spark, SF), ad.now())
     # a second topic for every third story, so that urls meet
     twice = scored.unionByName(scored.filter("cluster_no % 3 = 0").withColumns({"topic_key": F.concat(F.lit("z"), "topic_key"), "score": F.col("score") + F.when(F.col("cluster_no") % 2 == 0, 0.01).otherwise(-0.01)}))
+    got = check_feed(twice)
+    assert any(x[4] for x in got)
+
+
+def test_feed_of_many_rivals(spark):
+    """One client with most of the stories, which share few urls and scores."""
+    rng = random.Random(9)
+    rows = [(rng.choice([1, 1, 1, 2]), f"t{i % 9}", i, rng.choice("abc"), sorted(rng.sample([f"u{k}" for k in range(60)], rng.randint(0, 4))), rng.randint(1, 4) / 4, 0.5, 0.5) for i in range(160)]
+    got = check_feed(spark.createDataFrame(rows, "client long, topic_key string, cluster_no long, headline string, urls array<string>, score double, priority double, importance double"))
+    assert len(got) < 150 and any(len(x[4]) > 1 for x in got)
+
+
+def check_feed(scored):
     want = []
     by = defaultdict(list)
-    for r in twice.collect():
+    for r in scored.collect():
         by[r.client].append(r.asDict())
     for client, rows in by.items():
         kept = []
@@ -101,5 +152,6 @@ def test_feed(spark):
             else:
                 kept.append(row)
         want += [(client, k["topic_key"], k["cluster_no"], round(k["score"], 9), tuple(k["also"])) for k in kept]
-    got = [(r.client, r.topic_key, r.cluster_no, round(r.score, 9), tuple(r.also)) for r in br.dedupe_feed(twice).collect()]
-    assert sorted(got) == sorted(want) and any(x[4] for x in got)
+    got = [(r.client, r.topic_key, r.cluster_no, round(r.score, 9), tuple(r.also)) for r in br.dedupe_feed(scored).collect()]
+    assert sorted(got) == sorted(want)
+    return got
