@@ -37,6 +37,9 @@ AT_ONCE = 800
 BEYOND = "[^\x00-\u012f\u0131-\u024f]"
 #: Fixed value: the pretokeniser of the word BPE vocabulary.
 WORD_PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: The same for lower-cased texts without letters beyond; lower case may lie further on. Four control characters are no white space.
+LETTER, DIGIT = "a-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u02af\u2c65\u2c66", "0-9\xb2\xb3\xb9\xbc-\xbe"
+LATIN_PIECES = f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTER}]+|[{DIGIT}]|[^ \t-\r\x85\xa0{LETTER}{DIGIT}]+"
 
 PIECES = T.StructType([T.StructField(n, T.LongType()) for n in ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")])
 
@@ -44,8 +47,9 @@ PIECES = T.StructType([T.StructField(n, T.LongType()) for n in ("start", "length
 class WordIds:
     """Ids of texts by a lower-casing word BPE file, whose pieces never reach over white space.
 
-    Words are normalised and cut as the file asks; pieces are looked up in a memory, new ones merged
-    through the pair occurrence index. Words with letters beyond Latin ones go through the library.
+    Texts are normalised and cut as the file asks, Latin ones as a whole, others word by word; pieces are
+    looked up in a memory, new ones merged through the pair occurrence index. Words with letters beyond
+    Latin ones go through the library.
     """
 
     def __init__(self, path: str):
@@ -56,6 +60,7 @@ class WordIds:
         self.pieces = regex.compile(WORD_PIECES).findall
         self.spaces = regex.compile(r"[ \t-\r]+").split
         self.beyond = re.compile(BEYOND).search
+        self.latin_pieces = re.compile(LATIN_PIECES).findall
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -66,8 +71,6 @@ class WordIds:
         return text.split()
 
     def cut(self, word: str) -> list[str]:
-        if word[-1] in ".,!?" and word[:-1].isalpha():
-            return [word[:-1].lower(), word[-1]]
         out = []
         for k, part in enumerate(self.split(word)):
             if k % 2:
@@ -90,33 +93,40 @@ class WordIds:
         return [ids for i in range(0, len(texts), AT_ONCE) for ids in self._encode(texts[i : i + AT_ONCE])]
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        words = [self.words(t) for t in texts]
         if len(self.young) > REMEMBERED:
             self.old, self.young = self.young, {}
-        young, old = self.young, self.old
+        cut: list[list[str] | None] = []
+        for t in texts:
+            low = t.lower() if t.isascii() or not self.beyond(t) else None
+            plain = low is not None and not any(s.lower() in low for s in self.special)
+            cut.append(self.latin_pieces(low) if plain else None)
+        self._learn(set().union(*[ps for ps in cut if ps]))
+        others = iter(self._by_words([t for t, ps in zip(texts, cut, strict=True) if ps is None]))
+        ids = self.young
+        return [next(others) if ps is None else b"".join([ids[p] for p in ps]) for ps in cut]
+
+    def _by_words(self, texts: list[str]) -> list[bytes]:
+        words = [self.words(t) for t in texts]
         every = set().union(*words)
-        ids_of: dict[str, bytes] = {}
-        if any(map(self.beyond, texts)):
-            # letters that Unicode versions may class differently go through the library itself
-            other = [w for w in every if self.beyond(w)]
-            ids_of = {w: np.array(self.library.encode(w, add_special_tokens=False).ids, "<u4").tobytes() for w in other}
-            every.difference_update(other)
-        plain = {w: w.lower() for w in every if w.isalpha()}  # one piece each, composed already
-        mixed = {w: self.cut(w) for w in every if w not in plain}
-        new = []
-        for p in set(plain.values()).union(*mixed.values()):
-            if p not in young:
-                if (ids := old.get(p)) is not None:
-                    young[p] = ids
-                elif p in self.special:
-                    young[p] = self.special[p]
-                else:
-                    new.append(p)
-        young.update(zip(new, self.index.merge_all(new), strict=True))
-        ids_of |= {w: young[p] for w, p in plain.items()}
-        ids_of |= {w: b"".join([young[p] for p in ps]) for w, ps in mixed.items()}
+        # letters that Unicode versions may class differently go through the library itself
+        ids_of = {w: np.array(self.library.encode(w, add_special_tokens=False).ids, "<u4").tobytes() for w in filter(self.beyond, every)}
+        pieces = {w: self.cut(w) for w in every if w not in ids_of}
+        self._learn(set().union(*pieces.values()))
+        ids_of |= {w: b"".join([self.young[p] for p in ps]) for w, ps in pieces.items()}
         return [b"".join([ids_of[w] for w in ws]) for ws in words]
 
+    def _learn(self, pieces: set[str]) -> None:
+        """Sees to it that the memory holds these pieces."""
+        young, old, new = self.young, self.old, []
+        for p in pieces.difference(young):
+            if (ids := old.get(p)) is not None:
+                young[p] = ids
+            elif p in self.special:
+                young[p] = self.special[p]
+            else:
+                new.append(p)
+        young.update(zip(new, self.index.merge_all(new), strict=True))
+
 
 class Packer:
     """Windows of one partition. A piece is (key, start, ids as bytes, tokens of its document)."""

@@ -28,6 +28,15 @@ def frame(spark, values):
     return spark.createDataFrame([(i, t, "x", 0) for i, t in enumerate(values)] + [(None, None, "x", 0), (0, values[0], "x", 0)], "doc_id long, text string, start string, ids int")
 
 
+def test_word_ids_equal_the_library():
+    """Texts cut as a whole and word by word, around every letter up to U+03FF, special tokens in either case."""
+    lib = tokenizers.Tokenizer.from_file(packing.word_bpe_path())
+    values = texts(200, 3) + [f"{chr(c)}{x}{chr(c)}a{chr(c)} {chr(c)}" for c in range(0x400) for x in ("", "A", "'", "1", ".")]
+    values += ["x<|endoftext|>y", "X<|ENDOFTEXT|>y", "<|startoftext|> HI <|endoftext|>", "DON'T'S", "a\x1cb\x85c"]
+    for t, ids in zip(values, packing.WordIds(packing.word_bpe_path()).encode_batch(values), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == lib.encode(t, add_special_tokens=False).ids, t
+
+
 def test_bpe_equals_the_library(spark):
     values = texts(300)
     path = public_tokenizers.path("byte_bpe_50k.json")
