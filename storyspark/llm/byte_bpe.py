@@ -27,9 +27,11 @@ DIGESTS = T.StructType([T.StructField("n_tokens", T.LongType()), T.StructField("
 
 
 class ByteBpe:
-    def __init__(self, path: str):
+    """``plain``: strings of special tokens inside texts are ordinary text."""
+
+    def __init__(self, path: str, plain: bool = False):
         self.index = PairIndex(path)
-        special = self.index.special
+        special = {} if plain else self.index.special
         self.special = {s: np.array([i], "<u4").tobytes() for s, i in special.items()}
         self.split = regex.compile("(" + "|".join(map(regex.escape, sorted(special, key=len, reverse=True))) + ")").split
         self.pieces = regex.compile(PIECES).findall
@@ -66,8 +68,8 @@ class ByteBpe:
 
 
 @lru_cache(2)
-def load(path: str) -> ByteBpe:
-    return ByteBpe(path)
+def load(path: str, plain: bool = False) -> ByteBpe:
+    return ByteBpe(path, plain)
 
 
 def bpe_encode(docs: DataFrame, path: str, keep: list[str]) -> DataFrame:

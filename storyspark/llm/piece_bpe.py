@@ -184,11 +184,15 @@ class PieceBpe:
 
     def encode_batch(self, texts: Sequence[str]) -> list[bytes]:
         """Ids of each text, as little-endian unsigned 32-bit integers."""
-        if len(self.young) > REMEMBERED:
+        return self.encode_spaced([SPACE + t.replace(" ", SPACE) if t else "" for t in texts])
+
+    def encode_spaced(self, texts: Sequence[str], remembered: int = REMEMBERED) -> list[bytes]:
+        """The same of texts whose spaces are written as pieces have them, the one in front too."""
+        if len(self.young) > remembered:
             self.old, self.young = self.young, {}
         if len(self.apart) > PAIRS:
             self.apart = {}
-        cut = [self.words(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
+        cut = [self.words(t) for t in texts]
         young, new, once = self.young, [], {}
         for w in set().union(*cut).difference(young):
             if (ids := self.old.get(w)) is not None:
