@@ -101,8 +101,8 @@ def load(a_path: str, b_path: str) -> BothIds:
 
 
 class Aligner:
-    def __init__(self, a_path: str, b_path: str, digest: bool):
-        self.ids, self.digest = load(a_path, b_path), digest
+    def __init__(self, a_path: str, b_path: str, digest: bool, window: int = WINDOW):
+        self.ids, self.digest, self.window = load(a_path, b_path), digest, window
         known = self.ids.a.index.bytes_of
         self.a_size = np.array([len(known.get(i, b"")) for i in range(max(known) + 1)])
         self.b_size = np.array([len(x) for x in self.ids.b.bytes_of])
@@ -125,7 +125,7 @@ class Aligner:
         codes, counts = [], []
         x = y = start = 0
         while x < len(a):
-            to = _shared_end(a_end, b_end, min(x + WINDOW, len(a)) - 1) + 1
+            to = _shared_end(a_end, b_end, min(x + self.window, len(a)) - 1) + 1
             upto = int(np.searchsorted(b_end, a_end[to - 1])) + 1
             doc = a_doc[x:to]
             i, j = overlaps(np.concatenate([[start], a_end[x : to - 1]]), np.concatenate([[start], b_end[y : upto - 1]]))
@@ -181,7 +181,7 @@ def _pairs(codes: list[np.ndarray], counts: list[np.ndarray], rows: int) -> pa.A
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array((code & ((1 << PAIR_BITS) - 1)) << COUNT_BITS | count))
 
 
-def align_tokens(docs: DataFrame, a_path: str, b_path: str, keep: list[str], digest: bool = False) -> DataFrame:
+def align_tokens(docs: DataFrame, a_path: str, b_path: str, keep: list[str], digest: bool = False, window: int = WINDOW) -> DataFrame:
     """``keep`` columns, n_a, n_b, n_groups, n_links, groups (``a1,a2|b1;a3|b2,b3`` or its digest) and pairs.
 
     A is a byte-level BPE of a space and the text, B a BPE of pieces of the text; special tokens' strings
@@ -191,7 +191,7 @@ def align_tokens(docs: DataFrame, a_path: str, b_path: str, keep: list[str], dig
     """
 
     def start():
-        aligner = Aligner(a_path, b_path, digest)
+        aligner = Aligner(a_path, b_path, digest, window)
 
         def work(texts: list[str]) -> list[pa.Array]:
             aligner.open_document = -1
@@ -216,12 +216,12 @@ def pair_counts(rows: DataFrame) -> DataFrame:
     return counts.withColumn("b", b).join(F.broadcast(highest), "b").select("pair", "links", (F.col("links") == F.col("highest")).alias("best"))
 
 
-def with_counts(rows: DataFrame) -> DataFrame:
+def with_counts(rows: DataFrame, head: int = HEAD) -> DataFrame:
     """``rows`` (row, pairs, ...) without pairs, with n_best and count_sum; written rows are needed, as they are read again."""
     counts = pair_counts(rows)
     sizes = {r.e: r.n for r in counts.groupBy(F.floor(F.log2("links")).alias("e")).agg(F.count(F.lit(1)).alias("n")).collect()}  # 63 rows at most
     bound, held = 63, 0
-    while bound > 0 and held + sizes.get(bound - 1, 0) <= HEAD:
+    while bound > 0 and held + sizes.get(bound - 1, 0) <= head:
         bound -= 1
         held += sizes.get(bound, 0)
     often = F.floor(F.log2("links")) >= bound

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from storyspark.llm import alignment, byte_bpe, chat_format, packing, piece_bpe, pii, quality_classifier, quality_rules, simhash, top_k, toxicity, url_filter
+from storyspark.llm import alignment, byte_bpe, chat_format, chat_repair, packing, piece_bpe, pii, quality_classifier, quality_rules, simhash, top_k, toxicity, url_filter
 
-MODULES = [quality_rules, top_k, quality_classifier, simhash, pii, toxicity, byte_bpe, packing, chat_format, url_filter, piece_bpe, alignment]
+MODULES = [quality_rules, top_k, quality_classifier, simhash, pii, toxicity, byte_bpe, packing, chat_format, url_filter, piece_bpe, alignment, chat_repair]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
