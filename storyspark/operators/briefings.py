@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from storyspark.config import Config
 from storyspark.functions.text import clamp01, normalize_topic, round_k
@@ -79,19 +80,19 @@ def score_feed(user_topics: DataFrame, cards: DataFrame, now: Column, cfg: Confi
     return rows.select("client", "topic_key", "cluster_no", "headline", "urls", "importance", "priority", round_k(clamp01(total)).alias("score"))
 
 
-FEED = "client long, topic_key string, cluster_no long, score double, priority double, importance double, also array<string>"
+FEED = ["client", "topic_key", "cluster_no", "score", "priority", "importance"]
 
 
 def _merged_feed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Kept stories, from a feed's stories in the order of group, topic and story; held are the kept ones of one group."""
-    group, kept, holders = None, [], {}
-    schema = pa.schema([("client", pa.int64()), ("topic_key", pa.string()), ("cluster_no", pa.int64()), ("score", pa.float64()), ("priority", pa.float64()), ("importance", pa.float64()), ("also", pa.list_(pa.string()))])
+    group, kept, holders, schema = None, [], {}, None
 
     def matches(row: dict, other: dict, shared: int) -> bool:
         return shared / len(row["urls"] | other["urls"]) >= 0.25 or row["headline"] == other["headline"]
 
     for b in batches:
         out = []
+        schema = pa.schema([b.schema.field(c) for c in FEED] + [("also", pa.list_(b.schema.field("topic_key").type))])  # keys of any type
         for row in b.to_pylist():
             if row["node"] != group:
                 out += kept
@@ -113,7 +114,8 @@ def _merged_feed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for u in row["urls"]:
                 holders.setdefault(u, set()).add(at)
         yield pa.RecordBatch.from_pylist(out, schema=schema)
-    yield pa.RecordBatch.from_pylist(kept, schema=schema)
+    if kept:
+        yield pa.RecordBatch.from_pylist(kept, schema=schema)
 
 
 def dedupe_feed(scored: DataFrame) -> DataFrame:
@@ -129,8 +131,8 @@ def dedupe_feed(scored: DataFrame) -> DataFrame:
     comp = materialize(connected_components(edges, "node", "least").select("node.*", F.col("component").alias("node")), "feed_groups")
     keys = ["client", "topic_key", "cluster_no"]
     met = scored.join(comp, keys).select("node", *keys, "headline", "urls", "score", "priority", "importance")
-    merged = met.repartition("node").sortWithinPartitions("node", "topic_key", "cluster_no").mapInArrow(_merged_feed, FEED)
-    plain = scored.join(comp, keys, "left_anti").select(*keys, "score", "priority", "importance", F.array().cast("array<string>").alias("also"))
+    merged = met.repartition("node").sortWithinPartitions("node", "topic_key", "cluster_no").mapInArrow(_merged_feed, T.StructType([met.schema[c] for c in FEED] + [T.StructField("also", T.ArrayType(met.schema["topic_key"].dataType))]))
+    plain = scored.join(comp, keys, "left_anti").select(*FEED, F.array().cast(T.ArrayType(met.schema["topic_key"].dataType)).alias("also"))
     return plain.unionByName(merged)
 
 

@@ -7,9 +7,10 @@ from collections.abc import Iterator
 from dataclasses import replace
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from storyspark.functions.text import canonical_url, valid_http_url
 from storyspark.operators.components import connected_components
 from storyspark.operators.similar import Metric, headline, similar_pairs
 from storyspark.plans.cutting import materialize
@@ -68,6 +69,8 @@ def collapse_near_duplicates(articles: DataFrame, threshold: float = 0.85, metri
     stand for others at the moment, not a component's rows or pairs. Rows without a source pass as they are.
     """
     metric = metric or headline()
+    if metric.overlap(threshold) > 1:  # no two sets share more than all of their tokens
+        return articles
     tokens = articles.filter("source_name is not null").select(
         "source_name",
         "ordinal",
@@ -137,24 +140,32 @@ URL_TAIL = r"[.,);]*"
 
 
 def filter_answer_urls(answers: DataFrame, allowed: DataFrame) -> DataFrame:
-    """Answers with urls that aren't allowed for them replaced by ``[link omitted]``, closing punctuation kept.
+    """answer_id, answer, omitted: urls that aren't allowed for an answer become ``[link omitted]``, closing punctuation kept.
 
-    answers: answer_id, answer; allowed: answer_id, url. Urls compare as written or canonical; the text
-    is cut at its urls, each piece looked up by an equi-join, and put together in order.
+    answers: answer_id, answer; allowed: answer_id, url. Urls compare as written or canonical; one with credentials is
+    never allowed, on either side. Each answer is one row of its own, whatever its id: a null one stays null, and
+    answers of one id have its urls in common.
     """
-    from storyspark.functions.text import canonical_url
-
-    pieces = F.split(F.regexp_replace("answer", f"({ANSWER_URL})", "\x01$1\x01"), "\x01")
-    rows = answers.select("answer_id", F.posexplode(pieces).alias("i", "p"))
-    tail = F.regexp_extract("p", f"({URL_TAIL})$", 1)
-    bare = F.left("p", F.length("p") - F.length(tail))
-    is_url = F.col("p").rlike(f"^{ANSWER_URL}$")
-    rows = rows.withColumns({"tail": tail, "key": F.when(is_url, F.coalesce(canonical_url(bare), bare))})
-    ok = allowed.select("answer_id", F.coalesce(canonical_url(F.col("url")), "url").alias("key")).distinct().withColumn("ok", F.lit(True))
-    met = rows.join(ok, ["answer_id", "key"], "left")
-    out = F.when(F.col("key").isNotNull() & F.col("ok").isNull(), F.concat(F.lit("[link omitted]"), "tail")).otherwise(F.col("p"))
-    by = met.withColumn("o", out).groupBy("answer_id").agg(F.array_sort(F.collect_list(F.struct("i", "o"))).alias("ps"), F.count_if(F.col("key").isNotNull() & F.col("ok").isNull()).alias("omitted"))
-    return by.select("answer_id", F.array_join(F.transform("ps", lambda x: x.o), "").alias("answer"), "omitted")
+
+    def safe(url: Column) -> Column:
+        u = F.trim(url)
+        return F.when(valid_http_url(u) & ~F.contains(F.regexp_extract(u, "^[^:]+://([^/?#]*)", 1), F.lit("@")), u)
+
+    known = allowed.select("answer_id", safe(F.col("url")).alias("url")).filter("url is not null")
+    known = known.groupBy("answer_id").agg(F.array_union(F.collect_set("url"), F.collect_set(canonical_url(F.col("url")))).alias("known"))
+
+    def shown(url: Column, after: Column) -> Column:
+        tail = F.regexp_extract(url, f"({URL_TAIL})$", 1)
+        bare = safe(F.left(url, F.length(url) - F.length(tail)))
+        fine = F.array_contains("known", bare) | F.array_contains("known", canonical_url(bare))
+        keeps = F.coalesce(bare.isNotNull() & fine, F.lit(False))
+        return F.struct(F.concat(F.when(keeps, url).otherwise(F.concat(F.lit("[link omitted]"), tail)), after).alias("text"), (~keeps).alias("gone"))
+
+    urls, between = F.regexp_extract_all("answer", F.lit(f"({ANSWER_URL})"), 1), F.split("answer", ANSWER_URL, -1)
+    rows = answers.select("answer_id", "answer").join(known.withColumnRenamed("answer_id", "of"), F.col("answer_id").eqNullSafe(F.col("of")), "left").withColumn("between", between)
+    rows = rows.withColumn("urls", F.zip_with(urls, F.slice("between", 2, F.size(urls)), shown))
+    text = F.concat(F.get("between", F.lit(0)), F.array_join(F.transform("urls", lambda x: x.text), ""))
+    return rows.select("answer_id", F.when(F.col("answer").isNotNull(), text).alias("answer"), F.coalesce(F.size(F.filter("urls", lambda x: x.gone)), F.lit(0)).cast("long").alias("omitted"))
 
 
 def compare_coverage(cards: DataFrame, sources: DataFrame) -> DataFrame:

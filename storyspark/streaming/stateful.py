@@ -6,19 +6,16 @@ import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from storyspark.functions.text import canonical_url
 from storyspark.operators.changes import classify_changes, match_prior_stories, snapshot_from_changes
+from storyspark.operators.limits import flag_over_limit, limited  # noqa: F401
 from storyspark.plans.cutting import materialize
 from storyspark.sources.sinks import read_topic_snapshot, snapshot_before, write_topic_snapshot
 
-LIMITED = "key long, id long, at timestamp, n int, over boolean, retry_after long"
-
-
 def _limit(start: int | None, n: int, at: int, limit: int, window: int) -> tuple[int, int, bool, int]:
     """The window's start and number of requests after one more, whether over the limit, seconds to wait; times in microseconds."""
     if start is None or at - start >= window:
@@ -27,30 +24,6 @@ def _limit(start: int | None, n: int, at: int, limit: int, window: int) -> tuple
     return start, n + 1, over, max(1, -((at - start - window) // 1_000_000)) if over else 0
 
 
-def flag_over_limit(events: DataFrame, limit: int, window_s: int) -> DataFrame:
-    """Requests (key, id, at) with their number in a window that starts at the key's first request, and whether over ``limit``.
-
-    A new window opens at the first request at or after the reset. retry_after is whole seconds, 1 at least.
-    Spark sorts each partition by key and time, spilling if need be; a task then holds one batch, a start and
-    a count, however many requests a key has. Rows without a time take no part.
-    """
-    rows = events.select("key", "id", "at", F.unix_micros("at").alias("us")).dropna(subset=["at"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, start, n = object(), None, 0
-        for b in batches:
-            made = []
-            for key, at in zip(b.column(0).to_pylist(), b.column(3).to_pylist(), strict=True):
-                if key != last:
-                    last, start, n = key, None, 0
-                start, n, over, wait = _limit(start, n, at, limit, window_s * 1_000_000)
-                made.append((n, over, wait))
-            ns, overs, waits = zip(*made, strict=True) if made else ((), (), ())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(ns, pa.int32()), pa.array(overs, pa.bool_()), pa.array(waits, pa.int64())], names=["key", "id", "at", "n", "over", "retry_after"])
-
-    return rows.repartition("key").sortWithinPartitions("key", "us", "id").mapInArrow(run, LIMITED)
-
-
 def stream_flag_over_limit(events: DataFrame, limit: int, window_s: int, delay: str = "10 minutes") -> DataFrame:
     """The same on a stream whose batches hold a key's requests in time order; state is a start and a count per key.
 
@@ -73,7 +46,7 @@ def stream_flag_over_limit(events: DataFrame, limit: int, window_s: int, delay:
         state.setTimeoutTimestamp(max((start + window) // 1000, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(made, columns=["key", "id", "at", "n", "over", "retry_after"])
 
-    return rows.groupBy("key").applyInPandasWithState(run, LIMITED, "start long, n int", "append", GroupStateTimeout.EventTimeTimeout)
+    return rows.groupBy("key").applyInPandasWithState(run, limited(events), "start long, n int", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def stream_dedupe_articles(stream: DataFrame, delay: str = "48 hours", at: str = "fetched_at") -> DataFrame:
