@@ -14,6 +14,7 @@ from storyspark.config import Config
 from storyspark.functions.text import clamp01, round_k, short_hash, similarity_tokens
 from storyspark.operators.articles import dedupe_best_by_url, relevance, tier_score
 from storyspark.operators.components import connected_components
+from storyspark.operators.near_duplicates import collapse_near_duplicates
 from storyspark.operators.similar import Metric, lexical, similar_pairs
 from storyspark.plans.cutting import materialize
 
@@ -213,9 +214,16 @@ def select_diverse_topn(stories: DataFrame, n: int, per_source: int = 2) -> Data
     return late.withColumn("position", F.row_number().over(w)).filter(F.col("position") <= n).drop("late")
 
 
+def distinct_articles(normalized: DataFrame, cfg: Config = Config()) -> tuple[DataFrame, DataFrame]:
+    """Rows left by exact de-duplication, and those of them left by the collapse of near-duplicate headlines of one source."""
+    exact = materialize(dedupe_best_by_url(normalized), "deduped")
+    after = collapse_near_duplicates(exact, cfg.near_duplicate_threshold)
+    return exact, exact if after is exact else materialize(after, "collapsed")
+
+
 def process_articles(normalized: DataFrame, phrase: Column, now: Column, cfg: Config = Config(), top: int | None = None) -> DataFrame:
-    """The flagship: exact de-duplication, clusters, scores, verification, rank; one row for a story."""
-    members = materialize(cluster_articles(materialize(dedupe_best_by_url(normalized), "deduped"), cfg.cluster_threshold), "members")
+    """The flagship: exact and near de-duplication, clusters, scores, verification, rank; one row for a story."""
+    members = materialize(cluster_articles(distinct_articles(normalized, cfg)[1], cfg.cluster_threshold), "members")
     cohesion = materialize(cluster_cohesion(members), "cohesion")
     seen = assess_verification(members, cohesion, now, cfg).select("cluster_no", "independent_count", "confirms_event", "level", "first_reporter")
     whole = build_clusters(members, cfg).join(score_clusters(members, phrase, now, cfg), "cluster_no").join(cohesion, "cluster_no").join(seen, "cluster_no")

@@ -9,34 +9,42 @@ from storyspark.config import Config
 from storyspark.operators import briefings as br
 from storyspark.operators import changes as ch
 from storyspark.operators import stories as st
-from storyspark.operators.articles import dedupe_best_by_url, dedupe_stats
+from storyspark.operators.articles import dedupe_stats
 from storyspark.plans.cutting import materialize
+from storyspark.sources.snapshots import snapshots_as_of
 
 
-def build_briefings(normalized: DataFrame, prior: DataFrame | None, cache: DataFrame, phrase: Column, now: Column, cfg: Config = Config()) -> dict[str, DataFrame]:
-    """cards, whats_new, stats and plan of every topic: stories, changes, reuse, diverse choice, extractive summaries.
+def build_briefings(normalized: DataFrame, prior: DataFrame | None, cache: DataFrame, phrase: Column, now: Column, cfg: Config = Config(), ttl_hours: int = 168) -> dict[str, DataFrame]:
+    """cards, whats_new, stats, plan, changes and the next snapshot of every topic: stories, changes, reuse, diverse choice, extractive summaries.
 
-    prior: story states as track_changes keeps them, or None; cache: provider, content_hash, expires_at.
-    Topics are one key of one plan; nothing loops over them.
+    prior: snapshots (``read_snapshots``: topic, generated_at and story states) of any times, or None; a topic is compared
+    with its latest one at or before ``now`` and within the TTL, and its label counts from that one's time. cache:
+    provider, content_hash, expires_at. Topics are one key of one plan; nothing loops over them.
     """
-    exact = materialize(dedupe_best_by_url(normalized), "exact")
-    members = materialize(st.cluster_articles(exact, cfg.cluster_threshold), "members")
+    exact, after = st.distinct_articles(normalized, cfg)
+    members = materialize(st.cluster_articles(after, cfg.cluster_threshold), "members")
     cohesion = materialize(st.cluster_cohesion(members), "cohesion")
     seen = st.assess_verification(members, cohesion, now, cfg).select("cluster_no", "independent_count", "level")
     whole = st.build_clusters(members, cfg).join(st.score_clusters(members, phrase, now, cfg), "cluster_no").join(cohesion, "cluster_no").join(seen, "cluster_no")
     ranked = materialize(st.rank_stories(whole, 2 * cfg.max_stories), "ranked")
     state = ch.story_state(members).join(ranked.select("cluster_no", "headline", "rank"), "cluster_no")
     state = materialize(state, "state")
-    blank = state.select("topic", "cluster_no", "urls", "sources", "headline", "published_at", "content_hash", "stable_id", now.alias("first_seen"), now.alias("last_updated")).limit(0)
-    changes = materialize(ch.classify_changes(state, blank if prior is None else prior, ch.match_prior_stories(state, blank if prior is None else prior), now), "changes")
+    topics = state.select("topic").distinct()
+    if prior is None:
+        blank = state.select("topic", "cluster_no", "urls", "sources", "headline", "published_at", "content_hash", "stable_id", now.alias("first_seen"), now.alias("last_updated")).limit(0)
+        prior = blank.withColumn("generated_at", now)
+    prior = materialize(snapshots_as_of(prior, topics.withColumn("run_at", now), ttl_hours).drop("run_at"), "prior")
+    compared = topics.join(prior.groupBy("topic").agg(F.max("generated_at").alias("generated_at")), "topic", "left")
+    changes = materialize(ch.classify_changes(state, prior, ch.match_prior_stories(state, prior), now), "changes")
     plan = ch.plan_result_reuse(changes.join(state.select("cluster_no", "content_hash", "rank"), "cluster_no"), cache, "extractive", now)
     chosen = materialize(st.select_diverse_topn(ranked, cfg.max_stories), "chosen")
     reps = st.pick_representative(members, cfg)
     summaries = br.extractive_summary(br.summary_inputs(members, reps, cfg.summary_articles))
     cards = materialize(br.story_cards(chosen, summaries, changes), "cards")
-    compared = cards.select("topic").distinct().withColumn("generated_at", F.lit(None).cast("timestamp") if prior is None else now - F.make_interval(days=F.lit(1)))
     clusters = members.select("topic", "cluster_no").distinct()
-    return {"cards": cards, "whats_new": ch.whats_new(cards, compared, now), "stats": briefing_stats(dedupe_stats(normalized, exact, exact, clusters), plan.join(state.select("cluster_no", "topic"), "cluster_no")), "plan": plan}
+    stats = briefing_stats(dedupe_stats(normalized, exact, after, clusters), plan.join(state.select("cluster_no", "topic"), "cluster_no"))
+    snapshot = ch.snapshot_from_changes(changes, state).drop("rank").withColumn("generated_at", now)
+    return {"cards": cards, "whats_new": ch.whats_new(cards, compared, now), "stats": stats, "plan": plan, "changes": changes, "state": state, "prior": prior, "snapshot": snapshot}
 
 
 def briefing_stats(dedupe: DataFrame, plan: DataFrame) -> DataFrame:

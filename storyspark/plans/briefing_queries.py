@@ -32,6 +32,10 @@ def _state(members):
     return materialize(ch.story_state(members).join(reps, "cluster_no"), "state")
 
 
+def state_before(s, d, at):
+    return _state(_members(s, d, at))
+
+
 def both_states(s, d):
     now = _state(_members(s, d))
     prior = _state(_members(s, d, ad.SNAPSHOT_NOW)).withColumns({"first_seen": ad.now(ad.SNAPSHOT_NOW), "last_updated": ad.now(ad.SNAPSHOT_NOW)})

@@ -182,3 +182,29 @@ STORIES = (
   FROM clusters JOIN reps USING (cluster_no) JOIN heads USING (cluster_no) JOIN scores USING (cluster_no) JOIN (SELECT cluster_no, independent_count, similarity_score, first_reporter FROM verif) USING (cluster_no)
 )"""
 )
+
+
+def near_deduped(threshold: float) -> str:
+    """``dedup`` after the collapse of near-duplicate headlines of one source, as a fold over each source's rows; ``exact`` before it."""
+    return (
+        DEDUPED.replace("dedup AS (", "exact AS (")
+        + f"""
+, near_feat AS (
+  SELECT *, list_filter(tt, lambda t: length(t) >= 4 OR t = 'ai' OR ends_with(t, '_event')) AS sig FROM (SELECT *, list_distinct({tokens('title')}) AS tt FROM exact)
+), near_pairs AS (
+  SELECT a.ordinal AS a, b.ordinal AS b FROM near_feat a JOIN near_feat b ON a.source_name = b.source_name AND a.ordinal < b.ordinal
+  WHERE {title_score('a', 'b')} * 0.7::DOUBLE + {significant_score('a', 'b')} * 0.1::DOUBLE >= {threshold}::DOUBLE
+), near_rows AS (
+  SELECT source_name, {{'o': ordinal, 'q': {tier_score('source_tier')}, 'l': length(coalesce(snippet, '')), 't': coalesce(epoch_us(published_at), 0)}} AS me, nb, row_number() OVER (PARTITION BY source_name ORDER BY ordinal) AS k
+  FROM exact JOIN (SELECT x, list(y) AS nb FROM (SELECT a AS x, b AS y FROM near_pairs UNION ALL SELECT b, a FROM near_pairs) GROUP BY x) ON x = ordinal
+), near_walk(source_name, k, slots) AS (
+  SELECT source_name, CAST(1 AS BIGINT), [me] FROM near_rows WHERE k = 1
+  UNION ALL
+  SELECT source_name, k, CASE WHEN f IS NULL THEN list_append(slots, me) WHEN (me.q, me.l, me.t) > (slots[f].q, slots[f].l, slots[f].t) THEN list_transform(slots, lambda s, i: CASE WHEN i = f THEN me ELSE s END) ELSE slots END
+  FROM (SELECT r.source_name, r.k, r.me, w.slots, list_filter(range(1, len(w.slots) + 1), lambda i: list_contains(r.nb, w.slots[i].o))[1] AS f FROM near_walk w JOIN near_rows r ON r.source_name = w.source_name AND r.k = w.k + 1)
+), near_kept AS (
+  SELECT unnest(slots).o AS o FROM (SELECT source_name, arg_max(slots, k) AS slots FROM near_walk GROUP BY source_name)
+), dedup AS (
+  SELECT * FROM exact WHERE ordinal NOT IN (SELECT me.o FROM near_rows) OR ordinal IN (SELECT o FROM near_kept)
+)"""
+    )

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from storyspark import adapters as ad
+from storyspark.config import Config
 from storyspark.functions.text import round_k
 from storyspark.operators import articles as ar
 from storyspark.operators import similar as sim
@@ -15,6 +16,8 @@ from storyspark.plans.cutting import materialize
 
 THRESHOLD = 0.5
 NEAR = 0.7
+#: Titles alone score 0.8 at most.
+NEAR_CONFIG = Config(near_duplicate_threshold=0.75)
 
 
 def normalized(spark: SparkSession, sf: str) -> DataFrame:
@@ -138,15 +141,30 @@ def q_select_diverse_topn(spark, sf):
 
 
 def q_dedupe_stats(spark, sf):
+    return _stats(spark, sf, Config())
+
+
+def _stats(spark, sf, cfg):
     n = materialize(normalized(spark, sf), "normalized")
-    d = materialize(ar.dedupe_best_by_url(n), "deduped")
-    c = st.cluster_articles(d, THRESHOLD).select("topic", "cluster_no").distinct()
-    return ar.dedupe_stats(n, d, d, c)
+    exact, after = st.distinct_articles(n, cfg)
+    c = st.cluster_articles(after, cfg.cluster_threshold).select("topic", "cluster_no").distinct()
+    return ar.dedupe_stats(n, exact, after, c)
+
+
+def q_dedupe_stats_near(spark, sf):
+    """With a threshold that headlines reach."""
+    return _stats(spark, sf, NEAR_CONFIG)
+
+
+def q_process_articles_near(spark, sf):
+    out = st.process_articles(normalized(spark, sf), phrase(), ad.now(), NEAR_CONFIG)
+    return out.select("topic", "rank", "cluster_id", "headline", "importance", "freshness", "similarity_score", "independent_count", "level", "article_count")
 
 
 _SIGNALS = """array_to_string(list_filter([{hot} CASE WHEN independent_count <= 1 THEN 'Currently reported by a single source' WHEN independent_count >= 3 AND similarity_score >= 0.35 THEN 'Reported by ' || independent_count || ' independent sources' WHEN independent_count >= 2 AND similarity_score >= 0.35 THEN 'Multiple sources confirm the event' END,
   CASE WHEN first_reporter IS NOT NULL THEN 'First reported by ' || first_reporter END,
   CASE WHEN source_count > independent_count THEN source_count || ' named outlets mapped to ' || independent_count || ' independent publishers' END], lambda x: x IS NOT NULL), '|')"""
+_NEAR = lambda part: part.replace(sq.DEDUPED, sq.near_deduped(NEAR_CONFIG.near_duplicate_threshold))
 _DETAIL = "CASE WHEN independent_count >= 2 THEN independent_count || ' independent sources' ELSE 'Only one source currently available' END"
 _GATE = f"""
 gate AS (SELECT *, (contains({sq.TEXT}, lower({sq.PHRASE})) OR {sq.RELEVANCE} > 0) AS rel FROM {{src}})
@@ -201,6 +219,12 @@ SELECT a, b, {sq.rnd('score')} AS score FROM hp WHERE score >= 0.7::DOUBLE""",
         f"""WITH RECURSIVE {sq.SCORED}, hot AS (SELECT DISTINCT cluster_no, true AS hot FROM members WHERE source_tier = 1), v AS (SELECT verif.*, coalesce(hot, false) AS hot FROM verif LEFT JOIN hot USING (cluster_no))
 SELECT cluster_no, CASE WHEN hot THEN 'contested' ELSE {sq.LEVEL} END AS level, CASE WHEN hot THEN 'Sources diverge' WHEN independent_count >= 2 THEN 'Multiple sources' ELSE 'Limited reporting' END AS label,
   CASE WHEN hot OR independent_count < 2 THEN 'warning' ELSE 'check' END AS icon, CAST(len(string_split({_SIGNALS.format(hot="CASE WHEN hot THEN 'Sources disagree on key details' END,")}, '|')) AS INTEGER) AS n_signals FROM v""",
+    ),
+    "process_articles_near": (q_process_articles_near, f"WITH RECURSIVE {_NEAR(sq.STORIES)} SELECT topic, CAST(rank AS INTEGER) AS rank, cluster_id, headline, importance, freshness, similarity_score, independent_count, {sq.LEVEL} AS level, article_count FROM stories WHERE rank <= 15"),
+    "dedupe_stats_near": (
+        q_dedupe_stats_near,
+        f"""WITH RECURSIVE {_NEAR(sq.CLUSTERED)} SELECT topic, n AS after_normalize, n - e AS exact_removed, e - d AS near_removed, d AS after_dedupe, c AS clusters, greatest(0, d - c) AS collapsed, {sq.rnd('c / n', 3)} AS compression_ratio
+FROM (SELECT topic, count(*) AS n FROM norm GROUP BY topic) JOIN (SELECT topic, count(*) AS e FROM exact GROUP BY topic) USING (topic) JOIN (SELECT topic, count(*) AS d, count(DISTINCT cluster_no) AS c FROM members GROUP BY topic) USING (topic)""",
     ),
     "process_articles": (q_process_articles, f"WITH RECURSIVE {sq.STORIES} SELECT topic, CAST(rank AS INTEGER) AS rank, cluster_id, headline, importance, freshness, similarity_score, independent_count, {sq.LEVEL} AS level, article_count FROM stories WHERE rank <= 15"),
     "select_diverse_topn": (

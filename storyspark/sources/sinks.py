@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from storyspark.plans.cutting import _path
+from storyspark.sources.snapshots import read_topic_snapshot, write_topic_snapshot  # noqa: F401
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -39,42 +40,6 @@ def write_daily_briefings(df: DataFrame, path: str, replace: bool = False) -> No
     fs.delete(p, True)
 
 
-def _current(spark: SparkSession, path: str) -> str | None:
-    pointer = f"{path}/current"
-    return spark.read.text(pointer).first().value if exists(spark, pointer) else None
-
-
-def read_topic_snapshot(spark: SparkSession, path: str) -> DataFrame | None:
-    version = _current(spark, path)
-    return spark.read.parquet(f"{path}/{version}") if version else None
-
-
-def snapshot_before(spark: SparkSession, path: str, batch: int) -> DataFrame | None:
-    """The snapshot that was current when micro-batch ``batch`` first ran; its version is noted then."""
-    note = f"{path}/before-{batch}"
-    if not exists(spark, note):
-        spark.createDataFrame([(_current(spark, path) or "",)], "value string").coalesce(1).write.text(note)
-    row = spark.read.text(note).first()
-    return spark.read.parquet(f"{path}/{row.value}") if row and row.value else None
-
-
-def write_topic_snapshot(df: DataFrame, path: str) -> None:
-    """The newest snapshot of each topic replaces earlier ones; readers see the old or the new version, whole.
-
-    df: topic, generated_at and story columns. Of two snapshots of one time the later written counts, so a write
-    that runs again changes nothing. A version is written first, then the pointer moves.
-    """
-    spark = df.sparkSession
-    old = read_topic_snapshot(spark, path)
-    rows = df.withColumn("turn", F.lit(1))
-    rows = rows if old is None else old.withColumn("turn", F.lit(0)).unionByName(rows, allowMissingColumns=True)
-    newest = rows.groupBy("topic").agg(F.max(F.struct("generated_at", "turn")).alias("newest"))
-    kept = rows.join(newest, "topic").filter(F.struct("generated_at", "turn") == F.col("newest")).drop("newest", "turn")
-    version = f"v-{uuid.uuid4().hex}"
-    kept.write.parquet(f"{path}/{version}")
-    spark.createDataFrame([(version,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/current")
-
-
 def append_eval_run(results: DataFrame, run_id: str, path: str) -> None:
     """Result rows of a run, in a folder of its own; a run written again replaces itself."""
     results.withColumn("run_id", F.lit(run_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(path)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -14,7 +13,7 @@ from storyspark.functions.text import canonical_url
 from storyspark.operators.changes import classify_changes, match_prior_stories, snapshot_from_changes
 from storyspark.operators.limits import flag_over_limit, limited  # noqa: F401
 from storyspark.plans.cutting import materialize
-from storyspark.sources.sinks import read_topic_snapshot, snapshot_before, write_topic_snapshot
+from storyspark.sources.snapshots import merge_state, read_snapshots, snapshots_as_of, snapshots_before, write_topic_snapshot
 
 def _limit(start: int | None, n: int, at: int, limit: int, window: int) -> tuple[int, int, bool, int]:
     """The window's start and number of requests after one more, whether over the limit, seconds to wait; times in microseconds."""
@@ -71,29 +70,32 @@ def latest_state(log: DataFrame, keys: list[str], order: list[str]) -> DataFrame
     return log.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("r")).select(*keys, "r.*")
 
 
-def stream_latest_state(stream: DataFrame, keys: list[str], order: list[str], path: str, checkpoint: str):
-    """Keeps latest_state current in versioned Parquet under ``path``: each micro-batch merges its own last rows."""
+def stream_latest_state(stream: DataFrame, keys: list[str], order: list[str], path: str, checkpoint: str, buckets: int = 64):
+    """Keeps latest_state current under ``path``: a micro-batch merges its own last rows into the buckets of its keys.
+
+    Other buckets are neither read nor written. A batch that runs again changes nothing.
+    """
 
     def merge(batch: DataFrame, _: int) -> None:
-        mine = latest_state(batch, keys, order).withColumns({"topic": F.lit("all"), "generated_at": F.current_timestamp()})
-        old = read_topic_snapshot(batch.sparkSession, path)
-        rows = mine if old is None else latest_state(old.drop("topic", "generated_at").unionByName(mine.drop("topic", "generated_at")), keys, order).withColumns({"topic": F.lit("all"), "generated_at": F.current_timestamp()})
-        write_topic_snapshot(materialize(rows, f"merge-{uuid.uuid4().hex}"), path)
+        mine = materialize(latest_state(batch, keys, order), "state")
+        merge_state(mine, keys, lambda rows: latest_state(rows, keys, order), path, buckets)
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def track_changes(current: DataFrame, path: str, now, ttl_hours: int = 168, batch: int | None = None) -> DataFrame:
-    """Matches story states to the latest snapshot no older than the TTL, writes the next one, returns the changes.
+    """Matches story states to the latest snapshot at or before now within the TTL, writes the next one, returns the changes.
 
-    ``batch``: the number of a micro-batch; one that runs again meets the snapshot that it met at first.
+    ``batch``: the number of a micro-batch; one that runs again meets the snapshots that it met at first.
     """
     spark = current.sparkSession
-    prior = read_topic_snapshot(spark, path) if batch is None else snapshot_before(spark, path, batch)
-    blank = current.select("cluster_no", "topic", "urls", "sources", "headline", "published_at", "content_hash", "stable_id", now.alias("first_seen"), now.alias("last_updated"))
-    prior = blank.limit(0) if prior is None else prior.filter(F.col("generated_at") >= now - F.make_interval(hours=F.lit(ttl_hours))).drop("generated_at")
+    known = read_snapshots(spark, path) if batch is None else snapshots_before(spark, path, batch)
+    if known is None:
+        prior = current.select("cluster_no", "topic", "urls", "sources", "headline", "published_at", "content_hash", "stable_id", now.alias("first_seen"), now.alias("last_updated")).limit(0)
+    else:
+        prior = snapshots_as_of(known, current.select("topic").distinct().withColumn("run_at", now), ttl_hours).drop("run_at", "generated_at")
     changes = materialize(classify_changes(current, prior, match_prior_stories(current, prior), now), "changes")
-    write_topic_snapshot(materialize(snapshot_from_changes(changes, current).drop("rank").withColumn("generated_at", now), "snapshot"), path)
+    write_topic_snapshot(snapshot_from_changes(changes, current).drop("rank").withColumn("generated_at", now), path)
     return changes
 
 

@@ -2,12 +2,17 @@
 
 import datetime as dt
 import random
+from concurrent.futures import ThreadPoolExecutor
 
+import pytest
 from pyspark.sql import functions as F
 
 from storyspark.operators import briefings as br
 from storyspark.operators import limits
 from storyspark.operators import near_duplicates as nd
+from storyspark.sources import commit_log as cl
+from storyspark.sources import snapshots as sn
+from storyspark.streaming import stateful as sf
 
 T0 = dt.datetime(2024, 1, 1)
 
@@ -70,3 +75,58 @@ def test_feed_of_text_clients(spark):
     got = br.dedupe_feed(df)
     assert sorted((r.client, r.topic_key, r.cluster_no, list(r.also)) for r in got.collect()) == [("c1", "b", 2, ["ai"]), ("c2", "ai", 1, [])]
     assert br.dedupe_feed(df.limit(0)).count() == 0
+
+
+def snapshot(spark, topic, at, v):
+    return spark.createDataFrame([(topic, at, v)], "topic string, generated_at timestamp, v int")
+
+
+def test_a_writer_that_dies_before_its_commit_leaves_the_old_version(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "snap")
+    assert sn.read_topic_snapshot(spark, path) is None
+    sn.write_topic_snapshot(snapshot(spark, "en", T0, 1), path)
+    with monkeypatch.context() as m:
+        m.setattr(cl, "create_once", lambda *a: (_ for _ in ()).throw(RuntimeError("dead")))
+        with pytest.raises(RuntimeError):
+            sn.write_topic_snapshot(snapshot(spark, "en", T0 + dt.timedelta(1), 2), path)
+    assert [r.v for r in sn.read_topic_snapshot(spark, path).collect()] == [1]
+    sn.write_topic_snapshot(snapshot(spark, "fr", T0, 3), path)
+    assert sorted(r.v for r in sn.read_topic_snapshot(spark, path).collect()) == [1, 3]
+    assert not list(tmp_path.glob("snap/_log/*.tmp"))
+
+
+def test_concurrent_writers_all_survive(spark, tmp_path):
+    path = str(tmp_path / "snap")
+    with ThreadPoolExecutor(6) as pool:
+        list(pool.map(lambda i: sn.write_topic_snapshot(snapshot(spark, f"t{i}", T0, i), path), range(12)))
+    assert sorted(r.v for r in sn.read_topic_snapshot(spark, path).collect()) == list(range(12))
+    assert cl.versions(spark, path) == list(range(1, 13))
+    with ThreadPoolExecutor(4) as pool:
+        list(pool.map(lambda i: sn.merge_state(spark.createDataFrame([(i % 3, i)], "k int, v int"), ["k"], lambda d: sf.latest_state(d, ["k"], ["v"]), str(tmp_path / "state"), 2), range(9)))
+    assert sorted(map(tuple, sn.read_state(spark, str(tmp_path / "state")).select("k", "v").collect())) == [(0, 6), (1, 7), (2, 8)]
+
+
+def test_old_versions_go_and_snapshots_stay(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(cl, "KEPT", 3)
+    monkeypatch.setattr(sn, "MERGE_AFTER", 4)
+    path = str(tmp_path / "snap")
+    for day in range(9):
+        sn.write_topic_snapshot(snapshot(spark, "en", T0 + dt.timedelta(day), day), path)
+    assert len(cl.versions(spark, path)) == 3 and len(list(tmp_path.glob("snap/data/*"))) <= 10
+    assert sorted(r.v for r in sn.read_snapshots(spark, path).collect()) == list(range(9))
+    runs = spark.createDataFrame([("en", T0 + dt.timedelta(days=d, hours=5)) for d in (0, 4, 20)] + [("fr", T0)], "topic string, run_at timestamp")
+    assert sorted((r.run_at.day, r.v) for r in sn.snapshots_as_of(sn.read_snapshots(spark, path), runs, 48).collect()) == [(1, 0), (5, 4)]
+    sn.expire_snapshots(spark, path, F.lit("2024-01-06").cast("timestamp"))
+    assert sorted(r.v for r in sn.read_snapshots(spark, path).collect()) == [5, 6, 7, 8]
+
+
+def test_keyed_state_writes_only_the_buckets_of_a_batch(spark, tmp_path):
+    path, merge = str(tmp_path / "state"), lambda d: sf.latest_state(d, ["k"], ["at"])
+    sn.merge_state(spark.range(2000).select(F.col("id").alias("k"), F.lit(1).alias("at")), ["k"], merge, path, 64)
+    before = cl.state(spark, path)[1]
+    sn.merge_state(spark.createDataFrame([(7, 2)], "k long, at int"), ["k"], merge, path, 64)
+    after = cl.state(spark, path)[1]
+    changed = [b for b in after if after[b] != before[b]]
+    assert len(changed) == 1 and spark.read.parquet(f"{path}/{after[changed[0]]}").count() < 100
+    got = sn.read_state(spark, path)
+    assert got.count() == 2000 and got.filter("at = 2").count() == 1
