@@ -23,10 +23,10 @@ def _built(s, d):
 
 
 def history(s, d):
-    """Written and found snapshots: all topics on the 20th, German stories up to the 28th, English and French ones up to the 30th at six."""
+    """Written and found snapshots: all topics on the 20th, the German one on the 28th, the English and French ones on the 30th; each of the rows of the days before."""
     path = f"{shared_dir(s)}/snapshots-{uuid.uuid4().hex}"
-    for at, topics in (("2024-01-20 00:00:00", ["en", "fr", "de", "es"]), ("2024-01-28 00:00:00", ["de"]), ("2024-01-30 06:00:00", ["en", "fr"])):
-        rows = bq.state_before(s, d, at).filter(F.col("topic").isin(topics))
+    for at, until, topics in (("2024-01-20 00:00:00", "2024-01-20", ["en", "fr", "de", "es"]), ("2024-01-28 00:00:00", "2024-01-16", ["de"]), ("2024-01-30 06:00:00", "2024-01-22", ["en", "fr"])):
+        rows = bq.state_before(s, d, until).filter(F.col("topic").isin(topics))
         snapshots.write_topic_snapshot(rows.withColumns({c: ad.now(at) for c in ("first_seen", "last_updated", "generated_at")}), path)
     return snapshots.read_snapshots(s, path)
 

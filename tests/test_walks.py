@@ -12,7 +12,9 @@ from storyspark.operators import briefings as br
 from storyspark.operators import changes as ch
 from storyspark.operators import near_duplicates as nd
 from storyspark.operators import similar as sim
+from storyspark.operators import stories as st
 from storyspark.plans import briefing_queries as bq
+from storyspark.plans import card_queries as cq
 from storyspark.plans import story_queries as sy
 
 SF = "/root/testdata/sf0.001"
@@ -155,3 +157,41 @@ def check_feed(scored):
     got = [(r.client, r.topic_key, r.cluster_no, round(r.score, 9), tuple(r.also)) for r in br.dedupe_feed(scored).collect()]
     assert sorted(got) == sorted(want)
     return got
+
+
+def test_briefings_on_their_history(spark):
+    """Statuses against plain matches with each topic's snapshot, labels by that snapshot's own time, counts by topic."""
+    b = cq.built_on_history(spark, SF)
+    now = datetime(2024, 1, 31)
+    state, prior = b["state"].collect(), b["prior"].collect()
+    times = {r.topic: r.generated_at for r in prior}
+    assert times == {"en": datetime(2024, 1, 30, 6), "fr": datetime(2024, 1, 30, 6), "de": datetime(2024, 1, 28)}  # the Spanish one is too old
+    of = {c: p for c, p, _ in plain_matches(state, prior)}
+    by, old = {r.cluster_no: r for r in state}, {r.cluster_no: r for r in prior}
+    names = lambda x: {s.strip().lower() for s in x} - {""}
+
+    def status(c):
+        p = old.get(of.get(c.cluster_no))
+        if p is None:
+            return "new"
+        return "updated" if c.content_hash != p.content_hash or set(c.urls) - set(p.urls) or names(c.sources) != names(p.sources) else "ongoing"
+
+    want = {c: status(r) for c, r in by.items()}
+    assert {r.cluster_no: r.status for r in b["changes"].collect()} == want and {"new", "updated", "ongoing"} == set(want.values())
+    cards = b["cards"].collect()
+    assert all(r.status == want[r.cluster_no] for r in cards)
+    for r in b["whats_new"].collect():
+        label = {"en": "What's new since yesterday", "fr": "What's new since yesterday", "de": "What's new since 3 days ago", "es": "What's new (first briefing for this topic)"}[r.topic]
+        mine = [c.status for c in cards if c.topic == r.topic]
+        assert (r.label, r.n_new, r.n_updated, r.n_ongoing) == (label, *[mine.count(s) for s in ("new", "updated", "ongoing")])
+    exact, after = st.distinct_articles(sy.normalized(spark, SF), sy.NEAR_CONFIG)
+    near = {(r.a, r.b) for r in sim.similar_pairs(exact, 0.75, sim.headline(), within=["source_name"]).collect()}
+    assert sorted(r.ordinal for r in after.collect()) == plain_collapse(exact.collect(), near)
+    decided = {r.cluster_no: r.decision for r in b["plan"].collect()}
+    stats = {r.topic: r for r in b["stats"].collect()}
+    for topic, r in stats.items():
+        mine = [decided[c] for c, s in by.items() if s.topic == topic]
+        assert (r.calls, r.hits) == (mine.count("compute"), len(mine) - mine.count("compute"))
+    snapshot = {r.cluster_no: r for r in b["snapshot"].collect()}
+    assert set(snapshot) == set(by) and {r.generated_at for r in snapshot.values()} == {now}
+    assert all(snapshot[c].stable_id == old[p].stable_id for c, p in of.items())
