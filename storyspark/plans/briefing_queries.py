@@ -32,8 +32,10 @@ def _state(members):
     return materialize(ch.story_state(members).join(reps, "cluster_no"), "state")
 
 
-def state_before(s, d, at):
-    return _state(_members(s, d, at))
+def state_of(s, d, known):
+    """Story states of the articles that meet a condition."""
+    rows = materialize(ar.dedupe_best_by_url(sy.normalized(s, d).filter(known)), "deduped")
+    return _state(materialize(st.cluster_articles(rows, sy.THRESHOLD), "members"))
 
 
 def both_states(s, d):
