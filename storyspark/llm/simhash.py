@@ -134,30 +134,36 @@ def simhash_components(docs: DataFrame) -> DataFrame:
     Repeated rows stay, in one component. Rows with a null id link too but lend no id: a component
     of such rows alone has a null component_id. text_key is the text's xxhash64.
     """
+    return _rooted(docs).select("doc_id", "text_key", "fp", "component_id")
+
+
+def _rooted(docs: DataFrame) -> DataFrame:
+    """``simhash_components`` with root, a fingerprint that is the component's own."""
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("text_key", F.xxhash64("text"))
     rows = materialize(with_fingerprint(named, ["doc_id", "text_key"]), "fingerprints")
     classes = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
     roots = connected_components(linked(classes.select("fp")), "a", "b")
     whole = materialize(classes.join(roots, classes.fp == roots.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("root")), "roots")
-    known = whole.select("fp", "root").join(whole.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
-    return rows.join(known, "fp").select("doc_id", "text_key", "fp", "component_id")
+    known = whole.select("fp", "root").join(whole.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "root", "component_id")
+    return rows.join(known, "fp").select("doc_id", "text_key", "fp", "root", "component_id")
 
 
 def keep_one_per_component(docs: DataFrame, columns: list[str]) -> DataFrame:
-    """``columns`` of one row of each component: that of the least id.
+    """``columns`` of one row of each component: that of its least id.
 
     Of several rows with that id in the component, the one of least text key stays, and of its
-    exact repeats the least in the other columns. Rows with a null id all stay: no decision can name
-    them. Texts are shuffled once, to their ids.
+    exact repeats the least in the other columns. An id that is the least one of several components keeps a row in
+    each. Rows with a null id all stay: no decision can name them. Texts are shuffled once, to their ids.
     """
-    found = simhash_components(docs).filter("doc_id = component_id").groupBy("doc_id", "text_key").agg(F.count("*").alias("copies"))
-    keepers = materialize(found.groupBy("doc_id").agg(F.min(F.struct("text_key", "copies")).alias("k")).select("doc_id", "k.*"), "keepers")
+    found = _rooted(docs).filter("doc_id = component_id").groupBy("root", "doc_id", "text_key").agg(F.count("*").alias("copies"))
+    keepers = found.groupBy("root", "doc_id").agg(F.min(F.struct("text_key", "copies")).alias("k")).select("doc_id", "k.*")
+    keepers = materialize(keepers, "keepers")
     rows = docs.select(*columns).filter("doc_id is not null").withColumn("text_key", F.xxhash64(F.coalesce("text", F.lit(""))))
     rows = rows.join(keepers, ["doc_id", "text_key"])
     once = rows.filter("copies = 1").select(*columns).unionByName(docs.select(*columns).filter("doc_id is null"))
     if not keepers.filter("copies > 1").head(1):
         return once
-    repeated = rows.filter("copies > 1").groupBy("doc_id").agg(F.min(F.struct(*[c for c in columns if c != "doc_id"])).alias("least"))
+    repeated = rows.filter("copies > 1").groupBy("doc_id", "text_key").agg(F.min(F.struct(*[c for c in columns if c != "doc_id"])).alias("least"))
     return once.unionByName(repeated.select("doc_id", "least.*").select(*columns))
 
 

@@ -140,3 +140,10 @@ def test_top_k_of_nothing(spark):
 def test_products_beyond_doubles():
     q = np.array([[2.0**40, 3.0]])
     assert top_k.products(q, np.array([[2.0**20, 5.0]]))[0, 0] == 2**60 + 15
+
+
+def test_an_id_that_leads_two_components_keeps_both(spark):
+    texts = {1: ["one two three four five six seven eight", "quite another text with nothing in common at all"], 2: ["one two three four five six seven eight"], 3: ["a third text of its own that stands alone"]}
+    rows = [(i, t, k) for i, ts in texts.items() for k, t in enumerate(ts)] + [(1, texts[1][1], 5)]
+    kept = simhash.keep_one_per_component(spark.createDataFrame(rows, "doc_id long, text string, copies int"), ["doc_id", "text", "copies"]).collect()
+    assert sorted(map(tuple, kept)) == sorted([(1, texts[1][0], 0), (1, texts[1][1], 1), (3, texts[3][0], 0)])
