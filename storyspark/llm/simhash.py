@@ -155,16 +155,16 @@ def keep_one_per_component(docs: DataFrame, columns: list[str]) -> DataFrame:
     exact repeats the least in the other columns. An id that is the least one of several components keeps a row in
     each. Rows with a null id all stay: no decision can name them. Texts are shuffled once, to their ids.
     """
-    found = _rooted(docs).filter("doc_id = component_id").groupBy("root", "doc_id", "text_key").agg(F.count("*").alias("copies"))
-    keepers = found.groupBy("root", "doc_id").agg(F.min(F.struct("text_key", "copies")).alias("k")).select("doc_id", "k.*")
+    found = _rooted(docs).filter("doc_id = component_id").groupBy("root", "doc_id", "text_key").agg(F.count("*").alias("__copies"))
+    keepers = found.groupBy("root", "doc_id").agg(F.min(F.struct(F.col("text_key").alias("__text_key"), "__copies")).alias("k")).select("doc_id", "k.*")
     keepers = materialize(keepers, "keepers")
-    rows = docs.select(*columns).filter("doc_id is not null").withColumn("text_key", F.xxhash64(F.coalesce("text", F.lit(""))))
-    rows = rows.join(keepers, ["doc_id", "text_key"])
-    once = rows.filter("copies = 1").select(*columns).unionByName(docs.select(*columns).filter("doc_id is null"))
-    if not keepers.filter("copies > 1").head(1):
+    rows = docs.select(*columns).filter("doc_id is not null").withColumn("__text_key", F.xxhash64(F.coalesce("text", F.lit(""))))
+    rows = rows.join(keepers, ["doc_id", "__text_key"])
+    once = rows.filter("__copies = 1").select(*columns).unionByName(docs.select(*columns).filter("doc_id is null"))
+    if not keepers.filter("__copies > 1").head(1):
         return once
-    repeated = rows.filter("copies > 1").groupBy("doc_id", "text_key").agg(F.min(F.struct(*[c for c in columns if c != "doc_id"])).alias("least"))
-    return once.unionByName(repeated.select("doc_id", "least.*").select(*columns))
+    repeated = rows.filter("__copies > 1").groupBy("doc_id", "__text_key").agg(F.min(F.struct(*[c for c in columns if c != "doc_id"])).alias("least"))
+    return once.unionByName(repeated.select("doc_id", F.col("least").alias("__least")).select(*[F.col("doc_id") if c == "doc_id" else F.col("__least")[c].alias(c) for c in columns]))
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
