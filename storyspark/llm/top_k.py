@@ -47,11 +47,11 @@ def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return np.lexsort((ids, -scores))[:k]
 
 
-def search_group(q: np.ndarray, q_ids: np.ndarray, bounds: np.ndarray, p: np.ndarray, p_ids: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each query: its position, and ids and scores of the k best of one block that reach its bound."""
+def search_group(q: np.ndarray, q_rows: np.ndarray, bounds: np.ndarray, p: np.ndarray, p_ids: np.ndarray, p_rows: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each query: its position, and ids, rows and scores of the k best of one block, but for its own row, that reach its bound."""
     p_norm, q_norm = np.sqrt((p.astype(float) ** 2).sum(axis=1)), np.sqrt((q.astype(float) ** 2).sum(axis=1))
     order = np.argsort(-p_norm, kind="stable")
-    p, p_ids, p_norm = p[order], p_ids[order], p_norm[order]
+    p, p_ids, p_rows, p_norm = p[order], p_ids[order], p_rows[order], p_norm[order]
     unit = p / np.maximum(p_norm, 1e-300)[:, None]
     slack = 1 + 1e-9  # bounds are doubles: keep what lies on them
     for i in range(len(q)):
@@ -74,23 +74,22 @@ def search_group(q: np.ndarray, q_ids: np.ndarray, bounds: np.ndarray, p: np.nda
             at = np.arange(np.searchsorted(-p_norm * q_norm[i] * slack, -bound, side="right"))
         else:
             at = np.arange(len(p))
-        at = at[p_ids[at] != q_ids[i]]
+        at = at[p_rows[at] != q_rows[i]]
         scores = products(q[i : i + 1], p[at])[0]
         top = best(scores, p_ids[at], k)
         top = top[scores[top] >= bound]
         if len(top):
-            yield i, p_ids[at][top], scores[top]
+            yield i, p_ids[at][top], p_rows[at][top], scores[top]
 
 
 def integer_vectors(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """id, v (array of floor(256 x) as double) and norm2 of the rows that take part, one for an id."""
+    """id, v (array of floor(256 x) as double) and norm2 of the rows that take part; repeats of an id with its vector once."""
     x = F.col("v").cast("array<double>")
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"))
     rows = rows.filter(F.col("id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0))
     rows = rows.filter(F.forall(x, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) != F.lit(float("inf")))))
     rows = rows.select("id", F.transform(x, lambda e: F.floor(e * 256).cast("double")).alias("v"))
-    rows = rows.groupBy("id").agg(F.min("v").alias("v"))
-    return rows.withColumn("norm2", F.aggregate("v", F.lit(0.0), lambda a, e: a + e * e))
+    return rows.distinct().withColumn("norm2", F.aggregate("v", F.lit(0.0), lambda a, e: a + e * e))
 
 
 def _band(norm2: Column) -> Column:
@@ -103,13 +102,15 @@ def _rows(batch: pa.RecordBatch, name: str) -> np.ndarray:
 
 
 def top_k(vectors: DataFrame, queries: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 5) -> DataFrame:
-    """query_id, rank, id, score: the k highest inner products of each query with rows of other ids.
+    """query_id, rank, id, score: the k highest inner products of each query with all rows but its own.
 
     ``queries`` marks the rows that ask (a condition on ``id``). Null vectors, empty ones and those
     with null or non-finite components take no part; products are taken within one dimension.
-    Rows that share an id count once, as the least vector. An empty table gives an empty result.
+    Rows that share an id with different vectors are rows of their own, as candidates and as queries (each such query has
+    its ranks); exact repeats count once. An empty table gives an empty result.
     """
-    rows = materialize(integer_vectors(vectors, id_col, vector_col).withColumns({"dim": F.size("v"), "band": _band(F.col("norm2"))}), "vectors")
+    rows = integer_vectors(vectors, id_col, vector_col).withColumns({"dim": F.size("v"), "band": _band(F.col("norm2")), "row": F.monotonically_increasing_id()})
+    rows = materialize(rows, "vectors")
     parts = []
     for dim in [r.dim for r in rows.select("dim").distinct().collect()]:  # as many jobs as there are dimensions
         parts.append(_one_dimension(rows.filter(F.col("dim") == dim), queries, k))
@@ -124,21 +125,21 @@ def top_k(vectors: DataFrame, queries: Column, id_col: str = "vec_id", vector_co
 
 def _one_dimension(rows: DataFrame, queries: Column, k: int) -> DataFrame:
     spark = rows.sparkSession
-    probe = rows.orderBy(F.desc("norm2"), "id").limit(PROBES).select("id", "v").toPandas()  # a fixed number of rows
-    probe_ids, probe_v = probe["id"].to_numpy(), np.stack(probe["v"].to_numpy())
+    probe = rows.orderBy(F.desc("norm2"), "id").limit(PROBES).select("row", "v").toPandas()  # a fixed number of rows
+    probe_rows, probe_v = probe["row"].to_numpy(), np.stack(probe["v"].to_numpy())
 
     def first_bounds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
                 continue
-            ids, q = b.column("id").to_numpy(), _rows(b, "v")
+            own, q = b.column("row").to_numpy(), _rows(b, "v")
             s = products(q, probe_v).astype(float)
-            s[ids[:, None] == probe_ids[None, :]] = -np.inf
+            s[own[:, None] == probe_rows[None, :]] = -np.inf
             kth = np.partition(s, -k, axis=1)[:, -k] if s.shape[1] >= k else np.full(len(s), -np.inf)
             kth = np.where(np.isfinite(kth), np.floor(kth - np.abs(kth) * 1e-15), -np.inf)
-            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("v"), b.column("norm2"), pa.array(kth)], names=["query_id", "q", "q_norm2", "bound"])
+            yield pa.RecordBatch.from_arrays([b.column("row"), b.column("id"), b.column("v"), b.column("norm2"), pa.array(kth)], names=["query", "query_id", "q", "q_norm2", "bound"])
 
-    asked = materialize(rows.filter(queries).select("id", "v", "norm2").mapInArrow(first_bounds, "query_id long, q array<double>, q_norm2 double, bound double"), "queries")
+    asked = materialize(rows.filter(queries).select("row", "id", "v", "norm2").mapInArrow(first_bounds, "query long, query_id long, q array<double>, q_norm2 double, bound double"), "queries")
     # at most BANDS * 2048 bands exist for doubles, of vectors and of the lengths that queries ask for
     need = F.col("bound") / F.sqrt("q_norm2")
     asked = asked.withColumn("need", F.when((F.col("bound") > 0) & (F.col("q_norm2") > 0), _band(need * need)).otherwise(-1))
@@ -148,25 +149,27 @@ def _one_dimension(rows: DataFrame, queries: Column, k: int) -> DataFrame:
     if not meet:
         return spark.createDataFrame([], "query_id long, rank int, id long, score long")
     plan = F.broadcast(spark.createDataFrame(meet, "band int, blocks int, longest double, need int, query_blocks int"))
-    block, query_block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"), F.pmod(F.xxhash64("query_id"), F.col("query_blocks")).cast("int")
-    candidates = rows.select("band", "id", "v").join(plan, "band").select("band", "need", block.alias("block"), F.explode(F.sequence(F.lit(0), F.col("query_blocks") - 1)).alias("query_block"), "id", "v")
+    block, query_block = F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int"), F.pmod(F.xxhash64("query"), F.col("query_blocks")).cast("int")
+    candidates = rows.select("band", "row", "id", "v").join(plan, "band").select("band", "need", block.alias("block"), F.explode(F.sequence(F.lit(0), F.col("query_blocks") - 1)).alias("query_block"), "row", "id", "v")
     sent = asked.join(plan, "need").filter(F.col("bound") <= F.sqrt("q_norm2") * F.sqrt("longest") * (1 + 1e-9))
-    sent = sent.select("band", "need", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), query_block.alias("query_block"), "query_id", "q", "bound")
+    sent = sent.select("band", "need", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), query_block.alias("query_block"), "query", "query_id", "q", "bound")
 
     def group(q: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
-        out: dict[str, list] = {"query_id": [], "id": [], "score": []}
+        out: dict[str, list] = {"query": [], "query_id": [], "id": [], "row": [], "score": []}
         if len(q) and len(p):
-            q_ids = q["query_id"].to_numpy()
-            for i, ids, scores in search_group(np.stack(q["q"].to_numpy()), q_ids, q["bound"].to_numpy(), np.stack(p["v"].to_numpy()), p["id"].to_numpy(), k):
+            q_rows, q_ids = q["query"].to_numpy(), q["query_id"].to_numpy()
+            for i, ids, found, scores in search_group(np.stack(q["q"].to_numpy()), q_rows, q["bound"].to_numpy(), np.stack(p["v"].to_numpy()), p["id"].to_numpy(), p["row"].to_numpy(), k):
+                out["query"] += [q_rows[i]] * len(ids)
                 out["query_id"] += [q_ids[i]] * len(ids)
                 out["id"] += ids.tolist()
+                out["row"] += found.tolist()
                 out["score"] += scores.tolist()
         return pd.DataFrame(out).astype("int64")
 
     keys = ["band", "need", "block", "query_block"]
-    found = sent.groupBy(*keys).cogroup(candidates.groupBy(*keys)).applyInPandas(group, T.StructType([T.StructField(c, T.LongType()) for c in ("query_id", "id", "score")]))
+    found = sent.groupBy(*keys).cogroup(candidates.groupBy(*keys)).applyInPandas(group, T.StructType([T.StructField(c, T.LongType()) for c in ("query", "query_id", "id", "row", "score")]))
     # the k best of all blocks: sorted short lists, merged before and after the shuffle
-    listed = found.groupBy("query_id").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("less"), "id", "score"))), 1, k).alias("top"))
+    listed = found.groupBy("query", "query_id").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("less"), "id", "row", "score"))), 1, k).alias("top"))
     out = listed.select("query_id", F.posexplode("top").alias("at", "t"))
     return out.select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("t.id").alias("id"), F.col("t.score").alias("score"))
 

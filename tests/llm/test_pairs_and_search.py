@@ -147,3 +147,12 @@ def test_an_id_that_leads_two_components_keeps_both(spark):
     rows = [(i, t, k) for i, ts in texts.items() for k, t in enumerate(ts)] + [(1, texts[1][1], 5)]
     kept = simhash.keep_one_per_component(spark.createDataFrame(rows, "doc_id long, text string, copies int"), ["doc_id", "text", "copies"]).collect()
     assert sorted(map(tuple, kept)) == sorted([(1, texts[1][0], 0), (1, texts[1][1], 1), (3, texts[3][0], 0)])
+
+
+def test_all_vectors_of_a_repeated_id_are_found(spark):
+    rows = [(0, [1.0, 1.0]), (1, [0.5, 0.5]), (1, [0.9, 0.9]), (1, [0.9, 0.9]), (2, [0.1, 0.1]), (50, [1.0, 0.0]), (50, [0.0, 2.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = sorted((a.query_id, a["rank"], a.id, a.score) for a in top_k.top_k(df, F.col("id") == 0, k=3).collect())
+    assert got == [(0, 1, 50, 131072), (0, 2, 1, 117760), (0, 3, 1, 65536)]
+    own = [(a["rank"], a.id, a.score) for a in top_k.top_k(df, F.col("id") == 50, k=1).collect()]
+    assert sorted(own) == [(1, 0, 65536), (1, 0, 131072)]
