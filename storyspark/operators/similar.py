@@ -8,6 +8,7 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from storyspark.functions.text import clamp01, containment, jaccard, significant, similarity_tokens
 from storyspark.plans.cutting import materialize
@@ -80,6 +81,30 @@ def headline(title: str = "title") -> Metric:
     return Metric({"title": t, "significant": significant(t)}, headline_score, lambda t: max(0.0, (t - 0.1) / 0.7))
 
 
+def equality_key(struct: str, schema: T.StructType) -> Column:
+    """Equal for rows that no score of a metric tells apart: its columns, sets in one order."""
+    parts = [F.array_sort(F.col(f"{struct}.{f.name}")) if f.dataType.typeName() == "array" else F.col(f"{struct}.{f.name}") for f in schema.fields]
+    return F.sha2(F.to_json(F.struct(*parts), {"ignoreNullFields": "false"}), 256)
+
+
+def copy_classes(df: DataFrame, metric: Metric, within: list[str] = ["topic"], id_col: str = "ordinal") -> DataFrame:
+    """id, class (the least id of the rows of a ``within`` group that are equal to the metric), copies, and alike, the score of two of them."""
+    rows = df.select(F.col(id_col).alias("id"), *within, F.struct(*[c.alias(n) for n, c in metric.columns.items()]).alias("s"))
+    rows = rows.withColumn("key", equality_key("s", rows.schema["s"].dataType))
+    by = rows.groupBy(*within, "key").agg(F.min("id").alias("class"), F.count("*").alias("copies"), F.first("s").alias("s"))
+    by = by.select(*within, "key", "class", "copies", metric.score(F.col("s"), F.col("s")).alias("alike"))
+    same = [rows[c].eqNullSafe(by[c]) for c in [*within, "key"]]
+    met = rows.join(by, same[0] if len(same) == 1 else _conjunction(same))
+    return met.select("id", "class", "copies", "alike")
+
+
+def _conjunction(conditions: list[Column]) -> Column:
+    out = conditions[0]
+    for c in conditions[1:]:
+        out = out & c
+    return out
+
+
 def similar_pairs(df: DataFrame, threshold: float, metric: Metric | None = None, within: list[str] = ["topic"], id_col: str = "ordinal") -> DataFrame:
     """a, b (a < b), score: pairs of rows that agree in ``within`` and reach the threshold; exact.
 

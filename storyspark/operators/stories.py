@@ -15,18 +15,28 @@ from storyspark.functions.text import clamp01, round_k, short_hash, similarity_t
 from storyspark.operators.articles import dedupe_best_by_url, relevance, tier_score
 from storyspark.operators.components import connected_components
 from storyspark.operators.near_duplicates import collapse_near_duplicates
-from storyspark.operators.similar import Metric, lexical, similar_pairs
+from storyspark.operators.similar import Metric, copy_classes, equality_key, lexical, similar_pairs
 from storyspark.plans.cutting import materialize
 
 
 
 def cluster_articles(df: DataFrame, threshold: float, metric: Metric | None = None) -> DataFrame:
-    """df with cluster_no, the least ordinal of its component within its topic; singletons are clusters."""
-    found = connected_components(similar_pairs(df, threshold, metric), "a", "b")
-    return df.join(found, df.ordinal == found.node, "left").withColumn("cluster_no", F.coalesce("component", "ordinal")).drop("node", "component")
+    """df with cluster_no, the least ordinal of its component within its topic; singletons are clusters.
+
+    Rows of a topic that are equal to the metric are one class, searched once and never paired with each other, so
+    the work grows with the different texts. Copies that don't reach the threshold with each other still
+    meet in a class that both are linked to.
+    """
+    metric = metric or lexical()
+    classes = materialize(copy_classes(df, metric), "copies")
+    firsts = df.join(classes.filter("id = class").select(F.col("id").alias("ordinal")), "ordinal", "left_semi")
+    found = connected_components(similar_pairs(firsts, threshold, metric), "a", "b")
+    own = F.when(F.col("alike") >= threshold, F.col("class")).otherwise(F.col("id"))
+    number = classes.join(found, F.col("class") == F.col("node"), "left").select("id", F.coalesce("component", own).alias("cluster_no"))
+    return df.join(number, F.col("ordinal") == F.col("id"), "left").drop("id")
 
 
-#: Members in a block of a tile.
+#: Rows in a block of a tile.
 COHESION_BLOCK = 512
 
 
@@ -44,7 +54,7 @@ def _shared(left: pd.Series, right: pd.Series) -> np.ndarray:
 
 
 def _tile_sum(pdf: pd.DataFrame, names: list[str], matrix: Callable) -> tuple[int, int]:
-    """The sum of the scores of a tile's pairs, in units of 1e-9, and their number."""
+    """The sum of the scores of a tile's pairs of members, in units of 1e-9, and their number; a row stands for n members."""
     low = pdf["mine"] == pdf["low"].iloc[0]
     same = pdf["low"].iloc[0] == pdf["high"].iloc[0]
     left, right = pdf[low], pdf if same else pdf[~low]
@@ -53,37 +63,49 @@ def _tile_sum(pdf: pd.DataFrame, names: list[str], matrix: Callable) -> tuple[in
     sets = [c for c in names if hasattr(pdf[c].iloc[0], "__len__")]
     sides = [{c: x[c].map(len).to_numpy() if c in sets else x[c].to_numpy() for c in names} for x in (left, right)]
     units = np.floor(matrix(*sides, {c: _shared(left[c], right[c]) for c in sets}) * 1e9 + 0.5).astype(np.int64)
-    once = left["ordinal"].to_numpy()[:, None] < right["ordinal"].to_numpy()[None, :] if same else np.ones(units.shape, bool)
-    return int(units[once].sum()), int(once.sum())
+    n, m = left["n"].to_numpy(), right["n"].to_numpy()
+    pairs = n[:, None] * m[None, :]
+    if same:
+        x, y = left["ordinal"].to_numpy()[:, None], right["ordinal"].to_numpy()[None, :]
+        pairs = np.where(x < y, pairs, np.where(x == y, (n * (n - 1) // 2)[:, None], 0))
+    if int(pairs.sum()) < 2**32:  # a unit is below 2^30, so the sum fits
+        return int((units * pairs).sum()), int(pairs.sum())
+    return sum(int(u) * int(p) for u, p in zip(units.ravel(), pairs.ravel(), strict=True)), int(pairs.sum())
 
 
 def cluster_cohesion(members: DataFrame, metric: Metric | None = None) -> DataFrame:
     """cluster_no, similarity_score: mean over all pairs of members, not only linked ones; 1 for one member.
 
-    The definition asks for the square of a cluster. Its members are dealt into blocks, any two of which
-    make a tile: one product of matrices over the values that they share, so no task holds a whole
-    cluster. A metric without a ``matrix`` is worked out pair by pair.
+    The definition asks for the square of a cluster. Members that are equal to the metric are one row with their
+    number. Rows are dealt into blocks, any two of which make a tile: one product of matrices over the
+    values that they share, so no task holds a whole cluster. A metric without a ``matrix`` is worked out pair
+    by pair.
     """
     metric = metric or lexical()
-    rows = members.select("cluster_no", "ordinal", *[c.alias(n) for n, c in metric.columns.items()])
-    sizes = rows.groupBy("cluster_no").agg(F.ceil(F.count("*") / COHESION_BLOCK).cast("int").alias("blocks"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    every = members.select("cluster_no", "ordinal", F.struct(*[c.alias(n) for n, c in metric.columns.items()]).alias("s"))
+    every = every.groupBy("cluster_no", equality_key("s", every.schema["s"].dataType).alias("key")).agg(F.min("ordinal").alias("ordinal"), F.count("*").alias("n"), F.first("s").alias("s"))
+    whole = every.groupBy("cluster_no").agg(F.sum("n").alias("members")).filter("members > 1").drop("members")
+    every = materialize(every.join(whole, "cluster_no").drop("key"), "distinct_members")
+    rows = every.select("cluster_no", "ordinal", "n", "s.*")
+    sizes = rows.groupBy("cluster_no").agg(F.ceil(F.count("*") / COHESION_BLOCK).cast("int").alias("blocks"))
     if metric.matrix is None:
-        rows = rows.select("cluster_no", "ordinal", F.struct(*metric.columns).alias("s"))
-        left, right = rows.select("cluster_no", F.col("ordinal").alias("a"), F.col("s").alias("sa")), rows.select("cluster_no", F.col("ordinal").alias("b"), F.col("s").alias("sb"))
-        pairs = left.join(right, "cluster_no").filter(F.col("a") < F.col("b"))
-        sums = pairs.groupBy("cluster_no").agg(F.sum(round_k(metric.score(F.col("sa"), F.col("sb")), 9).cast("decimal(20,9)")).cast("double").alias("total"), F.count("*").alias("pairs"))
+        left, right = (every.select("cluster_no", F.col("ordinal").alias(x), F.col("s").alias(f"s{x}"), F.col("n").alias(f"n{x}")) for x in "ab")
+        pairs = left.join(right, "cluster_no").filter(F.col("a") <= F.col("b"))
+        times = F.when(F.col("a") == F.col("b"), F.expr("na * (na - 1) div 2")).otherwise(F.col("na") * F.col("nb"))
+        score = round_k(metric.score(F.col("sa"), F.col("sb")), 9).cast("decimal(10,9)")
+        sums = pairs.withColumn("times", times).groupBy("cluster_no").agg(F.sum(score * F.col("times").cast("decimal(19,0)")).cast("double").alias("total"), F.sum("times").alias("pairs"))
     else:
         placed = rows.join(sizes, "cluster_no").withColumn("mine", F.pmod(F.xxhash64("ordinal"), F.col("blocks")).cast("int"))
         sent = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        sent = sent.select("cluster_no", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"), "mine", "ordinal", *metric.columns)
+        sent = sent.select("cluster_no", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"), "mine", "ordinal", "n", *metric.columns)
 
         names, matrix = list(metric.columns), metric.matrix
 
         def tile(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
             total, pairs = _tile_sum(pdf, names, matrix)
-            return pd.DataFrame({"cluster_no": [key[0]], "total": [total], "pairs": [pairs]})
+            return pd.DataFrame({"cluster_no": [key[0]], "total": [str(total)], "pairs": [pairs]})
 
-        tiles = sent.groupBy("cluster_no", "low", "high").applyInPandas(tile, T.StructType([members.schema["cluster_no"], T.StructField("total", T.LongType()), T.StructField("pairs", T.LongType())]))
+        tiles = sent.groupBy("cluster_no", "low", "high").applyInPandas(tile, T.StructType([members.schema["cluster_no"], T.StructField("total", T.StringType()), T.StructField("pairs", T.LongType())]))
         sums = tiles.groupBy("cluster_no").agg((F.sum(F.col("total").cast("decimal(38,0)")) / F.lit(10**9)).cast("double").alias("total"), F.sum("pairs").alias("pairs"))
     mean = sums.select("cluster_no", round_k(F.col("total") / F.col("pairs")).alias("mean"))
     return members.select("cluster_no").distinct().join(mean, "cluster_no", "left").select("cluster_no", F.coalesce("mean", F.lit(1.0)).alias("similarity_score"))

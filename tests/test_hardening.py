@@ -1,5 +1,6 @@
 """Inputs that operators met badly before: nulls, repeats, text keys, hot keys, interrupted writes."""
 
+import dataclasses
 import datetime as dt
 import random
 from concurrent.futures import ThreadPoolExecutor
@@ -10,6 +11,8 @@ from pyspark.sql import functions as F
 from storyspark.operators import briefings as br
 from storyspark.operators import limits
 from storyspark.operators import near_duplicates as nd
+from storyspark.operators import similar as sim
+from storyspark.operators import stories as st
 from storyspark.sources import commit_log as cl
 from storyspark.sources import snapshots as sn
 from storyspark.streaming import stateful as sf
@@ -130,3 +133,43 @@ def test_keyed_state_writes_only_the_buckets_of_a_batch(spark, tmp_path):
     assert len(changed) == 1 and spark.read.parquet(f"{path}/{after[changed[0]]}").count() < 100
     got = sn.read_state(spark, path)
     assert got.count() == 2000 and got.filter("at = 2").count() == 1
+
+
+def plain_clusters(rows, pairs):
+    of = {r[0]: r[0] for r in rows}
+    changed = True
+    while changed:
+        changed = False
+        for a, b in pairs:
+            low = min(of[a], of[b])
+            changed |= of[a] != low or of[b] != low
+            of[a] = of[b] = low
+    return of
+
+
+@pytest.mark.parametrize("threshold", [0.4, 0.75, 0.85])
+def test_clusters_and_cohesion_of_copies_equal_those_of_all_pairs(spark, threshold):
+    """At the higher thresholds copies without a snippet aren't linked with each other."""
+    r = random.Random(6)
+    words = "apple launch rocket market storm vote chips bank".split()
+    texts = [(" ".join(r.choice(words) for _ in range(r.randint(0, 5))), r.choice([None, "", "storm market falls"])) for _ in range(25)]
+    rows = [(i, r.choice(["en", "fr"]), *r.choice(texts)) for i in range(160)]
+    df = spark.createDataFrame(rows, "ordinal long, topic string, title string, snippet string")
+    pairs = [(p.a, p.b) for p in sim.similar_pairs(df, threshold).collect()]
+    want = plain_clusters(rows, pairs)
+    members = st.cluster_articles(df, threshold)
+    assert {x.ordinal: x.cluster_no for x in members.collect()} == want and members.columns == [*df.columns, "cluster_no"]
+    s = members.select("cluster_no", "ordinal", F.struct(*[c.alias(n) for n, c in sim.lexical().columns.items()]).alias("s")).alias("x")
+    every = s.join(s.alias("y"), F.col("x.cluster_no") == F.col("y.cluster_no")).filter("x.ordinal < y.ordinal")
+    mean = {m.c: m.m for m in every.groupBy(F.col("x.cluster_no").alias("c")).agg(F.avg(sim.lexical_score(F.col("x.s"), F.col("y.s"))).alias("m")).collect()}
+    for metric in (sim.lexical(), dataclasses.replace(sim.lexical(), matrix=None)):
+        got = {x.cluster_no: x.similarity_score for x in st.cluster_cohesion(members, metric).collect()}
+        assert set(got) == set(want.values()) and all(abs(v - mean.get(c, 1.0)) < 1e-4 for c, v in got.items())
+
+
+def test_ten_thousand_copies_cluster_in_proportion(spark):
+    copies = spark.range(10_000).select(F.col("id").alias("ordinal"), F.lit("en").alias("topic"), F.lit("Rocket launch draws crowds").alias("title"), F.lit("at the coast").alias("snippet"))
+    members = st.cluster_articles(copies, 0.5)
+    assert [(x.cluster_no, x["count"]) for x in members.groupBy("cluster_no").count().collect()] == [(0, 10_000)]
+    assert [x.similarity_score for x in st.cluster_cohesion(members).collect()] == [1.0]
+    assert sim.copy_classes(copies, sim.lexical()).select("class").distinct().count() == 1
