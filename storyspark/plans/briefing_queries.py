@@ -210,6 +210,24 @@ _FLAGS = f"""{_PAIRS}, fl AS (SELECT c.cluster_no, p.cluster_no AS prior_no, c.c
   c.content_hash <> p.content_hash AS hash_changed, coalesce(c.published_at > p.published_at, false) AS newer_coverage, c.headline AS ch, p.headline AS ph FROM pp JOIN cur c ON pp.cluster_no = c.cluster_no JOIN prv p ON pp.prior_no = p.cluster_no WHERE overlap >= 0.25),
 fm AS (SELECT *, hash_changed OR len(ua) > 0 OR len(sa) > 0 OR len(sr) > 0 AS material, list_filter([CASE WHEN headline_changed THEN 'Headline evolved: "' || ph || '" → "' || ch || '"' END, CASE WHEN len(sa) > 0 THEN 'New source coverage: ' || array_to_string(sa, ', ') END, CASE WHEN len(sr) > 0 THEN 'No longer covered by: ' || array_to_string(sr, ', ') END,
   CASE WHEN len(ua) > 0 THEN len(ua) || CASE WHEN len(ua) = 1 THEN ' new article added' ELSE ' new articles added' END END, CASE WHEN newer_coverage AND NOT headline_changed AND len(ua) = 0 THEN 'Newer reporting timestamps since last briefing' END], lambda x: x IS NOT NULL) AS parts FROM fl)"""
+#: Each topic's stories take their prior ones in turn: a fold over the topic with the prior ones that are taken.
+_MATCHED = f"""{_PAIRS}, cand AS (
+  SELECT topic, cluster_no, list({{'p': prior_no, 'o': overlap, 'g': overlap >= 0.25 OR of_smaller >= 0.5}} ORDER BY overlap DESC, prior_no) AS cs, row_number() OVER (PARTITION BY topic ORDER BY cluster_no) AS k FROM pp GROUP BY topic, cluster_no
+), mw(topic, k, cluster_no, used, pick) AS (
+  SELECT DISTINCT topic, CAST(0 AS BIGINT), CAST(NULL AS BIGINT), CAST([] AS BIGINT[]), CAST(NULL AS STRUCT(p BIGINT, o DOUBLE, g BOOLEAN)) FROM cand
+  UNION ALL
+  SELECT topic, k, cluster_no, CASE WHEN pick.g THEN list_append(used, pick.p) ELSE used END, pick
+  FROM (SELECT c.topic, c.k, c.cluster_no, mw.used, list_filter(c.cs, lambda x: NOT list_contains(mw.used, x.p))[1] AS pick FROM mw JOIN cand c ON c.topic = mw.topic AND c.k = mw.k + 1)
+), mt AS (SELECT cluster_no, pick.p AS prior_no, pick.o AS overlap FROM mw WHERE pick.g)"""
+_CLASSIFIED = (
+    _FLAGS.replace(_PAIRS, _MATCHED).replace("FROM pp JOIN cur c ON pp.cluster_no = c.cluster_no JOIN prv p ON pp.prior_no = p.cluster_no WHERE overlap >= 0.25", "FROM mt JOIN cur c ON mt.cluster_no = c.cluster_no JOIN prv p ON mt.prior_no = p.cluster_no")
+    + f""", cl AS (
+  SELECT c.topic, c.cluster_no, c.headline, CASE WHEN fm.prior_no IS NULL THEN 'new' WHEN material THEN 'updated' ELSE 'ongoing' END AS status, coalesce(p.stable_id, c.stable_id) AS stable_id,
+    CASE WHEN fm.prior_no IS NULL THEN {sq.NOW_TS} ELSE TIMESTAMP '{ad.SNAPSHOT_NOW}' END AS first_seen, CASE WHEN fm.prior_no IS NULL OR material THEN {sq.NOW_TS} ELSE TIMESTAMP '{ad.SNAPSHOT_NOW}' END AS last_updated,
+    fm.prior_no IS NULL OR material AS material, CASE WHEN fm.prior_no IS NULL THEN 'First seen in this briefing' WHEN material THEN CASE WHEN len(parts) > 0 THEN array_to_string(parts, '. ') WHEN hash_changed THEN 'Story content changed since last briefing' ELSE 'Story updated since last briefing' END END AS change_summary,
+    fm.prior_no, len(c.urls) AS n_urls
+  FROM cur c LEFT JOIN fm ON fm.cluster_no = c.cluster_no LEFT JOIN prv p ON p.cluster_no = fm.prior_no)"""
+)
 _INPUTS = f"""{sq.SCORED}, si AS (SELECT m.topic, m.cluster_no, list({{'source': left(source_name, 120), 'title': left(title, 400), 'description': left(coalesce(snippet, ''), 2000), 'url': url}} ORDER BY ordinal <> representative, coalesce(epoch_us(published_at), 0) DESC, ordinal)[1:6] AS articles FROM members m JOIN reps USING (cluster_no) GROUP BY ALL)"""
 _UT = """ut AS (SELECT user_id AS client, CASE event_type WHEN 'click' THEN 'en' WHEN 'view' THEN 'fr' WHEN 'purchase' THEN 'de' WHEN 'signup' THEN 'es' ELSE ' It  news' END AS topic, min(ts) AS created_at,
   row_number() OVER (PARTITION BY user_id ORDER BY min(ts), event_type) - 1 AS sort_order, CASE user_id % 3 WHEN 0 THEN 'daily' WHEN 1 THEN 'twice_daily' ELSE 'weekly' END AS frequency FROM events GROUP BY user_id, event_type)"""
@@ -229,14 +247,17 @@ _LATEST = "lo AS (SELECT o_custkey AS subscription_id, lower(o_orderpriority) AS
 
 QUERIES = {
     "prior_pairs": (q_prior_pairs, f"WITH RECURSIVE {_PAIRS} SELECT topic, cluster_no, prior_no, shared, {sq.rnd('overlap', 6)} AS overlap, {sq.rnd('of_smaller', 6)} AS of_smaller FROM pp"),
-    "match_prior_stories": (q_match_prior_stories, None),
+    "match_prior_stories": (q_match_prior_stories, f"WITH RECURSIVE {_MATCHED} SELECT cluster_no, prior_no, {sq.rnd('overlap', 6)} AS overlap FROM mt"),
     "material_change_flags": (
         q_material_change_flags,
         f"WITH RECURSIVE {_FLAGS} SELECT cluster_no, prior_no, CAST(len(ua) AS INTEGER) AS urls_added, CAST(len(ur) AS INTEGER) AS urls_removed, CAST(len(sa) AS INTEGER) AS sources_added, CAST(len(sr) AS INTEGER) AS sources_removed, headline_changed, hash_changed, newer_coverage, material, CASE WHEN len(parts) > 0 THEN array_to_string(parts, '. ') WHEN hash_changed THEN 'Story content changed since last briefing' ELSE 'Story updated since last briefing' END AS summary FROM fm",
     ),
-    "classify_changes": (q_classify_changes, None),
-    "whats_new": (q_whats_new, None),
-    "snapshot_from_cards": (q_snapshot_from_cards, None),
+    "classify_changes": (q_classify_changes, f"WITH RECURSIVE {_CLASSIFIED} SELECT * EXCLUDE (n_urls) FROM cl"),
+    "whats_new": (
+        q_whats_new,
+        f"WITH RECURSIVE {_CLASSIFIED} SELECT topic, 'What''s new since ' || CAST(floor(date_diff('hour', TIMESTAMP '{ad.SNAPSHOT_NOW}', {sq.NOW_TS}) / 24 + 0.5) AS INTEGER) || ' days ago' AS label, count(*) FILTER (status = 'new') AS n_new, count(*) FILTER (status = 'updated') AS n_updated, count(*) FILTER (status = 'ongoing') AS n_ongoing, CAST(count(*) FILTER (status <> 'ongoing') AS INTEGER) AS highlights FROM cl GROUP BY topic",
+    ),
+    "snapshot_from_cards": (q_snapshot_from_cards, f"WITH RECURSIVE {_CLASSIFIED} SELECT topic, cluster_no, stable_id, headline, first_seen, last_updated, CAST(n_urls AS INTEGER) AS n_urls FROM cl"),
     "plan_result_reuse": (
         q_plan_result_reuse,
         f"""WITH RECURSIVE {_FLAGS}, cache AS (SELECT DISTINCT content_hash FROM prv WHERE cluster_no % 6 = 0), dec AS (SELECT cluster_no, prior_no, content_hash, CASE WHEN NOT material THEN 'reuse_prior' WHEN content_hash IN (SELECT content_hash FROM cache) THEN 'cache_hit' ELSE 'compute' END AS d FROM fm)

@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ["story_queries", "log_queries", "eval_queries", "briefing_queries", "research_queries", "retrieval_queries", "card_queries"]
+MODULES = ["story_queries", "log_queries", "eval_queries", "briefing_queries", "research_queries", "retrieval_queries", "card_queries", "stream_queries"]
 
 
 def registered() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]:
