@@ -14,39 +14,66 @@ def _tag(item, name: str):
     return F.btrim(F.regexp_replace(raw, r"(?s)^\s*<!\[CDATA\[(.*?)\]\]>\s*$", "$1"), F.lit(" \t\n\r"))
 
 
+ITEM = r"(?is)(<item\b.*?</item>)"
+
+
+def _link(item):
+    return F.coalesce(F.nullif(_tag(item, "link"), F.lit("")), _tag(item, "guid"))
+
+
 def parse_feed(files: DataFrame, max_results: int = 50) -> DataFrame:
     """Article rows out of whole RSS files (columns path and value), the first ``max_results`` valid items of each.
 
     The file's stem is the topic. An item without title or http(s) url is skipped. The source is its
     <source>, else what follows the last " - " of the title, which is cut off there if it equals the source.
     A weekday in pubDate is ignored, as it may be wrong; a date that can't be read is null.
+    Each file is parsed by itself, so files may come as a stream.
     """
-    items = files.select(F.regexp_extract("path", r"([^/]+)\.[^./]+$", 1).alias("topic"), F.posexplode(F.regexp_extract_all("value", F.lit(r"(?is)(<item\b.*?</item>)"), 1)).alias("position", "item"))
+    every = F.transform(F.regexp_extract_all("value", F.lit(ITEM), 1), lambda x, i: F.struct(i.alias("position"), x.alias("item")))
+    valid = F.filter(every, lambda e: (strip_html(_tag(e["item"], "title")) != "") & valid_http_url(_link(e["item"])))
+    items = files.select(F.regexp_extract("path", r"([^/]+)\.[^./]+$", 1).alias("topic"), F.explode(F.slice(valid, 1, max_results)).alias("e")).select("topic", "e.*")
     i = F.col("item")
-    link = F.coalesce(F.nullif(_tag(i, "link"), F.lit("")), _tag(i, "guid"))
     title = strip_html(_tag(i, "title"))
     suffix = F.when(F.contains(title, F.lit(" - ")), F.trim(F.substring_index(title, " - ", -1)))
     source = F.coalesce(F.nullif(strip_html(_tag(i, "source")), F.lit("")), suffix, F.lit("Unknown"))
     html = _tag(i, "description")
     date = F.regexp_replace(_tag(i, "pubDate"), r"^\w{3},\s*", "")
     rows = items.select(
-        "topic", "position", link.alias("url"), title.alias("full_title"), source.alias("source_name"), suffix.alias("suffix"),
+        "topic", "position", _link(i).alias("url"), title.alias("full_title"), source.alias("source_name"), suffix.alias("suffix"),
         F.nullif(F.regexp_extract(i, r'(?i)<source[^>]*\surl="([^"]*)"', 1), F.lit("")).alias("source_url"),
         F.nullif(strip_html(html), F.lit("")).alias("snippet"),
         F.nullif(F.regexp_extract(html, r'(?i)<img[^>]*\ssrc="(https?://[^"]*)"', 1), F.lit("")).alias("image_url"),
         F.coalesce(F.try_to_timestamp(date, F.lit("d MMM yyyy HH:mm:ss z")), F.try_to_timestamp(date, F.lit("d MMM yyyy HH:mm:ss Z"))).alias("published_at"),
     )
     bare = F.when(F.col("suffix") == F.col("source_name"), F.trim(F.left("full_title", F.length("full_title") - F.length("suffix") - 3))).otherwise(F.col("full_title"))
-    rows = rows.filter((F.col("full_title") != "") & valid_http_url(F.col("url"))).withColumn("title", bare)
-    # a file's items are one row's array, so numbering them moves nothing across files
-    listed = rows.groupBy("topic").agg(F.slice(F.array_sort(F.collect_list(F.struct("position", "url", "title", "source_name", "source_url", "snippet", "image_url", "published_at"))), 1, max_results).alias("items"))
-    return listed.select("topic", F.explode("items").alias("a")).select("topic", "a.*")
+    return rows.select("topic", "position", "url", bare.alias("title"), "source_name", "source_url", "snippet", "image_url", "published_at")
+
+
+def feed_problems(files: DataFrame) -> DataFrame:
+    """path and reason of files that give no article; they don't stop the others."""
+    opened = F.lower("value").rlike(r"<rss\b|<feed\b|<rdf:rdf\b") & F.lower("value").rlike(r"<channel\b")
+    closed = F.size(F.regexp_extract_all("value", F.lit(ITEM), 1))
+    began = F.size(F.regexp_extract_all("value", F.lit(r"(?i)(<item\b)"), 1))
+    reason = F.when(F.coalesce(F.trim("value"), F.lit("")) == "", "empty").when(~opened, "no feed").when(began > closed, "unclosed item").when(closed == 0, "no items")
+    return files.select("path", reason.alias("reason")).filter("reason is not null")
+
+
+def _whole_files(reader, path: str) -> DataFrame:
+    return reader.format("text").option("wholetext", True).load(path).select(F.col("_metadata.file_path").alias("path"), "value")
 
 
 def scan_feed_dir(spark: SparkSession, path: str, max_results: int = 50) -> DataFrame:
     """A folder of RSS files as articles."""
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
-    return parse_feed(files, max_results)
+    return parse_feed(_whole_files(spark.read, path), max_results)
+
+
+def stream_feed_dir(spark: SparkSession, path: str, max_results: int = 50, files_at_once: int = 1000) -> tuple[DataFrame, DataFrame]:
+    """(articles, problems) of a folder of RSS files, as two streams; a file is read once, when it lands.
+
+    Spark's file source keeps which files have been read in the checkpoint, and names them in order of arrival.
+    """
+    reader = lambda: spark.readStream.option("maxFilesPerTrigger", files_at_once)
+    return parse_feed(_whole_files(reader(), path), max_results), feed_problems(_whole_files(reader(), path))
 
 
 EVAL_CASE = (

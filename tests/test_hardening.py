@@ -14,6 +14,7 @@ from storyspark.operators import near_duplicates as nd
 from storyspark.operators import similar as sim
 from storyspark.operators import stories as st
 from storyspark.sources import commit_log as cl
+from storyspark.sources import feeds
 from storyspark.sources import snapshots as sn
 from storyspark.streaming import stateful as sf
 
@@ -173,3 +174,32 @@ def test_ten_thousand_copies_cluster_in_proportion(spark):
     assert [(x.cluster_no, x["count"]) for x in members.groupBy("cluster_no").count().collect()] == [(0, 10_000)]
     assert [x.similarity_score for x in st.cluster_cohesion(members).collect()] == [1.0]
     assert sim.copy_classes(copies, sim.lexical()).select("class").distinct().count() == 1
+
+
+def test_feeds_as_a_stream_feed_the_other_streams(spark, tmp_path):
+    """Two landings, one file malformed, one url twice: what has landed is read once, and a bad file is told and skipped."""
+    item = lambda i, u: f"<item><title>Story {i} - Wire</title><link>https://a.example/{u}</link><pubDate>Mon, {i + 1} Jan 2024 08:00:00 +0000</pubDate></item>"
+    folder, out = tmp_path / "feeds", str(tmp_path / "out")
+    folder.mkdir()
+
+    def land(name, text):
+        (folder / name).write_text(text)
+
+    def run(df, name):
+        q = df.writeStream.format("parquet").option("path", f"{out}/{name}").option("checkpointLocation", f"{out}/{name}-cp").trigger(availableNow=True).start()
+        q.awaitTermination()
+        return spark.read.schema(df.schema).parquet(f"{out}/{name}").collect()
+
+    land("ai.xml", "<rss><channel>" + "".join(item(i, i) for i in range(4)) + "<item><title></title></item></channel></rss>")
+    land("broken.xml", "<rss><channel><item><title>cut off")
+    articles, problems = feeds.stream_feed_dir(spark, str(folder), 3)
+    assert sorted((r.topic, r.position, r.title) for r in run(articles, "a")) == [("ai", i, f"Story {i}") for i in range(3)]
+    assert [(r.path.rsplit("/", 1)[1], r.reason) for r in run(problems, "p")] == [("broken.xml", "unclosed item")]
+    land("space.xml", "<rss><channel>" + item(7, 1) + item(8, 8) + "</channel></rss>")
+    land("none.xml", "hello")
+    assert sorted((r.topic, r.title) for r in run(articles, "a")) == [("ai", f"Story {i}") for i in range(3)] + [("space", "Story 7"), ("space", "Story 8")]
+    assert sorted(r.reason for r in run(problems, "p")) == ["no feed", "unclosed item"]
+    fresh = sf.stream_dedupe_articles(articles, at="published_at")
+    assert sorted(r.canonical_url for r in run(fresh, "d")) == [f"https://a.example/{i}" for i in (0, 1, 2, 8)]
+    batch = feeds.scan_feed_dir(spark, str(folder), 3)
+    assert sorted(map(str, batch.collect())) == sorted(map(str, run(articles, "a")))
