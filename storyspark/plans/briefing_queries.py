@@ -219,7 +219,7 @@ _MATCHED = f"""{_PAIRS}, cand AS (
   SELECT topic, k, cluster_no, CASE WHEN pick.g THEN list_append(used, pick.p) ELSE used END, pick
   FROM (SELECT c.topic, c.k, c.cluster_no, mw.used, list_filter(c.cs, lambda x: NOT list_contains(mw.used, x.p))[1] AS pick FROM mw JOIN cand c ON c.topic = mw.topic AND c.k = mw.k + 1)
 ), mt AS (SELECT cluster_no, pick.p AS prior_no, pick.o AS overlap FROM mw WHERE pick.g)"""
-_CLASSIFIED = (
+CLASSIFIED = (
     _FLAGS.replace(_PAIRS, _MATCHED).replace("FROM pp JOIN cur c ON pp.cluster_no = c.cluster_no JOIN prv p ON pp.prior_no = p.cluster_no WHERE overlap >= 0.25", "FROM mt JOIN cur c ON mt.cluster_no = c.cluster_no JOIN prv p ON mt.prior_no = p.cluster_no")
     + f""", cl AS (
   SELECT c.topic, c.cluster_no, c.headline, CASE WHEN fm.prior_no IS NULL THEN 'new' WHEN material THEN 'updated' ELSE 'ongoing' END AS status, coalesce(p.stable_id, c.stable_id) AS stable_id,
@@ -252,12 +252,12 @@ QUERIES = {
         q_material_change_flags,
         f"WITH RECURSIVE {_FLAGS} SELECT cluster_no, prior_no, CAST(len(ua) AS INTEGER) AS urls_added, CAST(len(ur) AS INTEGER) AS urls_removed, CAST(len(sa) AS INTEGER) AS sources_added, CAST(len(sr) AS INTEGER) AS sources_removed, headline_changed, hash_changed, newer_coverage, material, CASE WHEN len(parts) > 0 THEN array_to_string(parts, '. ') WHEN hash_changed THEN 'Story content changed since last briefing' ELSE 'Story updated since last briefing' END AS summary FROM fm",
     ),
-    "classify_changes": (q_classify_changes, f"WITH RECURSIVE {_CLASSIFIED} SELECT * EXCLUDE (n_urls) FROM cl"),
+    "classify_changes": (q_classify_changes, f"WITH RECURSIVE {CLASSIFIED} SELECT * EXCLUDE (n_urls) FROM cl"),
     "whats_new": (
         q_whats_new,
-        f"WITH RECURSIVE {_CLASSIFIED} SELECT topic, 'What''s new since ' || CAST(floor(date_diff('hour', TIMESTAMP '{ad.SNAPSHOT_NOW}', {sq.NOW_TS}) / 24 + 0.5) AS INTEGER) || ' days ago' AS label, count(*) FILTER (status = 'new') AS n_new, count(*) FILTER (status = 'updated') AS n_updated, count(*) FILTER (status = 'ongoing') AS n_ongoing, CAST(count(*) FILTER (status <> 'ongoing') AS INTEGER) AS highlights FROM cl GROUP BY topic",
+        f"WITH RECURSIVE {CLASSIFIED} SELECT topic, 'What''s new since ' || CAST(floor(date_diff('hour', TIMESTAMP '{ad.SNAPSHOT_NOW}', {sq.NOW_TS}) / 24 + 0.5) AS INTEGER) || ' days ago' AS label, count(*) FILTER (status = 'new') AS n_new, count(*) FILTER (status = 'updated') AS n_updated, count(*) FILTER (status = 'ongoing') AS n_ongoing, CAST(count(*) FILTER (status <> 'ongoing') AS INTEGER) AS highlights FROM cl GROUP BY topic",
     ),
-    "snapshot_from_cards": (q_snapshot_from_cards, f"WITH RECURSIVE {_CLASSIFIED} SELECT topic, cluster_no, stable_id, headline, first_seen, last_updated, CAST(n_urls AS INTEGER) AS n_urls FROM cl"),
+    "snapshot_from_cards": (q_snapshot_from_cards, f"WITH RECURSIVE {CLASSIFIED} SELECT topic, cluster_no, stable_id, headline, first_seen, last_updated, CAST(n_urls AS INTEGER) AS n_urls FROM cl"),
     "plan_result_reuse": (
         q_plan_result_reuse,
         f"""WITH RECURSIVE {_FLAGS}, cache AS (SELECT DISTINCT content_hash FROM prv WHERE cluster_no % 6 = 0), dec AS (SELECT cluster_no, prior_no, content_hash, CASE WHEN NOT material THEN 'reuse_prior' WHEN content_hash IN (SELECT content_hash FROM cache) THEN 'cache_hit' ELSE 'compute' END AS d FROM fm)
@@ -279,7 +279,17 @@ SELECT topic, cluster_no, left(CASE WHEN len(said) > 0 THEN array_to_string(said
     "topic_weights": (lambda s, d: br.topic_weights(user_topics(s, d)).select("client", "topic", "priority", "boost"), f"WITH {_WEIGHTS} SELECT client, topic, priority, boost FROM wt"),
     "score_feed": (q_score_feed, f"WITH RECURSIVE {_FEED} SELECT * FROM fd"),
     "rank_feed": (q_rank_feed, f"WITH RECURSIVE {_FEED} SELECT client, CAST(row_number() OVER (PARTITION BY client ORDER BY score DESC, priority DESC, importance DESC, topic_key, cluster_no) AS INTEGER) AS position, topic_key, cluster_no, score FROM fd QUALIFY position <= 30"),
-    "dedupe_feed": (q_dedupe_feed, None),
+    "dedupe_feed": (
+        q_dedupe_feed,
+        f"""WITH RECURSIVE {_FEED}, us AS (SELECT cluster_no, list_distinct(list(url)) AS u FROM members GROUP BY cluster_no), fr AS (
+  SELECT client, {{'t': topic_key, 'c': cluster_no, 's': score, 'u': u, 'h': headline}} AS me, row_number() OVER (PARTITION BY client ORDER BY topic_key, cluster_no) AS k FROM fd JOIN us USING (cluster_no) JOIN (SELECT cluster_no, headline FROM stories) USING (cluster_no)
+), fw(client, k, kept) AS (
+  SELECT client, k, [{{'m': me, 'also': CAST([] AS VARCHAR[])}}] FROM fr WHERE k = 1
+  UNION ALL
+  SELECT client, k, CASE WHEN f IS NULL THEN list_append(kept, {{'m': me, 'also': CAST([] AS VARCHAR[])}}) ELSE list_transform(kept, lambda x, i: CASE WHEN i <> f THEN x WHEN me.s > x.m.s THEN {{'m': me, 'also': list_append(x.also, x.m.t)}} ELSE {{'m': x.m, 'also': list_append(x.also, me.t)}} END) END
+  FROM (SELECT r.client, r.k, r.me, w.kept, list_filter(range(1, len(w.kept) + 1), lambda i: list_has_any(w.kept[i].m.u, r.me.u) AND (w.kept[i].m.h = r.me.h OR len(list_intersect(w.kept[i].m.u, r.me.u)) / len(list_distinct(list_concat(w.kept[i].m.u, r.me.u))) >= 0.25))[1] AS f FROM fw w JOIN fr r ON r.client = w.client AND r.k = w.k + 1)
+) SELECT client, x.m.t AS topic_key, x.m.c AS cluster_no, x.m.s AS score, array_to_string(x.also, ',') AS also FROM (SELECT client, unnest(arg_max(kept, k)) AS x FROM fw GROUP BY client)""",
+    ),
     "due_subscriptions": (lambda s, d: due(s, d).withColumn("local_date", F.col("local_date").cast("string")), f"WITH {_SUBS} SELECT * REPLACE (CAST(local_date AS VARCHAR) AS local_date) FROM du"),
     "subscription_topics": (all_topics, f"WITH {_UT}, {_TOPICS} SELECT * FROM tp"),
     "plan_deliveries": (

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from storyspark import adapters as ad
+from storyspark.plans import briefing_queries as bq
 from storyspark.plans import research_queries as rq
 from storyspark.plans import sql_parts as sq
 from storyspark.plans.cutting import shared_dir
@@ -61,6 +62,22 @@ def q_stream_flag_over_limit(s, d):
     return landed(sf.stream_flag_over_limit(events, 3, 86_400)).select("key", "id", "n", "over", "retry_after")
 
 
+#: When the first states of a change stream land, and which articles these lack.
+FIRST, KNOWN = "2024-01-30 00:00:00", "ordinal % 5 <> 1"
+
+
+def q_stream_change_tracking(s, d):
+    """The changes of a second landing of story states, against the snapshot that the first one left."""
+    root = _place(s, "tracking")
+    known, every = bq.state_of(s, d, KNOWN), bq.state_of(s, d, "true")
+    for rows, at in ((known, FIRST), (every, ad.NOW)):
+        rows = rows.withColumn("rank", F.col("cluster_no"))
+        rows.write.mode("append").parquet(f"{root}/states")
+        stream = s.readStream.schema(rows.schema).parquet(f"{root}/states")
+        sf.stream_change_tracking(stream, f"{root}/snapshots", f"{root}/changes", f"{root}/checkpoint", ad.now(at)).awaitTermination()
+    return s.read.parquet(f"{root}/changes/batch=1")
+
+
 def q_append_eval_run(s, d):
     """Results of two runs, the first written again; each run is there once, with its report."""
     rows = ad.table(s, d, "documents").join(ad.table(s, d, "labels"), "doc_id").groupBy("source").agg(F.count("*").alias("n"), F.sum(F.col("quality").cast("long")).alias("good"))
@@ -97,6 +114,10 @@ SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS date, kind, provider, count(*) AS n
     ),
     "stream_dedupe_articles": (q_stream_dedupe_articles, f"SELECT DISTINCT coalesce({sq.canonical('url')}, url) AS canonical_url FROM pages"),
     "stream_flag_over_limit": (q_stream_flag_over_limit, rq.QUERIES["flag_over_limit"][1]),
+    "stream_change_tracking": (
+        q_stream_change_tracking,
+        f"WITH RECURSIVE {bq.CLASSIFIED.replace(f"WHERE e.ts < TIMESTAMP '{ad.SNAPSHOT_NOW}'", "WHERE d.doc_id % 5 <> 1").replace(ad.SNAPSHOT_NOW, FIRST)} SELECT * EXCLUDE (n_urls) FROM cl",
+    ),
     "append_eval_run": (
         q_append_eval_run,
         "WITH g AS (SELECT source, count(*) AS n, CAST(sum(quality) AS BIGINT) AS good FROM documents JOIN labels USING (doc_id) GROUP BY source), t AS (SELECT CAST(sum(n) AS BIGINT) AS total FROM g) SELECT run_id, source, n, good, total FROM g, t, (VALUES ('r1', 1), ('r2', 3)) AS r(run_id, least) WHERE n > least",
