@@ -31,6 +31,8 @@ class Metric:
     overlap: Callable[[float], float]
     #: The score of all pairs of two blocks at once, from sizes of sets and of what they share; None: only ``score``.
     matrix: Callable[[Sides, Sides, dict[str, np.ndarray]], np.ndarray] | None = None
+    #: Finds pairs (a, b, score) of rows, from a table, threshold, the columns to agree in, and the id, where token sets are not what is compared.
+    find: Callable[[DataFrame, float, list[str], str], DataFrame] | None = None
 
 
 def _shares(a: np.ndarray, b: np.ndarray, both: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -111,9 +113,12 @@ def similar_pairs(df: DataFrame, threshold: float, metric: Metric | None = None,
     Of two linked sets the smaller one shares at least ``share`` of its tokens, so at least one of its
     rarest ``n - ceil(share n) + 1`` (Bayardo et al. 2007). Those index tokens meet the tokens of sets
     at least as large, unless their places in both sets leave too few tokens to share (Xiao et al.
-    2008); frequent tokens are mostly left out. Scores are worked out once for a pair.
+    2008); frequent tokens are mostly left out. Scores are worked out once for a pair. A metric that finds pairs itself
+    is asked for them, and is as exact as it says.
     """
     metric = metric or lexical()
+    if metric.find is not None:
+        return metric.find(df, threshold, within, id_col)
     share = metric.overlap(threshold)
     if share <= 0:
         raise ValueError("below this threshold a pair needs no common token")
