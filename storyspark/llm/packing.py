@@ -44,12 +44,20 @@ LATIN_PIECES = f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTER}]+|[{DIGIT}]|[^ \t-\r\x85\xa0{
 PIECES = T.StructType([T.StructField(n, T.LongType()) for n in ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")])
 
 
+def young_marks(characters: set[str]) -> list[str]:
+    """Those of the characters on which two Unicode versions may differ: unassigned here, or combining marks younger than Unicode 3.2.
+
+    Over all assigned characters, others are lower-cased, normalised and cut as the library does.
+    """
+    return [c for c in characters if c > "\u024f" and (unicodedata.category(c) in ("Cn", "Cs") or unicodedata.combining(c) and unicodedata.ucd_3_2_0.category(c) == "Cn")]
+
+
 class WordIds:
     """Ids of texts by a lower-casing word BPE file, whose pieces never reach over white space.
 
     Texts are normalised and cut as the file asks, Latin ones as a whole, others word by word; pieces are
-    looked up in a memory, new ones merged through the pair occurrence index. Words with letters beyond
-    Latin ones go through the library.
+    looked up in a memory, new ones merged through the pair occurrence index. Only words with one of the
+    characters of ``young_marks`` go through the library.
     """
 
     def __init__(self, path: str):
@@ -76,7 +84,8 @@ class WordIds:
             if k % 2:
                 out.append(part)
             elif part:
-                part = unicodedata.normalize("NFC", part)
+                # a capital sigma has one lower case for the file, wherever it stands
+                part = unicodedata.normalize("NFC", part).replace("\u03a3", "\u03c3")
                 out += self.pieces(part.lower())
         return out
 
@@ -108,8 +117,10 @@ class WordIds:
     def _by_words(self, texts: list[str]) -> list[bytes]:
         words = [self.words(t) for t in texts]
         every = set().union(*words)
-        # letters that Unicode versions may class differently go through the library itself
-        ids_of = {w: np.array(self.library.encode(w, add_special_tokens=False).ids, "<u4").tobytes() for w in filter(self.beyond, every)}
+        ids_of = {}
+        if unsure := young_marks(set("".join(every))):
+            has = re.compile(f"[{''.join(map(re.escape, unsure))}]").search
+            ids_of = {w: np.array(self.library.encode(w, add_special_tokens=False).ids, "<u4").tobytes() for w in filter(has, every)}
         pieces = {w: self.cut(w) for w in every if w not in ids_of}
         self._learn(set().union(*pieces.values()))
         ids_of |= {w: b"".join([self.young[p] for p in ps]) for w, ps in pieces.items()}
@@ -210,23 +221,24 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = END_ID)
     docs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     taken = docs.select("doc_id", docs["text"].cast("string").alias("text"))
     schema = T.StructType([taken.schema["doc_id"], *PIECES.fields])
-    kind = {"long": pa.int64(), "integer": pa.int32(), "string": pa.string()}.get(taken.schema["doc_id"].dataType.typeName())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _words(path)
         packer = Packer(TaskContext.get().partitionId() << 40, window)
         end = np.array([end_id], "<u4").tobytes()
 
-        def out(rows: list[tuple]) -> pa.RecordBatch:
+        def out(rows: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
             columns = list(zip(*rows, strict=True))
             return pa.RecordBatch.from_arrays([pa.array(columns[0], kind)] + [pa.array(c, pa.int64()) for c in columns[1:]], names=schema.fieldNames())
 
+        kind = pa.null()
         for batch in batches:
+            kind = batch.schema.field(0).type  # ids of any type
             ids = words.encode_batch(strings(batch.column(1)))
             if rows := [r for key, x in zip(batch.column(0).to_pylist(), ids, strict=True) for r in packer.add(key, x + end)]:
-                yield out(rows)
+                yield out(rows, kind)
         if rows := list(packer.finish()):
-            yield out(rows)
+            yield out(rows, kind)
         release_memory()
 
     return taken.mapInArrow(run, schema)

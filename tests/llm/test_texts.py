@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import unicodedata
 import zlib
 from collections import defaultdict
 
@@ -99,6 +100,33 @@ def test_packing(spark):
     assert packing.pack(df.limit(0), path).count() == 0
 
 
+def test_words_of_every_script_without_the_library():
+    """One text for a character: beside letters and digits, doubled, under an accent, next to its lower case; every ninth assigned one."""
+    words = packing.WordIds(packing.word_bpe_path())
+    lib = tokenizers.Tokenizer.from_file(words.path)
+    known = [c for c in map(chr, range(0x80, 0x110000, 9)) if unicodedata.category(c) not in ("Cn", "Cs", "Co") and not packing.young_marks({c})]
+    values = [f"a{c}b 1{c}{c}. é{c} {c}\u0301x {c.lower()}{c}" for c in known]
+    values += ["ΟΔΟΣ ΣΑΣ. Σ", "ΌΔΌΣ τοῦ ΛΌΓΟΥΣ x", "Москва 中文字 テスト ﬁ ǅ", "กำ 한국어 각 1９２", "İstanbul İ"]
+    want = [np.array(e.ids, "<u4").tobytes() for e in lib.encode_batch(values, add_special_tokens=False)]
+    words.library = None  # a use of it fails
+    assert len(known) > 5000 and words.encode_batch(values) == want
+
+
+def test_young_marks_go_through_the_library():
+    words = packing.WordIds(packing.word_bpe_path())
+    values = ["\u1df6a\u0301\u0323 \U0001e4ec\u0301 Москва", "a\u0378b \U000e0fff]^-"]
+    assert words.encode_batch(values) == [np.array(words.library.encode(v, add_special_tokens=False).ids, "<u4").tobytes() for v in values]
+    assert packing.young_marks({"\u0301", "ж", "中", "a"}) == []
+
+
+@pytest.mark.parametrize("kind", ["smallint", "int", "decimal(10,0)", "string", "date"])
+def test_packing_of_ids_of_any_type(spark, kind):
+    ids = F.date_add(F.lit("2024-01-01").cast("date"), F.col("id").cast("int")) if kind == "date" else F.col("id").cast(kind)
+    df = spark.range(6).select(F.when(F.col("id") != 3, ids).alias("doc_id"), F.lit("some words").alias("text"))
+    rows = packing.pack(df, packing.word_bpe_path()).collect()
+    assert {r.doc_id for r in rows} == {r.doc_id for r in df.collect()} and sum(r.length for r in rows) == 18
+
+
 def test_level_choice_minimises_squares():
     r = random.Random(0)
     for _ in range(300):
