@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from storyspark.functions.text import canonical_url, valid_http_url
 from storyspark.operators.components import connected_components
 from storyspark.operators.similar import Metric, headline, similar_pairs
-from storyspark.plans.cutting import materialize
+from storyspark.plans.cutting import discard, materialize
 
 
 def _losers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -57,7 +57,83 @@ def _losers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(settle(), pa.int64())], names=["ordinal"])
 
 
-def collapse_near_duplicates(articles: DataFrame, threshold: float = 0.85, metric: Metric | None = None) -> DataFrame:
+#: A component of more rows is decided in rounds, if its rows have at most so many links each; and how many rounds it gets.
+LARGE, PAIRS_A_ROW, ROUNDS = 100_000, 64, 40
+
+
+def decide_in_rounds(rows: DataFrame, edges: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
+    """(ordinal) of the rows that another stands for, and (group, ordinal) of those that are still open after ``rounds``.
+
+    rows: group (its least ordinal), ordinal; edges: later, earlier (linked rows), and whether the later one is preferred.
+
+    A slot's number is its opener's ordinal, ``until`` the row that takes a row's place in it. A settled row stands
+    for its slot at the time of a later one for sure unless a preferred open row in between is linked with it. A row
+    takes the first slot where that is sure and which no open earlier neighbour can undercut, is lost once
+    a sure slot comes before all whose row it would displace, and opens its own once no earlier neighbour is open.
+    The first open row of a component always settles, so every round decides some.
+    """
+    no_number = F.lit(None).cast("long")
+    nodes = materialize(rows.select("group", "ordinal", F.lit(True).alias("open"), no_number.alias("slot"), no_number.alias("until"), F.col("group").alias("least")), "nodes")
+    edges, gone = materialize(edges, "edges"), rows.select("ordinal").limit(0)
+    for _ in range(rounds):
+        if nodes.filter("open").isEmpty():
+            break
+        met = edges.join(nodes.withColumnRenamed("ordinal", "earlier").drop("group"), "earlier")
+        threat = met.filter("preferred and not open").groupBy("earlier").agg(F.min("later").alias("threat")).withColumnRenamed("earlier", "threatened")
+        met = met.join(threat, F.col("earlier") == F.col("threatened"), "left")
+        stands = ~F.col("open") & (F.col("until").isNull() | (F.col("until") > F.col("later")))
+        sure = F.col("threat").isNull() | (F.col("threat") >= F.col("later"))
+        per = met.groupBy("later").agg(
+            F.min(F.when(stands, F.struct("slot", "earlier", "preferred", sure.alias("sure")))).alias("best"),
+            F.min(F.when(stands & sure, F.col("slot"))).alias("safe"),
+            F.min(F.when(F.col("preferred") & (F.col("open") | stands), F.when(F.col("open"), F.col("least")).otherwise(F.col("slot")))).alias("beats"),
+            F.min(F.when(F.col("open"), F.col("least"))).alias("floor"),
+            F.min(F.when(F.col("open"), F.col("least")).otherwise(F.col("slot"))).alias("bound"),
+        )
+        now = nodes.filter("open").select("group", "ordinal", "least").join(per, F.col("ordinal") == F.col("later"), "left")
+        joins = F.col("best").isNotNull() & F.col("best.sure") & (F.col("floor").isNull() | (F.col("best.slot") <= F.col("floor")))
+        opens = F.col("best").isNull() & F.col("floor").isNull()
+        loses = F.coalesce(F.col("beats").isNull() | (F.col("safe") < F.col("beats")), F.lit(False)) & F.col("safe").isNotNull()
+        outcome = F.when(opens, "opens").when(loses, "lost").when(~F.coalesce(joins, F.lit(False)), "open").when(F.col("best.preferred"), "displaces").otherwise("lost")
+        step = now.withColumn("outcome", outcome).select(
+            "group", "ordinal", "outcome",
+            F.when(F.col("outcome") == "opens", F.col("ordinal")).when(F.col("outcome") == "displaces", F.col("best.slot")).alias("slot"),
+            F.when(F.col("outcome") == "displaces", F.col("best.earlier")).alias("over"),
+            F.greatest("least", F.least("ordinal", "bound")).alias("least"),
+        )
+        step = materialize(step, "step")
+        over = step.filter("over is not null").select(F.col("over").alias("ordinal"), F.col("ordinal").alias("by"))
+        gone = gone.unionByName(step.filter("outcome = 'lost'").select("ordinal")).unionByName(over.select("ordinal"))
+        held = nodes.filter("not open").join(over, "ordinal", "left").select("group", "ordinal", "open", "slot", F.coalesce("until", "by").alias("until"), "least")
+        fresh = step.filter("outcome <> 'lost'").select("group", "ordinal", (F.col("outcome") == "open").alias("open"), "slot", no_number.alias("until"), "least")
+        after = materialize(held.unionByName(fresh), "nodes")
+        left = edges.join(after.filter("open").select(F.col("ordinal").alias("later")), "later", "left_semi").join(after.select(F.col("ordinal").alias("earlier")), "earlier", "left_semi")
+        left = materialize(left, "edges")
+        discard(nodes)
+        discard(edges)
+        nodes, edges = after, left
+    return gone, nodes.filter("open").select("group", "ordinal")
+
+
+def _rounds_of_large_groups(members: DataFrame, links: DataFrame, rounds: int) -> tuple[DataFrame, DataFrame] | None:
+    """The large groups that rounds decide, and their rows that another stands for; None where there is no such group."""
+    copies = members.groupBy("group", "class").agg(F.count("*").alias("n"))
+    linked = links.join(copies.select(F.col("class").alias("linked"), F.col("n").alias("of_linked")), "linked").groupBy("class").agg(F.sum("of_linked").alias("near"))
+    sizes = copies.join(linked, "class", "left").groupBy("group").agg(F.sum("n").alias("rows"), F.sum(F.col("n") * F.coalesce("near", F.lit(0))).alias("links"))
+    large = materialize(sizes.filter((F.col("rows") > LARGE) & (F.col("links") <= F.col("rows") * 2 * PAIRS_A_ROW)).select("group"), "large")
+    if large.isEmpty():
+        return None
+    rows = materialize(members.join(large, "group", "left_semi").withColumn("worth", F.struct("source_quality", "snippet_length", "at")), "large_members")
+    later = rows.select(F.col("ordinal").alias("later"), "class", F.col("worth").alias("later_worth"))
+    earlier = rows.select(F.col("ordinal").alias("earlier"), F.col("class").alias("linked"), F.col("worth").alias("earlier_worth"))
+    edges = later.join(links, "class").join(earlier, "linked").filter("later > earlier").select("later", "earlier", (F.col("later_worth") > F.col("earlier_worth")).alias("preferred"))
+    gone, still = decide_in_rounds(rows, edges, rounds)
+    unfinished = materialize(still.select("group").distinct(), "unfinished")
+    mine = rows.select("ordinal", "group").join(unfinished, "group", "left_anti")
+    return large.join(unfinished, "group", "left_anti"), gone.join(mine.select("ordinal"), "ordinal", "left_semi")
+
+
+def collapse_near_duplicates(articles: DataFrame, threshold: float = 0.85, metric: Metric | None = None, rounds: int = ROUNDS) -> DataFrame:
     """articles without those that a near-duplicate headline of the same source stands for.
 
     In ordinal order, a row joins the first kept row it is a near-duplicate of; the preferred of the two (tier,
@@ -66,7 +142,9 @@ def collapse_near_duplicates(articles: DataFrame, threshold: float = 0.85, metri
 
     Rows of one source that are equal to the metric are one class: the exact join pairs classes, and copies are
     never paired with each other. Components of classes are walked in sorted order; a task holds the rows that
-    stand for others at the moment, not a component's rows or pairs. Rows without a source pass as they are.
+    stand for others at the moment, not a component's rows or pairs. Large components are decided in rounds of joins,
+    many rows at a time, if that takes at most PAIRS_A_ROW links of rows for each row; one that ``rounds`` don't finish
+    is walked. Rows without a source pass as they are.
     """
     metric = metric or headline()
     if metric.overlap(threshold) > 1:  # no two sets share more than all of their tokens
@@ -89,8 +167,14 @@ def collapse_near_duplicates(articles: DataFrame, threshold: float = 0.85, metri
     comp = connected_components(pairs, "a", "b").toDF("class", "group")
     groups = links.select("class").distinct().join(comp, "class", "left").select("class", F.coalesce("group", "class").alias("group"))
     members = materialize(rows.join(classes, ["source_name", "key"]).join(groups, "class").select("group", "ordinal", "class", "source_quality", "snippet_length", "at"), "members")
+    lost = _rounds_of_large_groups(members, links, rounds)
+    if lost is not None:
+        settled, gone_in_rounds = lost
+        members = members.join(settled, "group", "left_anti")
     met = members.withColumn("linked", F.lit(None).cast("long")).unionByName(members.select("group", "ordinal", "class").join(links, "class"), allowMissingColumns=True)
     gone = met.repartition("group").sortWithinPartitions("group", "ordinal", "linked").mapInArrow(_losers, "ordinal long")
+    if lost is not None:
+        gone = gone.unionByName(gone_in_rounds)
     return articles.join(gone, "ordinal", "left_anti")
 
 

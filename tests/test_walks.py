@@ -61,6 +61,57 @@ def test_collapse_of_many_copies(spark, threshold):
     assert nd.collapse_near_duplicates(articles.limit(0), threshold).isEmpty()
 
 
+def rows_of_one_source(seed, n):
+    """Titles that differ by a word or two, so that one component holds most rows, with copies and preferences in no order."""
+    rng = random.Random(seed)
+    words = "river bridge council harbour engine market signal garden".split()
+    return [(i, "a", " ".join(rng.sample(words, rng.randint(3, 5))), None, rng.randint(1, 2), None) for i in range(n)]
+
+
+ROWS = "ordinal long, source_name string, title string, snippet string, source_quality int, published_at timestamp"
+
+
+@pytest.mark.parametrize(("seed", "rounds"), [(1, 40), (3, 1)])
+def test_large_components_in_rounds(spark, monkeypatch, seed, rounds):
+    """As one walk does; with a round alone the rest is walked."""
+    monkeypatch.setattr(nd, "LARGE", 20)
+    articles = spark.createDataFrame(rows_of_one_source(seed, 150), ROWS)
+    near = {(r.a, r.b) for r in sim.similar_pairs(articles, 0.5, sim.headline(), within=["source_name"]).collect()}
+    want, calls = plain_collapse(articles.collect(), near), []
+    decide = nd.decide_in_rounds
+    monkeypatch.setattr(nd, "decide_in_rounds", lambda *a: calls.append(a) or decide(*a))
+    assert sorted(r.ordinal for r in nd.collapse_near_duplicates(articles, 0.5, rounds=rounds).collect()) == want
+    assert calls and len(want) < 140
+    still = decide(*calls[0])[1]
+    assert still.isEmpty() == (rounds > 1)
+
+
+@pytest.mark.parametrize("order", ["random", "rising", "falling"])
+def test_rounds_against_walks(spark, order):
+    """Random links in many groups: few rounds where preferences have no order, one clique, a star, a chain."""
+    rng = random.Random(8)
+    groups = [(100, {(i, j) for i in range(100) for j in range(i) if rng.random() < 0.05}), (14, {(i, j) for i in range(14) for j in range(i)}), (60, {(i, 0) for i in range(1, 60)}), (12, {(i, i - 1) for i in range(1, 12)})]
+    rows, edges, worth, at = [], [], {}, 0
+    for n, links in groups:
+        for i in range(n):
+            worth[at + i] = {"random": rng.randint(0, 50), "rising": i, "falling": -i}[order]
+        rows += [(at, at + i) for i in range(n)]
+        edges += [(at + i, at + j, worth[at + i] > worth[at + j]) for i, j in links]
+        at += n
+    near, slots, lost = {(j, i) for i, j, _ in edges}, [], []
+    for _, r in rows:
+        at = next((k for k, h in enumerate(slots) if (h, r) in near or (r, h) in near), None)
+        if at is None:
+            slots.append(r)
+        elif worth[r] > worth[slots[at]]:
+            lost.append(slots[at])
+            slots[at] = r
+        else:
+            lost.append(r)
+    gone, still = nd.decide_in_rounds(spark.createDataFrame(rows, "group long, ordinal long"), spark.createDataFrame(edges, "later long, earlier long, preferred boolean"), 40)
+    assert still.isEmpty() and sorted(r.ordinal for r in gone.collect()) == sorted(lost)
+
+
 def plain_matches(now, prior, least=0.25):
     """In rank order within a topic, the free prior story of highest overlap, from the urls alone."""
     out, used = [], set()
