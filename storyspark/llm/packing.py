@@ -15,6 +15,7 @@ import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import cached_property
+from itertools import chain, compress, count, islice, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +30,8 @@ from storyspark.llm.pair_index import PairIndex
 WINDOW, END_ID = 4096, 2
 #: An open window stays as it is at the end if its padding is at most this share.
 SPARE = 1 / 64
-#: Pieces whose ids a worker remembers, at most; twice as many while the older half fades out.
-REMEMBERED = 120_000
+#: Words whose ids a worker remembers, and those of AT_ONCE texts more.
+REMEMBERED = 240_000
 #: Texts whose words are held at a time.
 AT_ONCE = 800
 #: Beyond Latin letters; U+0130 is among them, as its lower case is two characters.
@@ -52,33 +53,56 @@ def young_marks(characters: set[str]) -> list[str]:
     return [c for c in characters if c > "\u024f" and (unicodedata.category(c) in ("Cn", "Cs") or unicodedata.combining(c) and unicodedata.ucd_3_2_0.category(c) == "Cn")]
 
 
+def laid_out(ids: np.ndarray, sizes: np.ndarray, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of things whose ids lie one behind the other, those of these numbers, laid out likewise, and their sizes."""
+    taken = sizes[numbers]
+    shift = (np.cumsum(sizes) - sizes)[numbers] - (np.cumsum(taken) - taken)
+    return ids[np.repeat(shift, taken) + np.arange(int(taken.sum()))], taken
+
+
 class WordIds:
     """Ids of texts by a lower-casing word BPE file, whose pieces never reach over white space.
 
-    Texts are normalised and cut as the file asks, Latin ones as a whole, others word by word; pieces are
-    looked up in a memory, new ones merged through the pair occurrence index. Only words with one of the
-    characters of ``young_marks`` go through the library.
+    Words are numbered as they come, and a memory holds the ids of all numbers, one word behind the
+    other; a text's ids are taken from it by its words' numbers. New words are normalised and cut into
+    pieces as the file asks, and their pieces merged. Only words with one of the characters of
+    ``young_marks`` go through the library.
     """
 
     def __init__(self, path: str):
         self.path = path
         self.index = PairIndex(path)
-        self.special = {s: np.array([i], "<u4").tobytes() for s, i in self.index.special.items()}
+        self.special = {s: np.array([i], "<u4") for s, i in self.index.special.items()}
         self.split = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")").split
+        #: Finds what may be a special token's string in a lower-cased text.
+        self.maybe_special = re.compile("|".join(re.escape(s.lower()) for s in self.special) or "(?!)").search
         self.pieces = regex.compile(WORD_PIECES).findall
         self.spaces = regex.compile(r"[ \t-\r]+").split
         self.beyond = re.compile(BEYOND).search
         self.latin_pieces = re.compile(LATIN_PIECES).findall
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.number: dict[str, int] = defaultdict(count().__next__)
+        #: By number: how often the word was met, and how many ids it has.
+        self.met, self.sizes = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.ids = np.zeros(0, "<u4")
 
     def words(self, text: str) -> list[str]:
-        """Python's white space is white space to the tokeniser, but for four control characters."""
+        """Lower-cased already where that depends on nothing else.
+
+        Python's white space is white space to the tokeniser, but for four control characters.
+        """
+        if text.isascii() or not self.beyond(text):
+            low = text.lower()
+            if not self.maybe_special(low):
+                text = low
         if any(c in text for c in "\x1c\x1d\x1e\x1f"):
             return [w for w in self.spaces(text) if w]
         return text.split()
 
     def cut(self, word: str) -> list[str]:
+        if word.isascii() or not self.beyond(word):
+            low = word.lower()
+            if not self.maybe_special(low):
+                return [low] if low.isalpha() else self.latin_pieces(low)
         out = []
         for k, part in enumerate(self.split(word)):
             if k % 2:
@@ -102,41 +126,43 @@ class WordIds:
         return [ids for i in range(0, len(texts), AT_ONCE) for ids in self._encode(texts[i : i + AT_ONCE])]
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.young) > REMEMBERED:
-            self.old, self.young = self.young, {}
-        cut: list[list[str] | None] = []
+        if len(self.number) > REMEMBERED:
+            self._forget()
+        number, numbers = self.number.__getitem__, []
         for t in texts:
-            low = t.lower() if t.isascii() or not self.beyond(t) else None
-            plain = low is not None and not any(s.lower() in low for s in self.special)
-            cut.append(self.latin_pieces(low) if plain else None)
-        self._learn(set().union(*[ps for ps in cut if ps]))
-        others = iter(self._by_words([t for t, ps in zip(texts, cut, strict=True) if ps is None]))
-        ids = self.young
-        return [next(others) if ps is None else b"".join([ids[p] for p in ps]) for ps in cut]
-
-    def _by_words(self, texts: list[str]) -> list[bytes]:
-        words = [self.words(t) for t in texts]
-        every = set().union(*words)
-        ids_of = {}
-        if unsure := young_marks(set("".join(every))):
+            words = self.words(t)
+            numbers.append(np.fromiter(map(number, words), np.int64, len(words)))
+        self._learn(list(islice(self.number, len(self.met), None)))
+        every = np.concatenate(numbers)
+        self.met += np.bincount(every, minlength=len(self.met))
+        ids, sizes = laid_out(self.ids, self.sizes, every)
+        upto = np.concatenate([[0], np.cumsum(sizes)])[np.cumsum([0, *map(len, numbers)])] * 4
+        raw = ids.tobytes()
+        return [raw[x:y] for x, y in pairwise(upto.tolist())]
+
+    def _learn(self, new: list[str]) -> None:
+        """Puts the words with the next numbers into the memory."""
+        known: dict[str | tuple[str], np.ndarray] = dict(self.special)  # as (word,): a word's ids by the library
+        if unsure := young_marks(set("".join(new))):
             has = re.compile(f"[{''.join(map(re.escape, unsure))}]").search
-            ids_of = {w: np.array(self.library.encode(w, add_special_tokens=False).ids, "<u4").tobytes() for w in filter(has, every)}
-        pieces = {w: self.cut(w) for w in every if w not in ids_of}
-        self._learn(set().union(*pieces.values()))
-        ids_of |= {w: b"".join([self.young[p] for p in ps]) for w, ps in pieces.items()}
-        return [b"".join([ids_of[w] for w in ws]) for ws in words]
-
-    def _learn(self, pieces: set[str]) -> None:
-        """Sees to it that the memory holds these pieces."""
-        young, old, new = self.young, self.old, []
-        for p in pieces.difference(young):
-            if (ids := old.get(p)) is not None:
-                young[p] = ids
-            elif p in self.special:
-                young[p] = self.special[p]
-            else:
-                new.append(p)
-        young.update(zip(new, self.index.merge_all(new), strict=True))
+            known |= {(w,): np.array(self.library.encode(w, add_special_tokens=False).ids, "<u4") for w in filter(has, new)}
+        cut = [[(w,)] if (w,) in known else self.cut(w) for w in new] if unsure else list(map(self.cut, new))
+        number = defaultdict(count(len(known)).__next__, zip(known, range(len(known)), strict=True))
+        numbers = np.fromiter(map(number.__getitem__, chain.from_iterable(cut)), np.int64)
+        ids, sizes = self.index.merge_by_length(list(islice(number, len(known), None)))
+        ids, sizes = np.concatenate([*known.values(), ids]), np.concatenate([[len(x) for x in known.values()], sizes]).astype(np.int64)
+        ids, sizes = laid_out(ids, sizes, numbers)
+        bounds = np.concatenate([[0], np.cumsum(sizes)])[np.cumsum([0, *map(len, cut)])]
+        self.ids, self.sizes = np.concatenate([self.ids, ids]), np.concatenate([self.sizes, np.diff(bounds)])
+        self.met = np.concatenate([self.met, np.zeros(len(new), np.int64)])
+
+    def _forget(self) -> None:
+        """Keeps the words met most often, at most half of them; what they were met counts half from then on."""
+        stay = self.met > np.partition(self.met, len(self.met) // 2)[len(self.met) // 2]
+        words = list(compress(self.number, stay.tolist()))
+        self.number = defaultdict(count(len(words)).__next__, zip(words, range(len(words)), strict=True))
+        self.ids = self.ids[np.repeat(stay, self.sizes)]
+        self.met, self.sizes = self.met[stay] // 2, self.sizes[stay]
 
 
 class Packer:

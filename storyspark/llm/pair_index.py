@@ -3,7 +3,8 @@
 The different pieces of a batch are laid out once, one symbol after another. An index maps every pair
 of neighbouring symbols that has a rank to all its positions; ranks come off a heap in ascending
 order, each is applied at all positions of its pair, from the left, and only the lists of the
-neighbours that a merge changes are updated.
+neighbours that a merge changes are updated. Many short pieces are merged faster without the index,
+length by length (``merge_by_length``).
 """
 
 from __future__ import annotations
@@ -18,6 +19,10 @@ SHIFT = 20
 SLOTS = 20
 #: Pieces in one index; the arrays over them take some tens of MB.
 AT_ONCE = 50_000
+#: Bytes of the longest piece that is merged length by length.
+SHORT = 64
+#: In place of a rank: no pair.
+NO_RANK = np.iinfo(np.int32).max
 
 
 def byte_letters() -> list[str]:
@@ -47,6 +52,7 @@ class PairIndex:
         pairs = [m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"]]
         #: By rank: the two symbols and what they become.
         self.merges = [(vocab[a], vocab[b], vocab[a + b]) for a, b in pairs]
+        self.made = np.array([c for _, _, c in self.merges], np.int32)
         keys = np.array([a << SHIFT | b for a, b, _ in self.merges], np.int64)
         self.rank_of = np.argsort(keys, kind="stable")
         self.keys = keys[self.rank_of]
@@ -77,6 +83,70 @@ class PairIndex:
         hit = np.flatnonzero(ranks >= 0)
         return hit, ranks[hit]
 
+    def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The rank of each of these neighbours, or NO_RANK."""
+        out = np.full(left.size, NO_RANK, np.int32)
+        hit, ranks = self.ranked(left.ravel(), right.ravel())
+        out[hit] = ranks
+        return out.reshape(left.shape)
+
+    def merge_by_length(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all pieces, one piece behind the other, and how many each has.
+
+        Pieces of as many symbols are rows of one grid. From the greatest length down, every row's pair of
+        least rank, the first of several, becomes one symbol, and the row goes on among those one
+        shorter; a row without such a pair is done. Pieces of more than SHORT bytes go by the index.
+        """
+        done = [self._merge_by_length(pieces[i : i + AT_ONCE]) for i in range(0, len(pieces), AT_ONCE)]
+        none = np.zeros(0, "<u4"), np.zeros(0, np.int64)
+        return np.concatenate([none[0]] + [ids for ids, _ in done]), np.concatenate([none[1]] + [sizes for _, sizes in done])
+
+    def _merge_by_length(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        coded = [p.encode("utf-8", "surrogatepass") for p in pieces]
+        lengths = np.fromiter(map(len, coded), np.int64, len(coded))
+        raw = np.frombuffer(b"".join(coded), np.uint8)
+        ends = np.cumsum(lengths)
+        symbols = self.of_byte[raw].astype(np.int32)
+        if self.of_last is not None:
+            last = ends[lengths > 0] - 1
+            symbols[last] = self.of_last[raw[last]]
+        long = np.flatnonzero(lengths > SHORT)
+        done = [(long[k : k + 1], np.frombuffer(x, "<u4")[None]) for k, x in enumerate(self._merge([pieces[i] for i in long]))] if len(long) else []
+        widest = int(lengths[lengths <= SHORT].max(initial=0))
+        who, grid, ranks = np.zeros(0, np.int64), np.zeros((0, widest), np.int32), np.zeros((0, max(0, widest - 1)), np.int32)
+        for width in range(widest, 0, -1):
+            own = np.flatnonzero(lengths == width)
+            fresh = symbols[(ends[own] - width)[:, None] + np.arange(width)]
+            who, grid = np.concatenate([who, own]), np.concatenate([grid, fresh])
+            ranks = np.concatenate([ranks, self.ranks(fresh[:, :-1], fresh[:, 1:])])
+            if width == 1:
+                done.append((who, grid))
+                break
+            at = ranks.argmin(1)
+            least = ranks[np.arange(len(who)), at]
+            over, on = np.flatnonzero(least == NO_RANK), np.flatnonzero(least < NO_RANK)
+            done.append((who[over], grid[over]))
+            who, grid, ranks, at = who[on], grid[on], ranks[on], at[on]
+            rows = np.arange(len(who))
+            grid[rows, at] = self.made[least[on]]
+            stay = np.ones(grid.shape, bool)
+            stay[rows, at + 1] = False
+            grid = grid[stay].reshape(len(who), width - 1)
+            stay = np.ones(ranks.shape, bool)
+            stay[rows, at] = False
+            ranks = ranks[stay].reshape(len(who), width - 2)
+            for shift, some in ((-1, np.flatnonzero(at > 0)), (0, np.flatnonzero(at < width - 2))):
+                first = at[some] + shift
+                ranks[some, first] = self.ranks(grid[some, first], grid[some, first + 1])
+        sizes = np.zeros(len(pieces), np.int64)
+        for who, grid in done:
+            sizes[who] = grid.shape[1]
+        starts = np.cumsum(sizes) - sizes
+        ids = np.zeros(int(sizes.sum()), "<u4")
+        for who, grid in done:
+            ids[starts[who][:, None] + np.arange(grid.shape[1])] = grid
+        return ids, sizes
+
     def merge_all(self, pieces: list[str]) -> list[bytes]:
         """Ids of each piece, as little-endian unsigned 32-bit integers; AT_ONCE pieces share an index."""
         return [ids for i in range(0, len(pieces), AT_ONCE) for ids in self._merge(pieces[i : i + AT_ONCE])]

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from storyspark.llm import byte_bpe, chat_format, packing, pii
+from storyspark.llm import byte_bpe, chat_format, packing, pair_index, pii
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 tokenizers = pytest.importorskip("tokenizers")
@@ -119,6 +119,44 @@ def test_young_marks_go_through_the_library():
     assert packing.young_marks({"\u0301", "ж", "中", "a"}) == []
 
 
+def test_word_memory_does_not_change_results(monkeypatch):
+    """Words forgotten after each text, and the same words numbered anew."""
+    lib = tokenizers.Tokenizer.from_file(packing.word_bpe_path())
+    values = texts(80, 5) + ["x<|endoftext|>y Москва ab", "\u1df6a ab", "ab ab AB", ""]
+    want = [np.array(e.ids, "<u4").tobytes() for e in lib.encode_batch(values, add_special_tokens=False)]
+    monkeypatch.setattr(packing, "REMEMBERED", 5)
+    words = packing.WordIds(packing.word_bpe_path())
+    for _ in range(2):
+        assert [words.encode_batch([v])[0] for v in values] == want
+    assert words.encode_batch(values) == want and words.encode_batch([]) == []
+
+
+def test_new_words_take_passes_by_length():
+    """20,000 new words of up to 12 letters: a few rounds of pair look-ups for each length, not some for each rank."""
+    r = random.Random(7)
+    value = " ".join("".join(r.choice("etaoinshrdlucmwfgypbéß") for _ in range(r.randint(1, 12))) for _ in range(20_000))
+    words = packing.WordIds(packing.word_bpe_path())
+    found, calls = words.index.ranked, []
+    words.index.ranked = lambda left, right: calls.append(len(left)) or found(left, right)
+    ids = words.encode_batch([value])[0]
+    assert len(calls) < 100
+    assert np.frombuffer(ids, "<u4").tolist() == tokenizers.Tokenizer.from_file(words.path).encode(value, add_special_tokens=False).ids
+
+
+def test_merges_by_length_equal_the_library():
+    """Runs of one letter, random letters, other scripts, no bytes at all, and pieces around the bound of SHORT bytes, which go by the index."""
+    r = random.Random(8)
+    path = packing.word_bpe_path()
+    lib = tokenizers.Tokenizer.from_file(path)
+    pieces = ["a" * n for n in range(1, 140)] + ["".join(r.choice("aeinrstäß中ж") for _ in range(r.randint(1, 60))) for _ in range(600)] + ["", "é", "!" * 70, "xy" * 900]
+    ids, sizes = pair_index.PairIndex(path).merge_by_length(pieces)
+    assert sum(len(p.encode()) > pair_index.SHORT for p in pieces) > 50
+    assert len(sizes) == len(pieces) and sizes.sum() == len(ids)
+    for piece, got in zip(pieces, np.split(ids, np.cumsum(sizes)[:-1]), strict=True):
+        assert got.tolist() == [i for part in packing.regex.findall(packing.WORD_PIECES, piece) for i in lib.encode(part, add_special_tokens=False).ids], piece
+    assert [len(x) for x in pair_index.PairIndex(path).merge_by_length([])] == [0, 0]
+
+
 @pytest.mark.parametrize("kind", ["smallint", "int", "decimal(10,0)", "string", "date"])
 def test_packing_of_ids_of_any_type(spark, kind):
     ids = F.date_add(F.lit("2024-01-01").cast("date"), F.col("id").cast("int")) if kind == "date" else F.col("id").cast(kind)
