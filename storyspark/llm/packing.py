@@ -31,9 +31,9 @@ WINDOW, END_ID = 4096, 2
 #: An open window stays as it is at the end if its padding is at most this share.
 SPARE = 1 / 64
 #: Words whose ids a worker remembers, and those of AT_ONCE texts more.
-REMEMBERED = 240_000
+REMEMBERED = 120_000
 #: Texts whose words are held at a time.
-AT_ONCE = 800
+AT_ONCE = 200
 #: Beyond Latin letters; U+0130 is among them, as its lower case is two characters.
 BEYOND = "[^\x00-\u012f\u0131-\u024f]"
 #: Fixed value: the pretokeniser of the word BPE vocabulary.
