@@ -114,7 +114,8 @@ def linked(fps: DataFrame) -> DataFrame:
     """(a, b), a < b, once for every two distinct values of column fp that differ in 1 or 2 bits."""
     placed = fps.mapInArrow(_placed, "anchor long, b long")
     at_home = fps.mapInArrow(_at_home, "anchor long, a long")
-    met = at_home.join(placed, "anchor")
+    # both sides look equally small to Spark, as a step in Python does not tell that it multiplies rows; placed must not be broadcast
+    met = at_home.join(placed.hint("merge"), "anchor")
     return met.filter((F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= THRESHOLD)).select("a", "b")
 
 

@@ -60,6 +60,13 @@ def test_links_are_all_found(spark):
     assert got == want and len(want) > 100
 
 
+def test_rows_at_all_anchors_are_not_broadcast(spark):
+    """A step in Python hides that it makes 61 rows of one, so that Spark takes them for a small table."""
+    fps = spark.range(1000).select(F.xxhash64("id").alias("fp"))
+    plan = simhash.linked(fps)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def docs(spark):
     r = random.Random(2)
     words = [f"w{i}" for i in range(30)]
