@@ -1,5 +1,6 @@
 """Clusters found from titles against those of all linked pairs."""
 
+import dataclasses
 import random
 
 import pytest
@@ -44,3 +45,16 @@ def test_a_frequent_title_is_not_paired(spark, monkeypatch):
     monkeypatch.setattr(st, "similar_pairs", lambda *a, **b: pytest.fail("all pairs were asked for"))
     got = st.cluster_articles(rows.unionByName(odd), 0.5).groupBy("cluster_no").count().collect()
     assert {(x.cluster_no, x["count"]) for x in got} == {(0, 20_000), (30_000, 1), (30_001, 1), (30_002, 1)}
+
+
+def test_cohesion_by_few_large_blocks(spark, monkeypatch):
+    """A row is sent once for each block, so blocks are few; values on both sides of FREQUENT, copies, and empty sets."""
+    r = random.Random(4)
+    text = lambda n: " ".join(f"word{chr(97 + min(25, int(r.expovariate(0.2))))}x" for _ in range(r.randint(0, n)))
+    rows = [(i, i // 150, text(5), r.choice([None, "", text(20)])) for i in range(200)] + [(300 + i, 0, "Rocket launch", "copy") for i in range(9)]
+    members = spark.createDataFrame(rows, "ordinal long, cluster_no long, title string, snippet string")
+    whole = sorted(st.cluster_cohesion(members, dataclasses.replace(sim.lexical(), matrix=None)).collect())
+    for block, split, most in ((16, 2, 1000), (16, 2, 40), (512, 8, 1000)):
+        for name, value in (("COHESION_BLOCK", block), ("COHESION_SPLIT", split), ("COHESION_ROWS", most)):
+            monkeypatch.setattr(st, name, value)
+        assert sorted(st.cluster_cohesion(members).collect()) == whole
