@@ -72,12 +72,12 @@ def score_feed(user_topics: DataFrame, cards: DataFrame, now: Column, cfg: Confi
     """Each client's topics with their stories, scored.
 
     cards: topic_key, cluster_no, headline, summary, importance, published_at, diversity. The join
-    is on the topic; stories are broadcast only if Spark finds them small.
+    is on the topic; stories are broadcast only if Spark finds them small. urls go with them if cards has them.
     """
     rows = topic_weights(user_topics).withColumn("topic_key", normalize_topic(F.col("topic"))).join(cards, "topic_key")
     fit = clamp01(F.greatest(relevance(F.col("topic"), F.col("headline"), F.col("summary")), F.col("importance")))
     total = fit * 0.28 + freshness(F.col("published_at"), now, cfg) * 0.22 + clamp01(F.col("importance")) * 0.22 + clamp01(F.col("diversity")) * 0.1 + F.col("priority") * 0.12 * F.col("boost") + F.col("boost") * 0.06
-    return rows.select("client", "topic_key", "cluster_no", "headline", "urls", "importance", "priority", round_k(clamp01(total)).alias("score"))
+    return rows.select("client", "topic_key", "cluster_no", "headline", *[c for c in ("urls",) if c in cards.columns], "importance", "priority", round_k(clamp01(total)).alias("score"))
 
 
 FEED = ["client", "topic_key", "cluster_no", "score", "priority", "importance"]
@@ -118,19 +118,30 @@ def _merged_feed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pylist(kept, schema=schema)
 
 
-def dedupe_feed(scored: DataFrame) -> DataFrame:
+def dedupe_feed(scored: DataFrame, stories: DataFrame | None = None) -> DataFrame:
     """Per client, stories with a url overlap merge, greedily in topic order; the higher score wins, the loser's topic is noted.
 
     Only stories that a chain of common urls connects can merge, so components of a client's stories are
     walked in sorted order; a task holds the stories kept so far of one component. All others pass as they are.
+
+    stories: topic_key, cluster_no, urls, one row for a story, where these are the same for all clients; scored needs no urls
+    then. Each story's urls are looked through once, and only those of several stories meet the clients.
     """
     node = F.struct("client", "topic_key", "cluster_no")
-    urls = scored.select(node.alias("node"), "client", F.explode("urls").alias("u")).distinct()
+    if stories is None:
+        urls = scored.select(node.alias("node"), "client", F.explode("urls").alias("u")).distinct()
+    else:
+        listed = stories.select("topic_key", "cluster_no", F.explode("urls").alias("u")).distinct()
+        common = materialize(listed.join(listed.groupBy("u").agg(F.count("*").alias("n")).filter("n > 1").drop("n").hint("merge"), "u"), "common_urls")
+        urls = scored.join(common, ["topic_key", "cluster_no"]).select(node.alias("node"), "client", "u")
     least = urls.groupBy("client", "u").agg(F.min("node").alias("least"), F.count("*").alias("n")).filter("n > 1")
     edges = urls.join(least, ["client", "u"]).select("node", "least")
     comp = materialize(connected_components(edges, "node", "least").select("node.*", F.col("component").alias("node")), "feed_groups")
     keys = ["client", "topic_key", "cluster_no"]
-    met = scored.join(comp, keys).select("node", *keys, "headline", "urls", "score", "priority", "importance")
+    met = scored.join(comp, keys)
+    if stories is not None:
+        met = met.drop("urls").join(stories.select("topic_key", "cluster_no", "urls"), ["topic_key", "cluster_no"])
+    met = met.select("node", *keys, "headline", "urls", "score", "priority", "importance")
     merged = met.repartition("node").sortWithinPartitions("node", "topic_key", "cluster_no").mapInArrow(_merged_feed, T.StructType([met.schema[c] for c in FEED] + [T.StructField("also", T.ArrayType(met.schema["topic_key"].dataType))]))
     plain = scored.join(comp, keys, "left_anti").select(*FEED, F.array().cast(T.ArrayType(met.schema["topic_key"].dataType)).alias("also"))
     return plain.unionByName(merged)

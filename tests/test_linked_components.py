@@ -58,3 +58,22 @@ def test_cohesion_by_few_large_blocks(spark, monkeypatch):
         for name, value in (("COHESION_BLOCK", block), ("COHESION_SPLIT", split), ("COHESION_ROWS", most)):
             monkeypatch.setattr(st, name, value)
         assert sorted(st.cluster_cohesion(members).collect()) == whole
+
+
+def test_feed_with_urls_from_stories(spark):
+    """As with urls in every client's row."""
+    r = random.Random(5)
+    stories = [(t, i, r.choice(["A", "B"]), sorted({f"u{r.randint(0, 30)}" for _ in range(r.randint(0, 6))})) for t in "ab" for i in range(12)]
+    rows = [(c, *s, r.random(), 1.0, 0.1) for c in range(6) for s in stories if r.random() < 0.7]
+    df = spark.createDataFrame(rows, "client int, topic_key string, cluster_no int, headline string, urls array<string>, score double, priority double, importance double")
+    apart = spark.createDataFrame(stories, "topic_key string, cluster_no int, headline string, urls array<string>")
+    want = sorted(map(str, br.dedupe_feed(df).collect()))
+    assert sorted(map(str, br.dedupe_feed(df.drop("urls"), apart).collect())) == want and 0 < len(want) < len(rows)
+
+
+def test_each_state_is_built_once(spark, monkeypatch):
+    """The plan takes its cache from the states that it compares."""
+    built, state = [], bq._state
+    monkeypatch.setattr(bq, "_state", lambda m: built.append(1) or state(m))
+    bq.q_plan_result_reuse(spark, "/root/testdata/sf0.001")
+    assert len(built) == 2
